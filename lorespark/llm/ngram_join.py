@@ -4,14 +4,15 @@ A document's set holds its distinct k-word shingles. Two documents link when
 ``den * |x & y| >= num * |x | y|``. Steps:
 
 1. One pass hashes every text and groups rows with equal sets into classes, so
-   exact copies are never compared. The same pass counts frequent shingles;
-   those in over about ``HOT_SHARE`` of the documents are "hot". Any one order
-   of shingles keeps the next step exact, so this set need not be: it has at
-   most ``8 / HOT_SHARE`` times a mean prefix of members, whatever the input.
-2. Every set is ordered by (hot last, longest shingle first, hash). Linked sets
-   share one of the first ``n - ceil(num * n / den) + 1`` shingles, the prefix.
-   Prefix lists give star edges to the least class, never pairs; their
-   connected components are the blocks in which links can lie.
+   exact copies are never compared.
+2. Blocks: sets that link differ in at most H shingles, a bound that follows from
+   their sizes. All shingles are dealt by hash into more than H parts, so linked
+   sets agree on a part. Each set sends a hash of each of its parts, for its own
+   level of size and the next one; equal hashes give star edges to one class,
+   never pairs. Equal hashes of a slice of text are merged before the shuffle, so a
+   large group of near copies is no hot key. The connected components of these edges
+   are the blocks in which all links lie. Unlike a shared rare shingle, a shared
+   part is hardly ever chance, so blocks stay close to the groups of near copies.
 3. Only classes in blocks have their sets gathered, once. Each block gets
    inverted lists; every set is a query against the sets before it by size:
    its longest lists are put aside, the short ones are heap-merged, and what
@@ -43,13 +44,10 @@ from . import _tokens as tk
 from ._graph import connected_components
 from ._store import materialize
 
-#: Share of documents above which a shingle goes to the end of the order.
-HOT_SHARE = 0.002
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
 #: DivideSkip's tuning factor: long lists L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
-_FLUSH = 2_000_000
 
 
 def needed(n, num: int, den: int):
@@ -57,17 +55,11 @@ def needed(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def ordered_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each row without repeats, longest first, and the rows' bounds in them.
-
-    A shingle is a uint64: 255 less its bytes (0 from 255 on), then 56 bits of its hash.
-    """
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of each row's shingles without repeats, and the rows' bounds in them."""
     lower = tk.LOWER[data]
     starts, ends, row = tk.word_spans(lower, offsets)
-    at_row, hashed, first = tk.shingles(tk.span_hashes(lower, starts, ends), row, k)
-    last = np.minimum(first + k - 1, np.searchsorted(row, at_row, "right") - 1)
-    size = np.minimum(ends[last] - starts[first], 255).astype(np.uint64)
-    token = ((np.uint64(255) - size) << np.uint64(56)) | (hashed >> np.uint64(8))
+    at_row, token, _ = tk.shingles(tk.span_hashes(lower, starts, ends), row, k)
     n_rows = len(offsets) - 1
     tk.sort_within(at_row, token, n_rows)
     fresh = np.ones(len(token), bool)
@@ -85,80 +77,127 @@ def fingerprints(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def _first_of_each(bounds: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of the first ``size`` items of each row."""
-    size = np.minimum(size, np.diff(bounds))
-    return np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-
-
-def _survey(k: int, num: int, den: int):
-    """Rows of (id, set size, fingerprints), and with a count those of frequent shingles."""
-
-    def frequent(held: list[np.ndarray], rows: int):
-        if held:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= max(2, math.ceil(rows * HOT_SHARE / 2))
-            yield _survey_batch(token=token[often].view(np.int64), count=count[often])
+def _survey(k: int):
+    """Rows of (id, set size, fingerprints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, rows = [], 0, 0
         for batch in batches:
             for a, b, data, offsets in tk.text_slices(batch.column(1)):
-                token, bounds = ordered_sets(data, offsets, k)
+                token, bounds = shingle_sets(data, offsets, k)
                 one, two = fingerprints(token, bounds)
-                n = np.diff(bounds)
-                yield _survey_batch(batch.column(0).slice(a, b - a), n, one, two)
-                # lists that may become prefixes once hot shingles are out
-                seen = token[_first_of_each(bounds, 4 * (n - needed(n, num, den) + 1))]
-                held.append(seen)
-                total, rows = total + len(seen), rows + b - a
-                if total >= _FLUSH:
-                    yield from frequent(held, rows)
-                    held, total, rows = [], 0, 0
-        yield from frequent(held, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
+                    names=["doc_id", "n_shingles", "one", "two"],
+                )
 
     return run
 
 
-_SURVEY = "doc_id bigint, n_shingles bigint, one bigint, two bigint, token bigint, count bigint"
-
+def levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size of each level, and of each level its number of parts and of spare parts.
 
-def _survey_batch(doc_id=None, n=None, one=None, two=None, token=None, count=None) -> pa.RecordBatch:
-    size = len(doc_id) if doc_id is not None else len(token)
-    cols = [doc_id, n, one, two, token, count]
-    arrays = [pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "one", "two", "token", "count"])
-
-
-def _prefixes(k: int, num: int, den: int, hot: np.ndarray):
-    """Rows of (shingle, class) for every prefix."""
+    Sets that link are of one level or of two that follow each other. Those that meet at a
+    level differ in less than ``parts - spare`` shingles, so that they agree on over ``spare``
+    parts. No parts: sets meeting there link only if equal.
+    """
+    first = [1]
+    while first[-1] <= largest or len(first) < 4:
+        first.append(max(first[-1] + 1, den * (first[-1] - 1) // num + 1))
+    parts, spare = [], []
+    for j in range(len(first) - 1):
+        differ = (den - num) * 2 * (first[j + 1] - 1) // (den + num)
+        least = first[max(0, j - 1)]
+        extra = 1 + math.ceil(2 * differ * math.exp(-least / (differ + 1)))
+        parts.append(differ + 1 + extra if differ else 0)
+        spare.append(extra if differ else 0)
+    return np.array(first[:-1]), np.array(parts + [0]), np.array(spare + [0])
+
+
+def signatures(token: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each part of each set, at its own level and the next.
+
+    Empty parts are left out, unless a set has more of them than its level has spare parts: two
+    sets that agree on over ``spare`` parts, one of them with ``spare`` empty ones at most,
+    agree on one that isn't empty.
+    """
+    n = np.diff(bounds)
+    if not len(token):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first, n_parts, n_spare = levels(int(n.max()), num, den)
+    own = np.searchsorted(first, n, "right") - 1
+    row = np.repeat(np.arange(len(n)), n)
+    mixed, dealt = tk.mix(token ^ np.uint64(0x2545F4914F6CDD1D)), tk.mix(token + np.uint64(0x632BE59BD9B4E019))
+    rows, out = [], []
+    for step in (0, 1):
+        level = own + step
+        parts = np.where(n > 0, n_parts[level], 0)
+        base = np.concatenate(([0], np.cumsum(parts)))
+        has = parts[row] > 0
+        part = (dealt[has] % np.maximum(parts[row[has]], 1).astype(np.uint64)).astype(np.int64)
+        place = base[row[has]] + part
+        total = np.zeros(base[-1], np.uint64)
+        np.add.at(total, place, mixed[has])
+        of = np.repeat(np.arange(len(n)), parts)
+        number = np.arange(base[-1]) - base[of]
+        full = np.zeros(base[-1], bool)
+        full[place] = True
+        empty = np.bincount(of[~full], minlength=len(n))
+        send = full | (empty > n_spare[level])[of]
+        salt = tk.mix((level[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
+        rows.append(of[send])
+        out.append(tk.mix(total[send] + salt[send]))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _signatures(k: int, num: int, den: int):
+    """Rows of (signature, class), and of (any number, class, hub) for equal ones within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tk.text_slices(batch.column(0)):
-                token, bounds = ordered_sets(data, offsets, k)
-                n = np.diff(bounds)
+                token, bounds = shingle_sets(data, offsets, k)
                 one, _ = fingerprints(token, bounds)
-                if len(hot):
-                    row = np.repeat(np.arange(len(n)), n)
-                    late = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
-                    token = token[np.lexsort((late, row))]  # stable: each row keeps its order, hot ones last
-                size = np.minimum(n - needed(n, num, den) + 1, n)
+                row, sign = signatures(token, bounds, num, den)
+                key, where, which = np.unique(sign, return_index=True, return_inverse=True)
+                hub = one[row[where]]
+                node, to = one[row], hub[which]
+                other = node != to
+                a, b = node[other], to[other]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[_first_of_each(bounds, size)].view(np.int64)), pa.array(np.repeat(one, size))],
-                    names=["token", "one"],
+                    [pa.array(np.concatenate((key.view(np.int64), a))), pa.array(np.concatenate((hub, a))), pa.array(np.concatenate((hub, b)), mask=np.arange(len(key) + len(a)) < len(key))],
+                    names=["sign", "one", "hub"],
                 )
 
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each class of a signature to its first; the rows come sorted by signature."""
+    last = None
+    for batch in batches:
+        sign, one = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        plain = np.asarray(batch.column(2).is_null())
+        a, b = one[~plain], np.asarray(batch.column(2).drop_null())
+        sign, one = sign[plain], one[plain]
+        if len(sign):
+            start = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+            hub = one[start].copy()
+            if last is not None and last[0] == sign[0]:
+                hub[0] = last[1]
+            hub = np.repeat(hub, np.diff(np.concatenate((start, [len(sign)]))))
+            last = (sign[-1], hub[-1])
+            other = one != hub
+            a, b = np.concatenate((a, one[other])), np.concatenate((b, hub[other]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _sets(k: int):
     """Each candidate row's set, if its text is the one that its class stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in tk.text_slices(batch.column(0)):
-                token, bounds = ordered_sets(data, offsets, k)
+                token, bounds = shingle_sets(data, offsets, k)
                 one, two = fingerprints(token, bounds)
                 part = batch.slice(a, b - a)
                 same = (np.asarray(part.column(1)) == one) & (np.asarray(part.column(2)) == two)
@@ -279,20 +318,12 @@ def _link(num: int, den: int):
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See the module's text. ``num / den`` is the least Jaccard similarity of a link."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = materialize(docs.mapInArrow(_survey(k, num, den), _SURVEY), "join-survey")
-    rows = survey.filter("count IS NULL").select("doc_id", "n_shingles", "one", "two")
-    n_rows = rows.count()
-    hot = (
-        survey.filter("count IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n"))
-        .filter(F.col("n") >= max(100, n_rows * HOT_SHARE / 2)).select("token").toPandas()["token"].to_numpy(np.int64)
-    )
-    hot = np.sort(hot.view(np.uint64))
+    rows = materialize(docs.mapInArrow(_survey(k), "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "join-survey")
     classes = rows.filter("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
     classes = materialize(classes, "join-classes")
 
-    postings = materialize(docs.select("text").mapInArrow(_prefixes(k, num, den, hot), "token bigint, one bigint"), "join-postings")
-    hubs = postings.groupBy("token").agg(F.min("one").alias("hub"), F.max("one").alias("other")).filter("hub < other").select("token", "hub")
-    edges = postings.join(hubs, "token").filter("one != hub").select(F.col("one").alias("a"), F.col("hub").alias("b")).distinct()
+    signed = docs.select("text").mapInArrow(_signatures(k, num, den), "sign bigint, one bigint, hub bigint")
+    edges = signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(_stars, "a bigint, b bigint")
     blocks = connected_components(edges).select(F.col("node").alias("one"), F.col("label").alias("block"))
 
     candidates = materialize(classes.join(blocks, "one").select("rep", "one", "two", "weight", "block", "n"), "join-candidates")

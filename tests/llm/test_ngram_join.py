@@ -83,3 +83,23 @@ def test_divide_skip_counts():
         found, count = nj.divide_skip(lists, least)
         want = {x: c for x in range(40) if (c := sum(x in y.tolist() for y in lists)) >= least}
         assert dict(zip(found.tolist(), count.tolist())) == want
+
+
+def test_linked_sets_share_a_signature():
+    rnd = random.Random(8)
+    for num in (80, 90):
+        for _ in range(400):
+            n = rnd.randrange(3, 150)
+            x = rnd.sample(range(10**6), n)
+            y = list(x)
+            for _ in range(rnd.randrange(0, n // 4 + 2)):
+                if rnd.random() < 0.5 and len(y) > 1:
+                    y.pop(rnd.randrange(len(y)))
+                if rnd.random() < 0.5:
+                    y.append(rnd.randrange(10**6, 10**7))
+            both = len(set(x) & set(y))
+            if 100 * both < num * len(set(x) | set(y)) or set(x) == set(y):
+                continue
+            token = np.array(x + y, np.uint64)
+            row, sign = nj.signatures(token, np.array([0, len(x), len(x) + len(y)]), num, 100)
+            assert set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
