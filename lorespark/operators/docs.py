@@ -163,7 +163,7 @@ def _ranks(rows: list[str]) -> list[int]:
 def merge_small(segments: DataFrame, min_chars: int) -> DataFrame:
     """Joins segments of a source that are too small with the next one, and a small last one with the one before."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
         for a, b, title, chars in pdf.sort_values("line_start")[["line_start", "line_end", "title", "chars"]].itertuples(index=False):
             if out and out[-1][3] < min_chars:
