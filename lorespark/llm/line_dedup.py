@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bloom as bloom
 from ._store import materialize
 
 #: Bits of each filter at most: 32 MB, two of which are broadcast.
 MAX_BITS = 1 << 28
 _PROBES = 4
-_SEGMENT = 1 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -57,8 +57,6 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _filter_parts(min_chars: int, bits: int):
     """Rows of (segment, bits set by one document, bits set by more), packed."""
-    segment = min(_SEGMENT, bits)
-
     def flush(held: list[np.ndarray]):
         if not held:
             return
@@ -72,15 +70,7 @@ def _filter_parts(min_chars: int, bits: int):
         once, times = np.unique(places[fresh], return_counts=True)
         total = np.zeros(len(once), np.int64)
         np.add.at(total, np.searchsorted(once, places[fresh]), weight[fresh])
-        home = (once // np.uint64(segment)).astype(np.int64)
-        bound = np.searchsorted(home, np.unique(home), "left").tolist() + [len(home)]
-        ids, first, more = [], [], []
-        for a, b in zip(bound[:-1], bound[1:]):
-            local = (once[a:b] % np.uint64(segment)).astype(np.uint32)
-            ids.append(int(home[a]))
-            first.append(local.tobytes())
-            more.append(local[total[a:b] > 1].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.binary()), pa.array(more, pa.binary())], names=["segment", "seen", "again"])
+        yield bloom.part(once, total > 1, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -98,28 +88,11 @@ def _filter_parts(min_chars: int, bits: int):
     return run
 
 
-def _merge(bits: int):
-    """One row for each segment: the twice-seen filter's bytes."""
-    segment = min(_SEGMENT, bits)
-
-    def run(key, rows):
-        once, twice = np.zeros(segment, bool), np.zeros(segment, bool)
-        for seen, again in zip(rows.column("seen"), rows.column("again")):
-            at = np.frombuffer(seen.as_py(), np.uint32)
-            twice[at[once[at]]] = True
-            once[at] = True
-            twice[np.frombuffer(again.as_py(), np.uint32)] = True
-        packed = np.packbits(twice, bitorder="little").tobytes()
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "twice": pa.array([packed], pa.binary())})
-
-    return run
-
-
 def _suspects(min_chars: int, bits: int, shared):
     """Rows of (document, key, its lines) for keys whose bits are all in the twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(shared.value, np.uint8)
+        twice = shared.value
         for batch in batches:
             ids, marks, keys, lines = [], [], [], []
             for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -129,7 +102,7 @@ def _suspects(min_chars: int, bits: int, shared):
                 if not own:
                     continue
                 places = _places(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), bits)
-                hit = ((twice[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+                hit = bloom.test_bits(twice, places).all(axis=1)
                 for (key, at), known in zip(own.items(), hit.tolist()):
                     if known:
                         ids.append(doc_id)
@@ -141,10 +114,6 @@ def _suspects(min_chars: int, bits: int, shared):
     return run
 
 
-def _power_of_two(x: int) -> int:
-    return 1 << max(0, x - 1).bit_length()
-
-
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` with the kept text, then ``n_lines`` and ``n_dropped``.
 
@@ -156,14 +125,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
     # a bound on the keys: lines that have min_chars bytes
     n = base.agg(F.sum(F.least(F.octet_length("text") / min_chars, F.size(F.split("text", "\n")).cast("double")))).first()[0] or 0
-    bits = min(max_bits, max(1 << 16, _power_of_two(int(n) * 8)))
-    parts = base.select("text").mapInArrow(_filter_parts(min_chars, bits), "segment bigint, seen binary, again binary")
-    merged = parts.groupBy("segment").applyInArrow(_merge(bits), "segment bigint, twice binary")
-    twice = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all
-        at = row["segment"] * (min(_SEGMENT, bits) // 8)
-        twice[at : at + len(row["twice"])] = np.frombuffer(row["twice"], np.uint8)
-    shared = spark.sparkContext.broadcast(twice.tobytes())
+    bits = min(max_bits, max(1 << 16, bloom.power_of_two(int(n) * 8)))
+    parts = base.select("text").mapInArrow(_filter_parts(min_chars, bits), bloom.PART_SCHEMA)
+    shared = spark.sparkContext.broadcast(bloom.twice_seen(parts, bits))
 
     suspects = materialize(base.mapInArrow(_suspects(min_chars, bits, shared), "doc_id bigint, mark bigint, key binary, lines array<int>"), "line-suspects")
     found = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)

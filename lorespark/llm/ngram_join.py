@@ -5,7 +5,11 @@ A document's set holds its distinct k-word shingles. Two documents link when
 
 1. One pass hashes every text and groups rows with equal sets into classes, so
    exact copies are never compared.
-2. Blocks: sets that link differ in at most H shingles, a bound that follows from
+2. A set that links with another one shares most of its shingles with it. A bit array of
+   shingles that two classes may have (at most ``MAX_BITS`` bits, which bounds what is
+   broadcast; chance hits only let more sets pass) leaves out the sets of which too few
+   shingles are in it. Those have no links.
+3. Blocks: sets that link differ in at most H shingles, a bound that follows from
    their sizes. All shingles are dealt by hash into more than H parts, so linked
    sets agree on a part. Each set sends a hash of each of its parts, for its own
    level of size and the next one; equal hashes give star edges to one class,
@@ -13,7 +17,7 @@ A document's set holds its distinct k-word shingles. Two documents link when
    large group of near copies is no hot key. The connected components of these edges
    are the blocks in which all links lie. Unlike a shared rare shingle, a shared
    part is hardly ever chance, so blocks stay close to the groups of near copies.
-3. Only classes in blocks have their sets gathered, once. Each block gets
+4. Only classes in blocks have their sets gathered, once. Each block gets
    inverted lists; every set is a query against the sets before it by size:
    its longest lists are put aside, the short ones are heap-merged, and what
    occurs often enough there is probed in the long lists by binary search.
@@ -40,12 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bloom as bloom
 from . import _tokens as tk
 from ._graph import connected_components
 from ._store import materialize
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
+#: Bits of the array of shared shingles at most: 32 MB.
+MAX_BITS = 1 << 28
 #: DivideSkip's tuning factor: long lists L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 
@@ -149,13 +156,56 @@ def signatures(token: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tup
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _signatures(k: int, num: int, den: int):
+def _slots(token: np.ndarray, bits: int) -> np.ndarray:
+    return tk.mix(token ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)
+
+
+def _shared(k: int, bits: int):
+    """Parts of the array of shingles that two classes have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        known: set[int] = set()
+        n = 0
+
+        def flush():
+            slot, count = np.unique(np.concatenate(held), return_counts=True)
+            yield bloom.part(slot, count > 1, bits)
+
+        for batch in batches:
+            for _, _, data, offsets in tk.text_slices(batch.column(0)):
+                token, bounds = shingle_sets(data, offsets, k)
+                one, _ = fingerprints(token, bounds)
+                new = np.zeros(len(one), bool)  # copies of a set are one class
+                for i, x in enumerate(one.tolist()):
+                    if x not in known:
+                        known.add(x)
+                        new[i] = True
+                held.append(_slots(token[np.repeat(new, np.diff(bounds))], bits))
+                n += len(held[-1])
+                if n > 4_000_000:
+                    yield from flush()
+                    held, n = [], 0
+                    known.clear()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _signatures(k: int, num: int, den: int, bits: int, array):
     """Rows of (signature, class), and of (any number, class, hub) for equal ones within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tk.text_slices(batch.column(0)):
                 token, bounds = shingle_sets(data, offsets, k)
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                common = np.bincount(row[bloom.test_bits(array.value, _slots(token, bits))], minlength=len(n))
+                may = common >= needed(n, num, den)
+                token, n = token[may[row]], n[may]
+                bounds = np.concatenate(([0], np.cumsum(n)))
                 one, _ = fingerprints(token, bounds)
                 row, sign = signatures(token, bounds, num, den)
                 key, where, which = np.unique(sign, return_index=True, return_inverse=True)
@@ -322,7 +372,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = rows.filter("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
     classes = materialize(classes, "join-classes")
 
-    signed = docs.select("text").mapInArrow(_signatures(k, num, den), "sign bigint, one bigint, hub bigint")
+    bits = min(MAX_BITS, max(1 << 16, bloom.power_of_two(2 * (classes.agg(F.sum("n")).first()[0] or 0))))
+    array = bloom.twice_seen(docs.select("text").mapInArrow(_shared(k, bits), bloom.PART_SCHEMA), bits)
+    array = docs.sparkSession.sparkContext.broadcast(array)
+    signed = docs.select("text").mapInArrow(_signatures(k, num, den, bits, array), "sign bigint, one bigint, hub bigint")
     edges = signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(_stars, "a bigint, b bigint")
     blocks = connected_components(edges).select(F.col("node").alias("one"), F.col("label").alias("block"))
 
