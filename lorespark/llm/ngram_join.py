@@ -385,7 +385,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     bins = max(1, math.ceil((tokens or 0) / (BLOCK_TOKENS // 2)))
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
-        docs.join(candidates, docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
+        docs.join(candidates.hint("merge"), docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
         .mapInArrow(_sets(k), "one bigint, two bigint, weight bigint, block bigint, parts int, tokens binary")
     )
     part = F.pmod(F.hash("one"), F.col("parts"))
