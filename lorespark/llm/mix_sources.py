@@ -9,7 +9,8 @@ of (seed, id, text, copy) deals the copies to partitions and orders them there,
 global shuffle that repeats exactly if an executor is lost.
 
 The counts of sources are pre-aggregated; nothing is grouped by source afterwards, so that a
-source with a third of all rows is no hot group. The shuffle's key is a hash of the copy.
+source with a third of all rows is no hot group: rates of at most ``MAX_BROADCAST`` sources, whose
+number is checked, are broadcast; more are joined by a shuffle whose large partitions Spark splits. The shuffle's key is a hash of the copy.
 
 ``weights``: source to weight, not negative, scaled to sum to one over the sources present; None
 gives all sources the same weight. Sources that are not named get ``other`` each. A null source
@@ -24,6 +25,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import materialize
+
+
+#: Sources whose rates are broadcast at most.
+MAX_BROADCAST = 50_000
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from a hash, in steps of 2^-53."""
@@ -80,8 +87,10 @@ def source_rates(docs: DataFrame, weights: dict | None, other: float, scale: flo
 def mix_sources(docs: DataFrame, weights: dict | None = None, other: float = 0.0, scale: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     rest = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     docs = docs.select(*rest)
-    rates = source_rates(docs, weights, other, scale, source_col)
-    joined = docs.join(rates.select("of", "rate"), F.col(source_col).cast("string").eqNullSafe(F.col("of")))
+    rates = materialize(source_rates(docs, weights, other, scale, source_col), "rates").select("of", "rate")
+    if rates.count() <= MAX_BROADCAST:
+        rates = F.broadcast(rates)
+    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("of")))
     who = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
     count = poisson_quantile(uniform(who), F.col("rate"))
     copies = joined.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
