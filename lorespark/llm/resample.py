@@ -58,8 +58,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
 
-def _weigh(ratio: np.ndarray):
+#: Buckets of a packed row.
+_PACK = 1 << 13
+
+
+def _pack(key, rows):
+    raw, target = np.zeros(_PACK, np.int64), np.zeros(_PACK, np.int64)
+    at = np.asarray(rows.column("bucket")) % _PACK
+    raw[at], target[at] = np.asarray(rows.column("raw")), np.asarray(rows.column("target"))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "raw": pa.array([raw.tobytes()]), "target": pa.array([target.tobytes()])})
+
+
+def _weigh(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = shared.value
         for batch in batches:
             uniform = np.asarray(batch.column(2))
             for a, b, data, offsets in tk.text_slices(batch.column(3)):
@@ -103,15 +115,18 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     target = materialize(target_sample(labels, max_target, seed).withColumn("is_target", F.lit(True)), "target")
     flagged = rows.join(F.broadcast(target), rows["doc_id"] == target["target_id"], "left").select("text", "is_target")
-    counts = flagged.mapInArrow(_count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)  # one row for each bucket at most
-    raw[counts["bucket"]], good[counts["bucket"]] = counts["raw"], counts["target"]
+    counts = flagged.mapInArrow(_count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    # packed, so that the driver gets 16 bytes a bucket and no rows
+    for r in counts.groupBy(F.floor(F.col("bucket") / _PACK).alias("part")).applyInArrow(_pack, "part bigint, raw binary, target binary").toLocalIterator():
+        at = slice(r["part"] * _PACK, (r["part"] + 1) * _PACK)
+        raw[at], good[at] = np.frombuffer(r["raw"], np.int64), np.frombuffer(r["target"], np.int64)
     ratio = np.zeros(BUCKETS)
     if good.sum():
         # equal pseudo-counts on both sides: an n-gram that is rare in all documents says little
         ratio = np.log((good + smoothing) / (raw * (good.sum() / raw.sum()) + smoothing))
     noise = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id", "mark"), 11).cast("double") + 0.5) / float(1 << 53)
-    scores = rows.select("doc_id", "mark", noise.alias("u"), "text").mapInArrow(_weigh(ratio), "doc_id bigint, mark bigint, n_grams bigint, log_weight double, noisy_weight double, key bigint")
+    scores = rows.select("doc_id", "mark", noise.alias("u"), "text").mapInArrow(_weigh(docs.sparkSession.sparkContext.broadcast(ratio)), "doc_id bigint, mark bigint, n_grams bigint, log_weight double, noisy_weight double, key bigint")
     scores = materialize(scores, "weights")
     n = scores.count()
     if share is None:
