@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -33,6 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, by: str, n: int, total: int, tie: str) -> DataFrame:
+    """The ``n`` rows of least 64-bit hash ``by`` among about ``total``; fewer if ``by`` takes few values.
+
+    Only rows in the lowest part of the hashes, where 4 ``n`` rows are expected, are sorted, so that all
+    tasks together hand on that many rather than ``n`` each.
+    """
+    bound = -(1 << 63) + min((1 << 64) - 1, 4 * n * (1 << 64) // max(total, 1))
+    return df.filter(F.col(by) <= F.lit(bound)).orderBy(by, tie).limit(n)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:

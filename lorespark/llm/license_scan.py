@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
+from ._store import least_hashed
 
 DIMS = 1 << 16
 #: Wording of well-known licence notices by family.
@@ -241,8 +242,9 @@ def background_sample(docs: DataFrame, max_background: int, seed: int) -> list[s
     order = F.xxhash64(F.lit(seed), "doc_id")
     rows = docs.filter("text IS NOT NULL").select(order.alias("o"), "doc_id", F.split("text", "\n").alias("lines"))
     line = F.element_at(F.col("lines"), (F.pmod(F.col("o"), F.size("lines")) + 1).cast("int"))
-    picked = rows.select("o", "doc_id", F.slice(F.split(line, " "), 1, 80).alias("w")).orderBy("o", "doc_id").limit(max_background)
-    return [t for r in picked.select(F.array_join("w", " ").alias("t")).collect() if (t := r["t"].strip())]
+    paragraphs = rows.select("o", "doc_id", F.array_join(F.slice(F.split(line, " "), 1, 80), " ").alias("t"))
+    picked = least_hashed(paragraphs, "o", max_background, docs.count(), "doc_id")
+    return [t for r in picked.collect() if (t := r["t"].strip())]
 
 
 def license_scan(docs: DataFrame, max_background: int = 2000, min_probability: float = 0.5, min_template: float = 0.7, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
