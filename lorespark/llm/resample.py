@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
-from ._store import materialize
+from ._store import least_hashed, materialize
 
 BUCKETS = 1 << 20
 MAX_TARGET = 20_000
@@ -107,7 +107,7 @@ def _threshold(keys: DataFrame, k: int) -> int:
 
 def target_sample(labels: DataFrame, max_target: int = MAX_TARGET, seed: int = 23) -> DataFrame:
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("target_id")).distinct()
-    return good.orderBy(F.xxhash64(F.lit(seed), "target_id"), "target_id").limit(max_target)
+    return least_hashed(good.withColumn("o", F.xxhash64(F.lit(seed), "target_id")), "o", max_target, good.count(), "target_id").select("target_id")
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET, smoothing: float = 2.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
