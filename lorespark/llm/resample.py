@@ -110,7 +110,7 @@ def target_sample(labels: DataFrame, max_target: int = MAX_TARGET, seed: int = 2
     return least_hashed(good.withColumn("o", F.xxhash64(F.lit(seed), "target_id")), "o", max_target, good.count(), "target_id").select("target_id")
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET, smoothing: float = 2.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET, smoothing: float = 20.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     target = materialize(target_sample(labels, max_target, seed).withColumn("is_target", F.lit(True)), "target")
