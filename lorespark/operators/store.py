@@ -111,3 +111,26 @@ def deepest_container(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     hit = segments.join(n, (F.col("source_id") == F.col("_s")) & (F.col("_a") <= F.col("line_start")) & (F.col("_b") >= F.col("line_end")), "left")
     best = F.max_by("container", F.struct("_l", -F.col("_a")))
     return hit.groupBy("source_id", "line_start", "line_end").agg(best.alias("container"))
+
+
+def natural_key(*columns: Column) -> Column:
+    """An id that follows from the row's own values, so that a job that runs again makes the same one."""
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def update_columns(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Columns of ``changes`` that aren't null replace those of the row with the same key."""
+    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key))
+    joined = old.join(new, key, "left")
+    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c != key and c in changes.columns else F.col(c) for c in old.columns))
+
+
+def valid_units(units: DataFrame, points: DataFrame) -> DataFrame:
+    """Units with a center and at least one point, none of them empty."""
+    sums = points.groupBy("unit_id").agg(F.count("*").alias("n_points"), F.bool_and(F.trim(F.coalesce("content", F.lit(""))) != "").alias("_full"))
+    return units.filter("trim(coalesce(center, '')) <> ''").join(sums.filter("_full").drop("_full"), "unit_id")
+
+
+def ranked(df: DataFrame, by: str, score: Column, tie: str) -> DataFrame:
+    """Ranks from 0 by falling score within ``by``; equal scores by ``tie``."""
+    return df.withColumn("rank", (F.row_number().over(W.partitionBy(by).orderBy(score.desc(), tie)) - 1).cast("bigint"))

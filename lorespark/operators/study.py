@@ -87,3 +87,11 @@ def report(summary: DataFrame, cand: DataFrame, top_gaps: DataFrame) -> DataFram
     c = cand.agg(F.count("*").alias("n_candidates"))
     g = top_gaps.agg(F.to_json(F.array_sort(F.collect_list(F.struct("question_terms", "hit_count")))).alias("gaps"))
     return summary.crossJoin(c).crossJoin(g)  # one row each
+
+
+def cooccurrence_merge(before: DataFrame, batch: DataFrame) -> DataFrame:
+    """Counts after a later batch: its first sights of (question, point) that weren't seen before add to the old counts."""
+    seen = before.select("question_hash", "point_id").distinct()
+    fresh = batch.join(seen, ["question_hash", "point_id"], "left_anti")
+    both = cooccurrence(before).unionByName(cooccurrence(fresh))
+    return both.groupBy("question_terms", "point_id").agg(F.sum("hit_count").alias("hit_count"), F.sum("confident_count").alias("confident_count"), F.max("last_seen_at").alias("last_seen_at"))

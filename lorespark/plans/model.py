@@ -14,7 +14,7 @@ DERIVED: dict[str, str] = {
     "units": """SELECT p_partkey AS unit_id, CAST(p_size AS BIGINT) AS source_id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 25 END AS concept_id, p_name AS center,
         CASE WHEN p_partkey % 9 = 0 THEN 'extraction_failed' ELSE 'completed' END AS status FROM part""",
     "points": """SELECT l_orderkey * 10 + l_linenumber AS point_id, l_partkey AS unit_id, concat(l_returnflag, '-', l_linestatus, '-', CAST(l_suppkey AS VARCHAR(20))) AS content,
-        l_shipdate AS created_at FROM lineitem WHERE l_linenumber <= 3""",
+        l_shipdate AS created_at FROM lineitem""",
     "relations": """SELECT l_orderkey * 10 + l_linenumber AS relation_id, l_partkey AS source_point, l_suppkey + (l_orderkey % 20) * 10 AS target_point,
         CASE WHEN l_linenumber % 4 = 0 THEN 'contradicts' ELSE 'related' END AS relation_type, CASE WHEN l_orderkey % 2 = 0 THEN 'directed' ELSE 'bidirectional' END AS direction FROM lineitem""",
     "traces": """SELECT event_id AS trace_id, concat('Question ', CAST(user_id AS VARCHAR(20)), '?') AS question, concat('terms ', CAST(user_id % 60 AS VARCHAR(20))) AS question_terms,
