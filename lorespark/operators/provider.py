@@ -90,7 +90,7 @@ def node_summaries(nodes: DataFrame, provider: Provider, budget: int = 3000) ->
 
 def document_summaries(docs: DataFrame, domains: DataFrame, provider: Provider) -> DataFrame:
     """A document's summary, its first paragraph if none comes, and the domain named, if it exists."""
-    got = docs.withColumn("r", ask(F.to_json(F.struct("source_id", F.left("text", F.lit(4000)).alias("text"))), provider, "summary string, domain_id string"))
+    got = docs.withColumn("r", ask(F.to_json(F.struct("source_id", "text")), provider, "summary string, domain_id string"))
     first = tx.first_paragraph(F.col("text"))
     rows = got.select("source_id", F.coalesce(F.nullif(F.col("r.summary"), F.lit("")), first).alias("summary"), F.col("r.domain_id").alias("named"))
     return rows.join(domains.select(F.col("domain_id").alias("named"), F.col("domain_id")).distinct(), "named", "left").select("source_id", "summary", "domain_id")
