@@ -103,12 +103,13 @@ def _survey(k: int):
 def levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First size of each level, and of each level its number of parts and of spare parts.
 
-    Sets that link are of one level or of two that follow each other. Those that meet at a
+    They go to the level after that of ``largest``, where sets of another slice may be; a level
+    is the same whatever ``largest`` is. Sets that link are of one level or of two that follow each other. Those that meet at a
     level differ in less than ``parts - spare`` shingles, so that they agree on over ``spare``
     parts. No parts: sets meeting there link only if equal.
     """
     first = [1]
-    while first[-1] <= largest or len(first) < 4:
+    while len(first) < 4 or first[-2] <= largest:
         first.append(max(first[-1] + 1, den * (first[-1] - 1) // num + 1))
     parts, spare = [], []
     for j in range(len(first) - 1):
@@ -117,7 +118,7 @@ def levels(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np
         extra = 1 + math.ceil(2 * differ * math.exp(-least / (differ + 1)))
         parts.append(differ + 1 + extra if differ else 0)
         spare.append(extra if differ else 0)
-    return np.array(first[:-1]), np.array(parts + [0]), np.array(spare + [0])
+    return np.array(first[:-1]), np.array(parts), np.array(spare)
 
 
 def signatures(token: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:

@@ -103,3 +103,30 @@ def test_linked_sets_share_a_signature():
             token = np.array(x + y, np.uint64)
             row, sign = nj.signatures(token, np.array([0, len(x), len(x) + len(y)]), num, 100)
             assert set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
+
+
+def test_linked_sets_share_a_signature_across_slices():
+    rnd = random.Random(9)
+    pairs = [(num, n, m) for num in (80, 90) for n in (*range(1, 130), 400, 5000) for m in range(n + 1, 100 * n // num + 1)]
+    for num, n, m in rnd.sample(pairs, 600) + [(90, 100, 103), (90, 100, 111), (80, 100, 125)]:
+        y = np.array(rnd.sample(range(10**7), m), np.uint64)
+        signs = [set(nj.signatures(token, np.array([0, len(token)]), num, 100)[1].tolist()) for token in (y[:n], y)]
+        assert signs[0] & signs[1], (num, n, m)
+
+
+def test_links_across_slices(spark, monkeypatch):
+    rnd = random.Random(10)
+    rows = []
+    for i, (n, m) in enumerate(((102, 105), (102, 108), (52, 54), (400, 420))):
+        words = [f"d{i}w{rnd.randrange(10**6)}" for _ in range(m)]
+        rows += [(10 * i, " ".join(words[:n])), (10 * i + 1, " ".join(words))]
+    whole = nj.tk.text_slices
+    monkeypatch.setattr(nj.tk, "text_slices", lambda column: whole(column, 1))  # each text is a slice
+    batches = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("text").toArrow().to_batches()
+    array = type("Array", (), {"value": np.full(1 << 13, 255, np.uint8)})
+    out = [b.to_pandas() for b in nj._signatures(3, 90, 100, 1 << 16, array)(iter(batches))]
+    stars: dict[int, set[int]] = {}
+    for pdf in out:
+        for sign, one in zip(pdf["sign"], pdf["one"]):
+            stars.setdefault(sign, set()).add(one)
+    assert sum(len(s) > 1 for s in {frozenset(s) for s in stars.values()}) == 4
