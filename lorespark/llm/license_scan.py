@@ -10,9 +10,15 @@ variants, so that the probabilities are calibrated; a family counts only from ``
 on. A prediction is confirmed if the paragraph's word pairs hold at least ``min_template`` of
 those of one of the family's notices.
 
-Result: one row per input row with ``doc_id, n_paragraphs, n_licensed, families`` (sorted,
-distinct, comma-joined) and ``spans`` (family:start:end by start, comma-joined; code points of
-the paragraph, its white space stripped at both ends). A null text has no paragraphs. Repeated
+Notices are looked for in single paragraphs and in windows of any number of adjacent ones, so
+that a wrapped notice is found: a window is a least stretch of lines, none of them blank, that
+holds ``min_template`` of a notice's pairs (pairs across line breaks count), made longer by the
+lines that go on with that notice. It is classified and confirmed as a single paragraph is. Of
+finds that overlap, the one that holds most pairs of a notice stays, of equal ones the shorter.
+
+Result: one row per input row with ``doc_id, n_paragraphs, n_licensed`` (finds, each of one or
+more paragraphs), ``families`` (sorted, distinct, comma-joined) and ``spans`` (family:start:end by
+start, comma-joined; code points of the find, its white space stripped at both ends). A null text has no paragraphs. Repeated
 rows give repeated results. Other columns are ignored.
 """
 
@@ -43,7 +49,7 @@ TEMPLATES = {
     "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited"],
+    "proprietary": ["All rights reserved", "Confidential and proprietary", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited"],
 }
 FAMILIES = (*TEMPLATES, "unknown")
 _USED = [{w for t in notices for w in t.split()} for notices in TEMPLATES.values()]
@@ -137,9 +143,20 @@ def _pairs(text: str) -> set[int]:
 _NOTICES = [[_pairs(t) for t in TEMPLATES[f]] for f in TEMPLATES]
 
 
-def confirmed(label: int, text: str, least: float) -> bool:
+_SIZES = np.array([len(n) for notices in _NOTICES for n in notices])
+_ALL = np.array(sorted({x for notices in _NOTICES for n in notices for x in n}), np.uint64)
+#: The notices (columns) that have each of all pairs (rows).
+_HAS = np.array([[x in n for notices in _NOTICES for n in notices] for x in _ALL.tolist()])
+
+
+def held(label: int, text: str, least: float) -> int:
+    """Pairs that the text has of the family's notice that it has most of, of those confirmed; 0 if none is."""
     own = _pairs(text)
-    return any(len(own & notice) >= least * len(notice) for notice in _NOTICES[label])
+    return max((len(own & notice) for notice in _NOTICES[label] if len(own & notice) >= least * len(notice)), default=0)
+
+
+def confirmed(label: int, text: str, least: float) -> bool:
+    return held(label, text, least) > 0
 
 
 def train(background: list[str], seed: int = 5, each: int = 60, steps: int = 200) -> tuple[np.ndarray, float, float]:
@@ -203,26 +220,122 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cuts, np.searchsorted(offsets, cuts[:-1], "right") - 1
 
 
+def _windows(data: np.ndarray, lines: np.ndarray, of: np.ndarray, blank: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """First and last line of each stretch of several lines that may be a notice; ``data`` is clean."""
+    if not len(of):
+        return []
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | blank[1:] | blank[:-1]
+    runs = np.append(lines[:-1][fresh], lines[-1])
+    lower = tk.LOWER[data]
+    starts, ends, row = tk.word_spans(lower, runs, _SEPARATOR)
+    if len(starts) < 2:
+        return []
+    pair_row, pair, first = tk.shingles(tk.span_hashes(lower, starts, ends), row, 2)
+    real = first < len(row) - 1
+    real[real] = row[first[real]] == row[first[real] + 1]
+    line = np.searchsorted(lines, starts, "right") - 1
+    top, bottom = line[first[real]], line[first[real] + 1]
+    pair_row, pair = pair_row[real], pair[real]
+    whole = np.bincount(top[top == bottom], minlength=len(of))
+    kind = np.minimum(np.searchsorted(_ALL, pair), len(_ALL) - 1)
+    hit = np.flatnonzero(_ALL[kind] == pair)
+    # each hit once for each notice that has it, grouped by run and notice, in the order of the text
+    which, notice = np.nonzero(_HAS[kind[hit]])
+    at = hit[which]
+    group = pair_row[at].astype(np.int64) * len(_SIZES) + notice
+    distinct = np.unique(group * len(_ALL) + kind[at]) // len(_ALL)
+    ids, n = np.unique(distinct, return_counts=True)
+    ids = ids[n >= least * _SIZES[ids % len(_SIZES)]]
+    mine = np.isin(group, ids)
+    at, group = at[mine], group[mine]
+    order = np.argsort(group, kind="stable")
+    at, group = at[order], group[order]
+    found: set[tuple[int, int]] = set()
+    for g, a, b in zip(ids.tolist(), np.searchsorted(group, ids).tolist(), np.searchsorted(group, ids, "right").tolist()):
+        part = at[a:b]
+        found |= _stretches(kind[part].tolist(), top[part].tolist(), bottom[part].tolist(), whole, least * int(_SIZES[g % len(_SIZES)]))
+    return sorted(found)
+
+
+def _stretches(kind: list[int], top: list[int], bottom: list[int], whole: np.ndarray, need: float) -> set[tuple[int, int]]:
+    """Least stretches of lines that hold ``need`` kinds of one notice's pairs, with the lines that go on with it."""
+    out: set[tuple[int, int]] = set()
+    seen: set[tuple[int, int]] = set()
+    count: dict[int, int] = {}
+    i = 0
+    for j, k in enumerate(kind):
+        count[k] = count.get(k, 0) + 1
+        if len(count) < need:
+            continue
+        while len(count) >= need:
+            if count[kind[i]] == 1:
+                del count[kind[i]]
+            else:
+                count[kind[i]] -= 1
+            i += 1
+        a, b = i - 1, j
+        if (top[a], bottom[b]) in seen:
+            continue
+        seen.add((top[a], bottom[b]))
+        have = set(kind[a : b + 1])
+        while True:  # the rest of its lines, then a line that adds pairs and is joined by one or half of the notice
+            while b + 1 < len(kind) and bottom[b + 1] == bottom[b]:
+                b += 1
+            while a > 0 and top[a - 1] == top[a]:
+                a -= 1
+            have |= set(kind[a : b + 1])
+            low, high = a, b
+            while high + 1 < len(kind) and bottom[high + 1] == bottom[min(b + 1, len(kind) - 1)]:
+                high += 1
+            while low > 0 and top[low - 1] == top[max(a - 1, 0)]:
+                low -= 1
+            if high > b and set(kind[b + 1 : high + 1]) - have and (top[b + 1] <= bottom[b] or bottom[high] == bottom[b] + 1 and 2 * (high - b) >= whole[bottom[high]]):
+                b = high
+            elif low < a and set(kind[low:a]) - have and (bottom[a - 1] >= top[a] or top[low] == top[a] - 1 and 2 * (a - low) >= whole[top[low]]):
+                a = low
+            else:
+                break
+        if bottom[b] > top[a]:
+            out.add((top[a], bottom[b]))
+    return out
+
+
 def _scan(shared, min_probability: float, min_template: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         unknown = len(FAMILIES) - 1
+
+        def predict(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            best = x[:, :unknown].argmax(axis=1)
+            return best, np.exp(x[np.arange(len(x)), best] - np.logaddexp.reduce(x, axis=1))
+
         for batch in batches:
             for a, b, data, offsets in tk.text_slices(batch.column(1)):
                 n = b - a
                 lines, of = _lines(data, offsets)
                 words = np.bincount(np.searchsorted(lines, tk.word_spans(data, lines)[0], "right") - 1, minlength=len(of))
-                x = scores(weights, _clean(data), lines)
-                best = x[:, :unknown].argmax(axis=1)
-                top = x[np.arange(len(of)), best]
-                p = np.exp(top - np.logaddexp.reduce(x, axis=1))
+                clean = _clean(data)
+                best, p = predict(scores(weights, clean, lines))
+                ranges = [(i, i, int(best[i])) for i in np.flatnonzero((p >= min_probability) & (words > 0)).tolist()]
+                if windows := _windows(clean, lines, of, words == 0, min_template):
+                    texts = [data[lines[i] : lines[j + 1]].tobytes().decode() + "\n" for i, j in windows]
+                    best, p = predict(scores(weights, *_rows(texts)))
+                    ranges += [(i, j, int(k)) for (i, j), k, q in zip(windows, best, p) if q >= min_probability]
+                finds = []
+                for i, j, k in ranges:
+                    text = data[lines[i] : lines[j + 1]].tobytes().decode()
+                    if holds := held(k, text, min_template):
+                        finds.append((-holds, j - i, i, j, k, text))
                 found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-                for i in np.flatnonzero((p >= min_probability) & (words > 0)).tolist():
-                    text = data[lines[i] : lines[i + 1]].tobytes().decode()
-                    if confirmed(int(best[i]), text, min_template):
+                taken: set[int] = set()
+                for _, _, i, j, k, text in sorted(finds):
+                    if taken.isdisjoint(range(i, j + 1)):
+                        taken.update(range(i, j + 1))
                         r = int(of[i])
                         begin = len(data[offsets[r] : lines[i]].tobytes().decode()) + len(text) - len(text.lstrip(" \t\n\v\f\r"))
-                        found[r].append((begin, begin + len(text.strip(" \t\n\v\f\r")), int(best[i])))
+                        found[r].append((begin, begin + len(text.strip(" \t\n\v\f\r")), k))
+                found = [sorted(f) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),

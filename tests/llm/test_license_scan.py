@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from lorespark.llm import license_scan as ls
 
@@ -38,3 +39,24 @@ def test_rows(spark):
 
 def test_empty(spark):
     assert ls.license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_and_bare_notices(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for family, notices in ls.TEMPLATES.items():
+        for notice in notices:
+            for width, mark in ((30, ""), (50, "# "), (70, " * ")):
+                wrapped = textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False)
+                before, after = ([" ".join(rnd.choices(" ".join(PROSE).split(), k=9)) for _ in range(rnd.randrange(3))] for _ in range(2))
+                lines = [mark + x for x in wrapped]
+                text = "\n".join([*before, *lines, *after])
+                start = sum(len(x) + 1 for x in before) + len(mark) - len(mark.lstrip())
+                want[len(rows)] = (1, family, f"{family}:{start}:{start + len(chr(10).join(lines).strip())}")
+                rows.append((len(rows), text))
+    rows += [(900, "All rights reserved."), (901, "All rights\n\nreserved"), (902, "Released under the MIT License.\nAll rights reserved."), (903, None)]
+    want |= {900: (1, "proprietary", "proprietary:0:20"), 901: (0, "", ""), 902: (2, "mit,proprietary", "mit:0:31,proprietary:32:52"), 903: (0, "", "")}
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    wrong = [(r["doc_id"], tuple(r)[2:], want[r["doc_id"]], dict(rows)[r["doc_id"]]) for r in got if tuple(r)[2:] != want[r["doc_id"]]]
+    assert not wrong, wrong
