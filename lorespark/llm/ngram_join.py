@@ -85,7 +85,7 @@ def fingerprints(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _survey(k: int):
-    """Rows of (id, set size, fingerprints)."""
+    """Rows of (id, set size, fingerprints, the columns after the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,8 +93,8 @@ def _survey(k: int):
                 token, bounds = shingle_sets(data, offsets, k)
                 one, two = fingerprints(token, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
-                    names=["doc_id", "n_shingles", "one", "two"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), *(batch.column(i).slice(a, b - a) for i in range(2, batch.num_columns))],
+                    names=["doc_id", "n_shingles", "one", "two", *batch.schema.names[2:]],
                 )
 
     return run
@@ -368,8 +368,17 @@ def _link(num: int, den: int):
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See the module's text. ``num / den`` is the least Jaccard similarity of a link."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(docs.mapInArrow(_survey(k), "doc_id bigint, n_shingles bigint, one bigint, two bigint"), "join-survey")
+    return ngram_groups(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The join's rows with the columns ``keys`` of the input, of bigint, and ``group``.
+
+    ``group`` is the same for linked rows only, also where ids are null or repeated; null for an empty set.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    rows = materialize(docs.mapInArrow(_survey(k), ", ".join(["doc_id bigint, n_shingles bigint, one bigint, two bigint", *(f"{c} bigint" for c in keys)])), "join-survey")
+    docs = docs.select("doc_id", "text")
     classes = rows.filter("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
     classes = materialize(classes, "join-classes")
 
@@ -403,10 +412,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     joined = linked.groupBy("one", "two").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     joined = joined.join(classes.select("one", "two", "rep"), ["one", "two"])
     least = joined.groupBy("root").agg(F.min("rep").alias("least"))
-    joined = joined.join(least, "root").select("one", "two", "links", "least")
+    joined = joined.join(least, "root").select("one", "two", "links", "least", "root")
     out = rows.join(classes.select("one", "two", "rep", "weight"), ["one", "two"], "left").join(joined, ["one", "two"], "left")
     return out.select(
         "doc_id", "n_shingles",
         F.coalesce("least", "rep", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("bigint").alias("n_links"),
+        *keys, F.when(F.col("n_shingles") > 0, F.coalesce("root", "one")).alias("group"),
     )
