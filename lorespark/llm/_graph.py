@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import discard, materialize, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of an edge (columns a, b of long); the label is the least node reachable.
 
-    Each round writes its edges to the shared folder. The number of rounds grows with the
+    Each round writes its edges to the shared folder and deletes those of the round before. The number of rounds grows with the
     logarithm of the longest path. Raises if ``max_rounds`` do not suffice.
     """
+    there = written()
     edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
+        before = written() - there
         edges = materialize(_star(_star(edges, True), False), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(a as decimal(38,0)) - b)")).first()
         if now == state:
             break

@@ -3,37 +3,68 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder if all tasks run in the driver, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lorespark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The row as one struct, so that no name of the input can clash with a name that an operator adds."""
+    return F.struct(*(named(c).alias(c) for c in df.columns if c not in without))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    The files outlive any executor. They go when the driver's Python ends.
+    The files outlive any executor. They go by :func:`discard`, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> set[str]:
+    """Folders of tables that are still there."""
+    return set(_WRITTEN)
+
+
+def discard(paths: set[str] | list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        if spark := _WRITTEN.pop(path, None):
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def least_hashed(df: DataFrame, by: str, n: int, total: int, tie: str) -> DataFrame:
     """The ``n`` rows of least 64-bit hash ``by`` among about ``total``; fewer if ``by`` takes few values.
 
@@ -46,10 +77,8 @@ def least_hashed(df: DataFrame, by: str, n: int, total: int, tie: str) -> DataFr
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
         except Exception:  # the session may be gone already
             return

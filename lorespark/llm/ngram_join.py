@@ -21,8 +21,9 @@ A document's set holds its distinct k-word shingles. Two documents link when
    inverted lists; every set is a query against the sets before it by size:
    its longest lists are put aside, the short ones are heap-merged, and what
    occurs often enough there is probed in the long lists by binary search.
-   A block of over ``BLOCK_TOKENS`` shingles is split into parts, and each pair
-   of parts is a task of its own: nothing is capped.
+   A block whose estimated work is over ``TASK_WORK``, or that holds over ``BLOCK_TOKENS``
+   shingles, is split into parts, and each pair of parts, a part with itself too, is a task
+   of its own: nothing is capped. Smaller blocks are dealt to tasks by their work.
 
 Result: one row per input row with ``doc_id``, ``n_shingles`` (set size),
 ``component_id`` (least id reachable by links) and ``n_links`` (documents
@@ -51,6 +52,11 @@ from ._store import materialize
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
+#: Work of a task, about 3 s: shingles times (``QUERY_WORK`` + sets of the block), see :func:`link_block`.
+TASK_WORK = 300_000_000
+QUERY_WORK = 200
+#: Partitions of the linking step at most; beyond that a partition takes several tasks in turn.
+MAX_TASKS = 100_000
 #: Bits of the array of shared shingles at most: 32 MB.
 MAX_BITS = 1 << 28
 #: DivideSkip's tuning factor: long lists L = T / (MU * log2(longest list) + 1).
@@ -299,10 +305,11 @@ def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
     return candidate[enough], count[enough]
 
 
-def link_block(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def link_block(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, num: int, den: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Least-numbered record joined to each record, and the documents that each links with.
 
-    If ``part`` has two values, only records of different parts are compared.
+    ``across``: only records of different parts are compared. Every shingle of a set is looked up
+    once (``QUERY_WORK``), and the records in its lists are as many as sets at most.
     """
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.arange(len(n)), n))
@@ -320,7 +327,6 @@ def link_block(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, num
     later = later[np.argsort(record[later], kind="stable")]
     bounds = np.searchsorted(record[later], np.arange(len(n) + 1))
     size, part, weight = n[order], part[order], weight[order]
-    split = len(np.unique(part)) > 1
     root = list(range(len(n)))
 
     def find(x: int) -> int:
@@ -337,7 +343,7 @@ def link_block(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, num
             continue
         found, count = divide_skip([record[head[i] : i] for i in own.tolist()], max(1, least))
         linked = den * count >= num * (size[q] + size[found] - count)
-        if split:
+        if across:
             linked &= part[found] != part[q]
         found = found[linked]
         links[q] += weight[found].sum()
@@ -358,7 +364,8 @@ def _link(num: int, den: int):
         for _, block in pdf.groupby("block", sort=False):
             block = block.drop_duplicates(["one", "two"])
             sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
-            first, links = link_block(sets, block["weight"].to_numpy(), block["part"].to_numpy(), num, den)
+            across = bool(block["i"].iloc[0] != block["j"].iloc[0])
+            first, links = link_block(sets, block["weight"].to_numpy(), block["part"].to_numpy(), num, den, across)
             one = block["one"].to_numpy()
             out.append(pd.DataFrame({"one": one, "two": block["two"].to_numpy(), "root": one[first], "links": links}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("one", "two", "root", "links")})
@@ -390,9 +397,18 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     blocks = connected_components(edges).select(F.col("node").alias("one"), F.col("label").alias("block"))
 
     candidates = materialize(classes.join(blocks, "one").select("rep", "one", "two", "weight", "block", "n"), "join-candidates")
-    sizes = candidates.groupBy("block").agg(F.sum("n").alias("total")).select("block", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("parts"), "total")
-    largest, tokens = sizes.agg(F.max("parts"), F.sum("total")).first()
-    bins = max(1, math.ceil((tokens or 0) / (BLOCK_TOKENS // 2)))
+    sizes = candidates.groupBy("block").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("members"))
+    work = F.col("total") * (QUERY_WORK + F.col("members"))
+    # a pair of parts holds 2 / parts of the shingles and of the sets
+    parts = F.when((work <= TASK_WORK) & (F.col("total") <= BLOCK_TOKENS), 1).otherwise(
+        F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("total") / BLOCK_TOKENS), F.lit(2))
+    ).cast("int")
+    sizes = materialize(sizes.select("block", parts.alias("parts"), "total", work.alias("work")), "join-blocks")
+    largest, all_work, all_tokens, pairs = sizes.agg(
+        F.max("parts"), F.sum("work"), F.sum("total"), F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))
+    ).first()
+    bins = max(1, math.ceil((all_work or 0) / (TASK_WORK / 2)), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)))
+    n_tasks = bins + int(pairs or 0)
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
         docs.join(candidates.hint("merge"), docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
@@ -405,7 +421,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         parted = sets.filter("parts > 1").withColumn("part", part)
         pairs = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         tasks = whole.unionByName(pairs.select("one", "two", "weight", "block", "tokens", "part", F.col("block").alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-    linked = materialize(tasks.groupBy("task", "i", "j").applyInPandas(_link(num, den), _LINKED), "join-links")
+    linked = materialize(tasks.repartition(min(n_tasks, MAX_TASKS), "task", "i", "j").groupBy("task", "i", "j").applyInPandas(_link(num, den), _LINKED), "join-links")
     if (largest or 0) > 1:
         again = connected_components(linked.filter("one != root").select(F.col("one").alias("a"), F.col("root").alias("b")))
         linked = linked.join(again.withColumnRenamed("node", "one"), "one", "left").withColumn("root", F.coalesce("label", "one"))

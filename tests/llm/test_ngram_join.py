@@ -64,10 +64,39 @@ def test_against_all_pairs(spark):
         assert result(spark, rows, k, num, 100) == brute(rows, k, num, 100)
 
 
+def groups_of_four(seed):
+    rnd = random.Random(seed)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{rnd.randrange(10**6)}" for _ in range(rnd.choice([40, 60]))]
+        rows += [(4 * g + i, " ".join(words) + f" end{i}") for i in range(4)]
+    return rows
+
+
 def test_split_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nj, "BLOCK_TOKENS", 200)
-    rows = corpus(3, 60)
-    assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+    """Blocks split by size or by work, with parts that hold no set at all."""
+    monkeypatch.setattr(nj, "MAX_TASKS", 4)
+    for size, work, rows in ((200, nj.TASK_WORK, corpus(3, 60) + [(1000 + i, t) for i, t in groups_of_four(4)]), (nj.BLOCK_TOKENS, 20_000, groups_of_four(5))):
+        monkeypatch.setattr(nj, "BLOCK_TOKENS", size)
+        monkeypatch.setattr(nj, "TASK_WORK", work)
+        assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
+def test_pairs_of_parts_count_each_link_once():
+    for seed in range(20):
+        rnd = random.Random(seed)
+        base = rnd.sample(range(10**6), 40)
+        sets = [np.array(sorted(base[: rnd.randrange(37, 41)]), np.uint64) for _ in range(rnd.randrange(2, 9))]
+        parts = rnd.randrange(2, 6)
+        part = np.array([rnd.randrange(parts) for _ in sets])
+        total = np.zeros(len(sets), np.int64)
+        for i in range(parts):
+            for j in range(i, parts):
+                own = np.flatnonzero((part == i) | (part == j))
+                _, links = nj.link_block([sets[x] for x in own], np.ones(len(own), np.int64), part[own], 80, 100, i != j)
+                total[own] += links
+        want = [sum(100 * len({*a.tolist()} & {*b.tolist()}) >= 80 * len({*a.tolist()} | {*b.tolist()}) for b in sets) - 1 for a in sets]
+        assert total.tolist() == want
 
 
 def test_empty(spark):
