@@ -3,8 +3,9 @@
 A source of weight w is to make up the share w of the mix. With N documents that are not of a
 weightless source, n of them of the source, its documents have the target repetition rate
 ``scale * w * N / n``. Each document's count is a Poisson variable of that mean: a hash of
-(seed, id, source, text) gives a uniform number, and the inverse distribution function is walked
-up from zero until it exceeds the number. Each document is exploded by its count, and a hash
+(seed, id, source, text) gives a uniform number, and the count is the number of values of the
+distribution function, an array that each source has once, that don't exceed it. Means over
+``MAX_MEAN`` are split into equal parts whose counts add up. Each document is exploded by its count, and a hash
 of (seed, id, text, copy) deals the copies to partitions and orders them there, which is a
 global shuffle that repeats exactly if an executor is lost.
 
@@ -25,10 +26,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, named, packed
 
 
-#: Sources whose rates are broadcast at most.
+#: Sources whose rates are broadcast at most, under 600 bytes each: 30 MB.
 MAX_BROADCAST = 50_000
 
 
@@ -37,38 +38,42 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
-def poisson_quantile(u: Column, mean: Column) -> Column:
-    """The least k whose Poisson distribution function exceeds ``u``.
+#: Parts of a mean have this at most, so that exp(-mean) can't vanish.
+MAX_MEAN = 16.0
 
-    Means over 16 are split into equal parts of at most 16, each with a uniform number of its own,
-    and their counts are added, which is Poisson of the whole mean; so exp(-mean) can't vanish.
-    """
 
-    def one(v: Column, m: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.lit(100))
-        first = F.exp(-m)
-        walked = F.aggregate(
-            steps, F.struct(first.alias("p"), first.alias("cdf"), F.lit(0).alias("k")),
-            lambda s, i: F.struct(
-                (s["p"] * m / i).alias("p"),
-                (s["cdf"] + s["p"] * m / i).alias("cdf"),
-                F.when(s["cdf"] <= v, i).otherwise(s["k"]).alias("k"),
-            ),
-            lambda s: s["k"],
-        )
-        return walked
-
-    parts = F.greatest(F.ceil(mean / 16.0), F.lit(1)).cast("int")
-    added = F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0),
-        lambda s, i: s + one(F.when(i == 1, u).otherwise(uniform(F.lit("part"), i, u)), mean / parts),
+def poisson_cdf(mean: Column) -> Column:
+    """The distribution function of a Poisson variable at 0, 1, ..., up to the first value that no number below 1 reaches."""
+    zero = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)), zero,
+        lambda s, i: F.struct((s["p"] * mean / i).alias("p"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + s["p"] * mean / i).alias("cdf")),
+        lambda s: s["cdf"],
     )
-    return F.when(mean <= 16.0, one(u, mean)).otherwise(added)
+    # steps that add nothing in double precision are left out, so that a draw compares with few values
+    return F.array_distinct(walked)
+
+
+def poisson_parts(mean: Column) -> Column:
+    return F.greatest(F.ceil(mean / MAX_MEAN), F.lit(1)).cast("int")
+
+
+def poisson_draw(u: Column, parts: Column, cdf: Column) -> Column:
+    """The least k with a distribution function over ``u``, for each of ``parts`` equal parts of the mean; their sum.
+
+    The first part takes ``u``, each other one a uniform number that is made from it.
+    """
+
+    def one(v: Column) -> Column:
+        return F.size(F.filter(cdf, lambda c: c <= v))
+
+    added = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, i: s + one(F.when(i == 1, u).otherwise(uniform(F.lit("part"), i, u))))
+    return F.when(parts == 1, one(u)).otherwise(added)
 
 
 def source_rates(docs: DataFrame, weights: dict | None, other: float, scale: float, source_col: str) -> DataFrame:
     """``of`` (a source), ``n``, ``rate`` for each source."""
-    counts = docs.groupBy(F.col(source_col).cast("string").alias("of")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(named(source_col).cast("string").alias("of")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -86,13 +91,16 @@ def source_rates(docs: DataFrame, weights: dict | None, other: float, scale: flo
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, other: float = 0.0, scale: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     rest = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    docs = docs.select(*rest)
-    rates = materialize(source_rates(docs, weights, other, scale, source_col), "rates").select("of", "rate")
+    parts = poisson_parts(F.col("rate"))
+    rates = source_rates(docs, weights, other, scale, source_col)
+    rates = materialize(rates.select("of", "rate", parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf")), "rates").select("of", "parts", "cdf")
     if rates.count() <= MAX_BROADCAST:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("of")))
-    who = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
-    count = poisson_quantile(uniform(who), F.col("rate"))
-    copies = joined.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
-    copies = copies.withColumn("shuffle_key", F.xxhash64(F.lit("order"), who, F.col("copy")))
-    return copies.select(*rest, F.col("copy").cast("bigint").alias("copy"), "shuffle_key").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    who = F.xxhash64(F.lit(seed), named(id_col), named(source_col), named(text_col))
+    rows = docs.select(packed(docs, ("copy", "shuffle_key")).alias("row"), named(source_col).cast("string").alias("from"), who.alias("who"))
+    joined = rows.join(rates, F.col("from").eqNullSafe(F.col("of")))
+    count = poisson_draw(uniform(F.col("who")), F.col("parts"), F.col("cdf"))
+    copies = joined.withColumn("count", count).filter("count > 0").select("row", "who", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    dealt = copies.select("row", F.col("copy").cast("bigint").alias("copy"), F.xxhash64(F.lit("order"), "who", "copy").alias("shuffle_key"))
+    dealt = dealt.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return dealt.select(*(F.col("row").getField(c).alias(c) for c in rest), "copy", "shuffle_key")
