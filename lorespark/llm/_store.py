@@ -32,7 +32,7 @@ def named(column: str) -> Column:
 
 def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
     """The row as one struct, so that no name of the input can clash with a name that an operator adds."""
-    return F.struct(*(named(c).alias(c) for c in df.columns if c not in without))
+    return F.struct(*([named(c).alias(c) for c in df.columns if c not in without] or [F.lit(0).alias("none")]))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

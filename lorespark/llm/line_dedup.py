@@ -10,14 +10,18 @@ holds them. Steps:
    segments are merged on the executors. Its size follows the number of keys up to
    ``MAX_BITS``, which bounds what is broadcast at any input size; a fuller filter only
    sends more lines on to step 2, so results stay exact.
-2. Only lines whose bits are all in the twice-seen filter shuffle: exact keys are
-   grouped, counted by document and their largest id chosen. Counting is pre-aggregated
-   on the map side, so a line that a third of all documents hold is no hot group.
+2. Only lines whose bits are all in the twice-seen filter shuffle, as 128-bit hashes of
+   their keys: they are grouped, counted by document and their largest id chosen. Counting
+   is pre-aggregated on the map side, so a line that a third of all documents hold is no hot
+   group. The choice comes back to the suspected lines by a join on the key; the keys of
+   most documents, ``HOT_KEYS`` at most, are joined by broadcast, so that none is hot there.
 3. Line numbers to drop come back by document.
 
 Defined cases: a null text is one empty line, like an empty one. Every input row is a
 document, repeated rows too; if several rows carry the largest id, all of them keep
-the line. A null id ranks below all others. Columns besides the text pass through.
+the line. A null id ranks below all others. Columns besides the text pass through, whatever
+their names; an empty table gives an empty one. A document's lines are gathered in its own
+row, whatever their number.
 """
 
 from __future__ import annotations
@@ -31,10 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bloom as bloom
-from ._store import materialize
+from ._store import materialize, named, packed
 
-#: Bits of each filter at most: 32 MB, two of which are broadcast.
+#: Bits of each filter at most: 32 MB; the twice-seen one is broadcast. Over about 3.3 x 10^7
+#: keys it gets fuller and lets more lines on to the exact step.
 MAX_BITS = 1 << 28
+#: Keys that are joined by broadcast at most, those of most documents (5 MB).
+HOT_KEYS = 200_000
+#: Documents of a key that is hot, at least.
+HOT_DOCS = 500
 _PROBES = 4
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -107,7 +116,7 @@ def _suspects(min_chars: int, bits: int, shared):
                     if known:
                         ids.append(doc_id)
                         marks.append(mark)
-                        keys.append(key)
+                        keys.append(xxhash.xxh3_128_digest(key))
                         lines.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.binary()), pa.array(lines, pa.list_(pa.int32()))], names=["doc_id", "mark", "key", "lines"])
 
@@ -122,7 +131,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    text = named(text_col).cast("string")
+    base = docs.select(named(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     # a bound on the keys: lines that have min_chars bytes
     n = base.agg(F.sum(F.least(F.octet_length("text") / min_chars, F.size(F.split("text", "\n")).cast("double")))).first()[0] or 0
     bits = min(max_bits, max(1 << 16, bloom.power_of_two(int(n) * 8)))
@@ -131,20 +141,25 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits
 
     suspects = materialize(base.mapInArrow(_suspects(min_chars, bits, shared), "doc_id bigint, mark bigint, key binary, lines array<int>"), "line-suspects")
     found = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    lost = (
-        suspects.join(found.select("key", "keeper"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
-    )
-    lost = materialize(lost.select(F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark"), F.array_sort("drop").alias("lost_lines")), "line-drops")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("lost_id")) & (F.xxhash64(F.col(text_col)) == F.col("lost_mark"))
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    joined = docs.select(*(F.col(c) for c in rest)).join(lost, on, "left")
-    kept = F.when(F.col("lost_lines").isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(
-        F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("lost_lines"), s["i"]))["x"], "\n")
+    found = materialize(found, "line-keys")
+    # fewer than HOT_KEYS keys can have that many of all suspected lines
+    hot = F.col("n") >= max(HOT_DOCS, suspects.count() // HOT_KEYS + 1)
+    marked = suspects.join(F.broadcast(found.filter(hot).select("key", "keeper", F.lit(True).alias("hot"))), "key", "left")
+    rest = marked.filter("hot IS NULL").drop("keeper", "hot").join(found.filter(~hot).select("key", "keeper"), "key")
+    lost = marked.filter("hot").drop("hot").unionByName(rest).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # rows that are equal hold equal lists, which count once
+    lost = lost.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lost"))
+    lost = materialize(lost, "line-drops")
+
+    rows = docs.select(
+        packed(docs, ("n_lines", "n_dropped", text_col)).alias("row"), named(id_col).cast("bigint").alias("own_id"), F.xxhash64(text).alias("own_mark"), F.coalesce(text, F.lit("")).alias("text")
     )
+    joined = rows.join(lost, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark")), "left")
+    lines = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
-        *(kept.alias(c) if c == text_col else F.col(c) for c in rest),
+        *(kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("lost_lines"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
