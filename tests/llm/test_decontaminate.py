@@ -58,7 +58,30 @@ def test_against_brute_force(spark):
 
 def test_without_broadcast(spark):
     docs, items = case(3, [2])
-    assert run(spark, docs, items, broadcast_bytes=0) == brute(docs, items)
+    rnd = random.Random(4)
+    long = " ".join(rnd.choices([f"w{i}" for i in range(40)], k=20_000))
+    docs += [(60, long), (61, f"{long} {items[2][1]} {long}")]
+    assert run(spark, docs, items, broadcast_bytes=0) == run(spark, docs, items) == brute(docs, items)
+
+
+def test_no_position_carries_its_text(spark, monkeypatch):
+    """Beyond the broadcast bound, what a shuffle join by shingle takes has no array of words."""
+    plans = []
+    real = dc.materialize
+
+    def seen(df, name):
+        if name in ("shingle-counts", "candidates"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(dc, "materialize", seen)
+    docs, items = case(3, [])
+    run(spark, docs[:5], items, broadcast_bytes=0)
+    assert len(plans) == 2
+    for plan in plans:
+        join = next(x for x in plan.split("\n") if "Join Inner" in x)
+        side = plan.split("\n")[plan.split("\n").index(join) + 1]
+        assert "Project [" in side and not re.search(r"(?:\[|, )w#\d+(?:,|\])", side), side
 
 
 def test_empty(spark):
