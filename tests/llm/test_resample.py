@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 
 import numpy as np
@@ -59,6 +61,42 @@ def test_gumbel_samples_in_proportion(spark):
     assert len(ids) == 500 and abs(ids.mean() - 1000) < 80
 
 
+def slow_features(text):
+    words = [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in text).split(" ") if w]
+    lower = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    kinds = [["A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or not c.isascii() else "0" if c.isdigit() else c for c in w] for w in words]
+    shapes = ["".join(c for i, c in enumerate(k) if not (i and c == k[i - 1] and c in "Aa0")) for k in kinds]
+    return collections.Counter([("w", w) for w in lower] + [("ww", *p) for p in zip(lower, lower[1:])] + [("s", x) for x in shapes] + [("ss", *p) for p in zip(shapes, shapes[1:])])
+
+
+def test_weights_against_plain_counts(spark):
+    rnd = random.Random(6)
+    bits = ["ab", "Ab", "é1", "x#", "x##", "QQ!", "12", "cd", "ef", "gh", "a-b"]
+    rows = [(i, " ".join(rnd.choices(bits[: 6 if i % 3 else 11], k=rnd.randrange(0, 14))) + rnd.choice(["", "\n", "\tz"])) for i in range(60)] + [(60, None)]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(50)]
+    target = {i for i, q, t in labels if q and not t}
+    have = {i: slow_features(t or "") for i, t in rows}
+    got = rs.importance_resample(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for r in got:
+        want, d = 0.0, r["doc_id"]
+        for f, t in have[d].items():
+            others = [i for i in have if i != d and f in have[i]]
+            g = sum(i in target for i in others)
+            e = len(others) * (len(target) - (d in target)) / (len(have) - 1)
+            z = abs(g - e) / math.sqrt(e + 1)
+            want += math.log((g + rs.SMOOTHING) / (e + rs.SMOOTHING)) * z**4 / (z**4 + rs.SHRINK**4) * (1 + math.log(t))
+        assert abs(r["log_weight"] - want) < 1e-4 and r["n_grams"] == sum(have[d].values()), (d, r, want)
+
+
+def test_targets_stay(spark):
+    docs, labels = tables(spark)
+    got = {r["doc_id"]: r["selected"] for r in rs.importance_resample(docs, labels, keep=0.9).collect()}
+    target = [r["doc_id"] for r in labels.filter("quality = 1 AND toxic = 0").collect()]
+    assert 0.9 <= sum(got[i] for i in target) / len(target) < 0.95
+    none = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(r["selected"] for r in rs.importance_resample(docs, none).collect())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert rs.importance_resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
