@@ -39,8 +39,8 @@ from ._store import least_hashed, materialize, named
 
 BUCKETS = 1 << 20
 MAX_TARGET = 20_000
-SMOOTHING = 1.0
-SHRINK = 3.0
+SMOOTHING = 0.5
+SHRINK = 4.0
 
 
 _SHAPE = np.arange(256, dtype=np.uint8)
