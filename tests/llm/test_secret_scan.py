@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 from lorespark.llm import secret_scan as ss
 
@@ -66,6 +67,75 @@ def test_cost_is_least_over_all_segmentations():
         assert abs(ss.guess_cost(s) - want) < 1e-9, s
 
 
+def slow_cost(s, words):
+    """The least cost over all segmentations, by trying every last segment."""
+    each = ss._brute(s)
+    rank = {w: i + 1 for i, w in enumerate(ss.WORDS)} | {w: len(ss.WORDS) + 1 + i for i, w in enumerate(words)}
+
+    def cost(i, j):
+        x = s[i:j]
+        options = [len(x) * each]
+        for form, extra in ((x.lower(), 0), (x.lower().translate(ss._LEET), 0.3)):
+            if form in rank:
+                options.append(math.log10(2 * rank[form]) + extra + (0.3 if x != x.lower() else 0))
+        if len(x) >= 3 and all(p in ss._NEXT for p in zip(x.lower(), x.lower()[1:])):
+            options.append(math.log10(40 * len(x)) + 0.4)
+        if (m := ss._DATE.match(s, i)) and m.end() == j:
+            options.append(2.1 if len(x) == 4 else 4.6)
+        for size in range(1, len(x) // 2 + 1):
+            if len(x) >= 3 and len(x) % size == 0 and x[:size] * (len(x) // size) == x:
+                options.append(size * each + math.log10(len(x) // size))
+        return min(options)
+
+    best = [{0: 0.0}] + [{} for _ in s]
+    for j in range(1, len(s) + 1):
+        for i in range(j):
+            c = cost(i, j)
+            for k, v in best[i].items():
+                best[j][k + 1] = min(best[j].get(k + 1, math.inf), v + c)
+    return min(v + math.log10(math.factorial(k)) for k, v in best[len(s)].items())
+
+
+def test_long_values_against_all_segmentations():
+    """Values beyond 24 characters, 8 segments and blocks of 8 characters, and the verdict at several bounds."""
+    rnd = random.Random(7)
+    extra = ["elephant", "garden", "understanding", "unavailable"]
+    words = ss.ranked([*ss.WORDS, *extra])
+    bits = ["password", "Admin", "qwerty", "aaaa", "2024", "1999-12-31", "x9Q", "0123456789", "elephant", "Garden", "un4v4il4ble", "839274615", "zz", "lkjh", "$#", "é"]
+    values = ["839274615" * 3, "elephantgarden", "understanding", "password1password2password3", "ab" * 30, "q1" + "x" * 40, "adminrootloginuserguesttestloveapikeytoken"]
+    values += ["".join(rnd.choices(bits, k=rnd.randrange(1, 8))) for _ in range(25)]
+    for value in values:
+        want = slow_cost(value, extra)
+        assert abs(ss.guess_cost(value, words=words) - want) < 1e-9, value
+        for bound in (6.0, 12.0, 20.0):
+            got = ss.guess_cost(value, bound, words)
+            assert got == math.inf if want >= bound else abs(got - want) < 1e-9, (value, bound)
+
+
+def test_very_long_values_take_little_time():
+    began = time.perf_counter()
+    assert ss.guess_cost("ab" * 200_000, 12.0) < 12
+    assert abs(ss.guess_cost("a" * 300_000 + "2024", 12.0) - (math.log10(36) + math.log10(300_000) + 2.1 + math.log10(2))) < 1e-9
+    assert ss.guess_cost("".join(random.Random(3).choices("abcXYZ0189#", k=300_000)), 12.0) == math.inf
+    assert ss.guess_cost("".join(c * 900 for c in "abcdefgh" * 20), 12.0) == math.inf
+    assert time.perf_counter() - began < 20
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    said = ["The token is unavailable right now.", "Their secret is understanding people.", "password: elephantgarden"]
+    prose = "it is unavailable while understanding the elephant in a garden"
+    rows = [(i, f"{prose} {i}\nsecret: zqxjvkwpqzhh" if i < 9 else prose) for i in range(12)] + [(100 + i, t) for i, t in enumerate(said)]
+    got = {r["doc_id"]: r["n_guess"] + r["n_assign"] for r in ss.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100], got[101], got[102]] == [0, 0, 1]  # the last one is a base span
+    assert all(got[i] == 1 for i in range(9))
+    words = ss.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    known = lambda w: math.isfinite(words.log_rank(ss.ranked([w]).hashes)[0])
+    assert known("elephant") and known("unavailable") and not known("zqxjvkwpqzhh")
+    few = ss.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), max_words=3)
+    assert len(few.hashes) <= 3
+    assert ss.secret_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_rows(spark):
     rows = [(1, 'my pwd: "xK9#vQ2$mZ7!pL" ok', "a"), (2, None, "b"), (3, "", "c"), (None, "secret = abcdefgh", "d"), (1, "token=abc", None), (4, "x" * 300_000 + " token: " + "f" * 40, "e"), (5, "password is password", "f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
