@@ -48,3 +48,11 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert cf.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_many_turns(spark):
+    rows = [(1, t, "assistant" if t % 3 else "user", f"{t}é" * (t % 5), "y") for t in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, t string").repartition(3)
+    out = cf.chat_format(df).withColumn("loss", cf.masked(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert [(r["conv_id"], r["formatted"], [tuple(s) for s in r["loss_spans"]]) for r in out] == [x[:3] for x in brute(rows)]
+    assert out[0]["loss"] == "".join(x for _, _, r, x, _ in rows if r == "assistant")
