@@ -1,4 +1,5 @@
 import random
+import time
 
 from lorespark.llm import html_extract as he
 
@@ -25,6 +26,74 @@ def test_scored_container_and_siblings():
     assert got.split("\n") == ["Title", (LONG * 3).strip(), "Short.", (LONG * 2).strip(), "After, plain."]
 
 
+def test_names_that_say_something_else():
+    long = LONG.strip()
+    for wrapped in (
+        f'<div id="main-content" class="with-ads"><p>{LONG}</p></div>', f'<div class="article-body has-sharing"><p>{LONG}</p></div>',
+        f'<article class="post type-post comments-open"><p>{LONG}</p></article>', f'<form action="/x"><div><p>{LONG}</p><input name=q></div></form>',
+        f'<article><p class="market-share">{LONG}</p></article>', f'<div style="visibility: hidden"><p>{LONG}</p></div>',
+        f'<form><div class="alert"><article><p>{LONG}</p></article></div></form>', f'<div class="related header"><p>{LONG}</p></div>',
+    ):
+        furniture = '<nav><a href="/">Home, sweet home, a long name for a link</a></nav><div class="cookie-bar">We use cookies, many of them.</div><footer>Imprint</footer>'
+        assert he.extract(page(wrapped + furniture)) == long, wrapped
+
+
+def test_parts_that_go():
+    comments = "".join(f'<article class="comment"><p>{LONG}</p></article>' for _ in range(9))
+    for part in (
+        f'<section class="comments">{comments}</section>', f'<div class="ad-content"><p>{LONG * 9}</p></div>', f'<div class="acme-ads"><p>{LONG * 9}</p></div>', f'<div id="siteFooter"><p>{LONG}</p></div>',
+        f'<aside>{LONG * 9}</aside>', f'<div role="navigation">{LONG}</div>', f'<p class="ad">{LONG}</p>', f'<div hidden><p>{LONG}</p></div>', f'<form><p>{LONG}</p></form>', f'<ol class="commentlist"><li><p>{LONG}</p></li></ol>',
+        f'<div class="share">Share, tweet, and so on, and on, and on.</div>', f'<div class="newsletter-signup"><p>{LONG * 4}</p></div>', f'<header class="masthead"><p>{LONG}</p></header>',
+    ):
+        for article in (f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>", f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>"):
+            for whole in (part + article, article + part):
+                assert he.extract(page(whole)) == "\n".join(["T", LONG.strip(), LONG.strip()]), (whole[:200])
+    assert he.extract(page(f"<article><h1>T</h1><p>{LONG}</p><div class='ad'>{LONG}</div><footer>By me</footer></article>")) == f"T\n{LONG.strip()}"
+
+
+def test_linked_references_stay():
+    works = "".join(f"<li><a href=/{i}>A linked work, number {i}</a></li>" for i in range(4))
+    got = he.extract(page(f"<article><p>{LONG}</p><h2>Sources</h2><ul>{works}</ul></article>"))
+    assert got.split("\n") == [LONG.strip(), "Sources", *(f"A linked work, number {i}" for i in range(4))]
+
+
+def test_scoring_without_article_tags():
+    """Pages of plain containers: what the text was made of has to come back."""
+    rnd = random.Random(3)
+    words = "the of and river mill went to a house by old road with green hills, where people sang, and it rained".split()
+
+    def prose(least, most):
+        return " ".join(rnd.choices(words, k=rnd.randrange(least, most))).capitalize() + "."
+
+    right = 0
+    for _ in range(200):
+        want = [prose(4, 9)] + [prose(25, 120) for _ in range(rnd.randrange(3, 9))]
+        body = [f"<h1>{want[0]}</h1>", *(f"<p>{x}</p>" for x in want[1:])]
+        if rnd.random() < 0.4:
+            at = rnd.randrange(2, len(body) + 1)
+            want[at:at] = [prose(3, 6), x := prose(6, 20), y := prose(6, 20)]
+            body.insert(at, f"<h2>{want[at]}</h2><ul><li>{x}</li><li>{y}</li></ul>")
+        name = rnd.choice(["", ' class="content"', ' id="c1"', ' class="post-body"'])
+        inner = f"<div{name}>{''.join(body)}</div>"
+        if rnd.random() < 0.3:  # two sections
+            cut = rnd.randrange(2, len(body))
+            inner = f"<div{name}><div>{''.join(body[:cut])}</div><div>{''.join(body[cut:])}</div></div>"
+        links = "".join(f"<li><a href=/{i}>{prose(2, 6)}</a></li>" for i in range(rnd.randrange(4, 15)))
+        around = [f'<div class="{rnd.choice(["menu", "top-nav", "x9"])}"><ul>{links}</ul></div>', f'<div class="{rnd.choice(["sidebar", "side-box", "ad-box"])}"><p>{prose(5, 40)}</p></div>', f'<div id="{rnd.choice(["footer", "page-footer"])}">{prose(5, 20)}</div>']
+        rnd.shuffle(around)
+        at = rnd.randrange(4)
+        got = he.extract(page(f"<div>{''.join(around[:at])}{inner}{''.join(around[at:])}</div>"))
+        right += got == "\n".join(want)
+    assert right >= 190, right
+
+
+def test_hostile_pages_take_little_time():
+    for bad in ("</i>" * 60_000 + "<div><b>" * 60_000 + "</i>" * 60_000, "<a =" * 250_000, "<a b='" * 160_000, "<div>" * 200_000, "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000, "<" * 1_000_000, "<form><p>a text that is long enough, with commas, " * 20_000):
+        began = time.perf_counter()
+        he.extract(bad)
+        assert time.perf_counter() - began < 5, bad[:40]
+
+
 def test_odd_pages():
     assert he.extract(None) == he.extract("") == he.extract("   ") == he.extract("<p></p>") == ""
     assert he.extract("just text") == "just text"
