@@ -155,7 +155,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits
         packed(docs, ("n_lines", "n_dropped", text_col)).alias("row"), named(id_col).cast("bigint").alias("own_id"), F.xxhash64(text).alias("own_mark"), F.coalesce(text, F.lit("")).alias("text")
     )
     joined = rows.join(lost, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark")), "left")
-    lines = F.split("text", "\n")
+    joined = joined.withColumn("lines", F.split("text", "\n"))  # a column, as inside a function over an array it would be split again each time
+    lines = F.col("lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
     kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
