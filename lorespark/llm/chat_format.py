@@ -95,8 +95,9 @@ def read_back(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, r"\[/INST\]</s>"), lambda b: b != "")
 
     def turns(b: Column) -> Column:
-        parts = F.split(F.substring(b, F.lit(len(OPEN) + 1), F.char_length(b)), r"\[INST\]", 2)
-        return F.transform(F.split(F.get(parts, F.lit(1)), r"\[SEP\]"), lambda x: F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(x).alias("text")))
+        # role and texts as the element of an array, so that a block is cut once and not for each turn
+        parts = F.array(F.split(F.substring(b, F.lit(len(OPEN) + 1), F.char_length(b)), r"\[INST\]", 2))
+        return F.flatten(F.transform(parts, lambda p: F.transform(F.split(F.get(p, F.lit(1)), r"\[SEP\]"), lambda x: F.struct(unescape(F.get(p, F.lit(0))).alias("role"), unescape(x).alias("text")))))
 
     return F.flatten(F.transform(blocks, turns))
 
