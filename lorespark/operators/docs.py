@@ -60,10 +60,10 @@ def virtual_headings(heads: DataFrame) -> DataFrame:
 
 
 def repair_sections(sections: DataFrame, totals: DataFrame) -> DataFrame:
-    """Clamped to the document and sorted; a section ends right before the next one if that is of its level."""
+    """Clamped to the document and to levels 1 to 3, and sorted; a section ends right before the next one if that is of its level."""
     s = sections.join(totals, "source_id")
-    s = s.select("source_id", "title", F.greatest("line_start", F.lit(1)).alias("line_start"), F.least("line_end", "total_lines").alias("line_end"), F.greatest(F.least("level", F.lit(4)), F.lit(1)).alias("level"), "total_lines")
-    s = s.filter("line_start <= line_end AND title <> ''")
+    s = s.select("source_id", "title", F.greatest("line_start", F.lit(1)).alias("line_start"), F.least("line_end", "total_lines").alias("line_end"), F.greatest(F.least("level", F.lit(3)), F.lit(1)).alias("level"), "total_lines")
+    s = s.filter("line_start <= line_end AND trim(title) <> ''")
     w = W.partitionBy("source_id").orderBy("line_start", "level", "title")
     same = F.lead("level").over(w) == F.col("level")
     s = s.withColumn("fixed", F.when(same, F.greatest(F.lead("line_start").over(w) - 1, F.col("line_start"))).otherwise(F.col("line_end")))

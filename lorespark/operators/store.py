@@ -59,7 +59,7 @@ def delete_cascade(tables: dict[str, DataFrame], source_ids: DataFrame) -> dict[
 
 
 def keep_newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first ``n`` rows, found by a top-n and a semi join rather than a sort of all rows."""
+    """The first ``n`` rows, found by a top-n rather than a sort of all rows."""
     return df.orderBy(*order).limit(n)
 
 
@@ -79,16 +79,27 @@ def leaves(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     return nodes.join(parents, nodes[key] == F.col("_p"), "left_anti")
 
 
-def closure(nodes: DataFrame, key: str, parent: str, seeds: DataFrame, depth: int = 4) -> DataFrame:
-    """Seeds and all their descendants up to ``depth`` levels down."""
-    found = seeds.select(F.col(key)).distinct()
-    front = found
-    for _ in range(depth):
-        front = nodes.select(F.col(key), F.col(parent).alias("_p")).join(front.select(F.col(key).alias("_p")), "_p").select(key)
-        found = found.unionByName(front).distinct()
+def descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame) -> DataFrame:
+    """``seed`` and each node at or below it, to the end of every path; a cycle is walked once.
+
+    Each level is one join, written to the shared folder, of nodes that weren't there before.
+    """
+    from lorespark.sources.shared import stored
+
+    child = nodes.select(F.col(key).alias("_child"), F.col(parent).alias(key))
+    found = front = stored(seeds.select(F.col(key).alias("seed"), F.col(key)).distinct(), "below")
+    while not front.isEmpty():
+        step = front.join(child, key).select("seed", F.col("_child").alias(key)).distinct()
+        front = stored(step.join(found, ["seed", key], "left_anti"), "below")
+        found = found.unionByName(front)
     return found
 
 
+def closure(nodes: DataFrame, key: str, parent: str, seeds: DataFrame) -> DataFrame:
+    """Seeds and all their descendants."""
+    return descendants(nodes, key, parent, seeds).select(key).distinct()
+
+
 def neighbours(relations: DataFrame, seeds: DataFrame) -> DataFrame:
     """Points one step away over relations that don't contradict: outgoing ones, and incoming ones if bidirectional."""
     ok = relations.filter("relation_type <> 'contradicts'")
@@ -113,6 +124,12 @@ def deepest_container(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.groupBy("source_id", "line_start", "line_end").agg(best.alias("container"))
 
 
+def delete_failed(sources: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources that stay, and those of ``asked`` (source_id) that go: only failed ones may."""
+    gone = sources.filter("status = 'failed'").join(asked, "source_id", "left_semi").select("source_id")
+    return sources.join(gone, "source_id", "left_anti"), gone
+
+
 def natural_key(*columns: Column) -> Column:
     """An id that follows from the row's own values, so that a job that runs again makes the same one."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)

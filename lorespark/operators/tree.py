@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -10,10 +11,15 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_line IS NULL")
 
 
-def top_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each member's group: its node if that is a root, else ``ungrouped``. ``members``: source_id, container."""
-    top = roots(nodes).select("source_id", F.col("line_start").alias("container"), F.col("title").alias("top"))
-    return members.join(top, ["source_id", "container"], "left").withColumn("grp", F.coalesce("top", F.lit("ungrouped"))).drop("top")
+def groups_of_lines(members: DataFrame, nodes: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each member's group: the root whose lines, up to the next root, hold the member's; else ``ungrouped``.
+
+    ``members``: source_id, line_start, line_end. The range join meets only roots of the member's source.
+    """
+    next_ = F.lead("line_start").over(W.partitionBy("source_id").orderBy("line_start")) - 1
+    top = roots(nodes).join(totals, "source_id").select(F.col("source_id").alias("_s"), F.col("line_start").alias("_a"), F.coalesce(next_, "total_lines").alias("_b"), F.col("title").alias("grp"))
+    hit = (F.col("source_id") == F.col("_s")) & (F.col("line_start") >= F.col("_a")) & (F.col("line_end") <= F.col("_b"))
+    return members.join(top, hit, "left").drop("_s", "_a", "_b").withColumn("grp", F.coalesce("grp", F.lit("ungrouped")))
 
 
 def nested(nodes: DataFrame, levels: int = 4) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as tx
 from lorespark.operators import answer, store, tree
 from lorespark.operators import docs as dc
-from lorespark.operators import retrieval as rt
 from lorespark.operators import study as st
 from lorespark.plans import relational as rel
-from lorespark.plans.knowledge import CAND, COOC, MARKDOWN, QT, _bm25, _cand, _match, _parts, _questions
+from lorespark.plans.knowledge import CAND, COOC, MARKDOWN, _cand, _parts
 
 _OWN: list[str] = []
 
@@ -98,11 +97,6 @@ def _(u, p):
     return store.valid_units(u, p).select("unit_id", "n_points")
 
 
-@query("FLT21_phrase_in_text", ("sources",), "SELECT source_id, contains(text, 'ing') OR contains(text, 'the') OR contains(text, 'eit') AS named FROM sources")
-def _(s):
-    return s.select("source_id", F.exists(F.array(*map(F.lit, ("ing", "the", "eit"))), lambda n: F.contains(F.col("text"), n)).alias("named"))
-
-
 @query("FLT23_long_leaves", ("sources",), f"""WITH {MARKDOWN} SELECT a.source_id, a.line_start FROM ol a JOIN sources s USING (source_id)
     WHERE NOT EXISTS (SELECT 1 FROM ol b WHERE b.source_id = a.source_id AND b.parent_line = a.line_start) AND length(array_to_string(list_slice(string_split(s.text, chr(10)), a.line_start, a.line_end), chr(10))) > 200""")
 def _(s):
@@ -162,13 +156,6 @@ def _(s, d):
     return d.join(hits, "domain_id", "left").select("domain_id", "name", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
 
 
-@query("JOI12_top_groups", ("sources",), f"WITH {MARKDOWN} SELECT source_id, CASE WHEN parent_line IS NULL THEN title ELSE 'ungrouped' END AS grp, count(*) AS n FROM ol GROUP BY ALL")
-def _(s):
-    nodes = _parts(s)[2]
-    members = nodes.select("source_id", F.col("line_start").alias("container"))
-    return tree.top_groups(members, nodes).groupBy("source_id", "grp").agg(F.count("*").alias("n"))
-
-
 @query("JOI13_point_to_unit", ("points", "units"), "SELECT point_id, unit_id, center FROM points JOIN units USING (unit_id) WHERE status = 'completed'")
 def _(p, u):
     return p.join(u.filter("status = 'completed'"), "unit_id").select("point_id", "unit_id", "center")
@@ -192,12 +179,6 @@ def _(t):
     return st.cooccurrence(t).select("question_terms", "point_id", F.round(st.purity(F.col("confident_count"), F.col("hit_count")), 6).alias("purity"))
 
 
-@query("AGG14_best_per_question", ("benchmark", "sources"), f"WITH {QT}, {_bm25('text', 'm')} SELECT q, max(score) AS best, string_agg(doc, ',' ORDER BY rank) AS docs FROM m GROUP BY 1")
-def _(b, s):
-    hits = F.array_sort(F.collect_list(F.struct("rank", "doc")))
-    return _match(b, s, "text").groupBy("q").agg(F.max("score").alias("best"), F.array_join(F.transform(hits, lambda h: h["doc"].cast("string")), ",").alias("docs"))
-
-
 @query("AGG16_outline_sums", ("sources",), f"WITH {MARKDOWN} SELECT source_id, count(*) AS n, sum(line_end - line_start + 1)::BIGINT AS covered, min(level) = max(level) AS flat FROM ol GROUP BY 1")
 def _(s):
     return _parts(s)[2].groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("covered"), (F.min("level") == F.max("level")).alias("flat"))
@@ -286,36 +267,6 @@ def _(s):
 # --- retrieval and answers -----------------------------------------------------------------------
 
 
-@query("SRT04_top_before_filter", ("benchmark", "sources"), f"WITH {QT}, {_bm25('text', 'm')} SELECT q, doc, rank FROM m JOIN sources ON source_id = doc WHERE status = 'completed'")
-def _(b, s):
-    ok = s.filter("status = 'completed'").select(F.col("source_id").alias("doc"))
-    return _match(b, s, "text").join(ok, "doc", "left_semi").select("q", "doc", "rank")
-
-
-@query("RET03_unit_recall", ("points", "units"), "SELECT unit_id, max(point_id % 53) AS score, arg_max(point_id, (point_id % 53, -point_id)) AS point_id FROM points JOIN units USING (unit_id) WHERE status = 'completed' GROUP BY 1")
-def _(p, u):
-    rows = p.join(u.filter("status = 'completed'").select("unit_id"), "unit_id", "left_semi").withColumn("score", F.col("point_id") % 53)
-    return rows.groupBy("unit_id").agg(F.max("score").alias("score"), F.max_by("point_id", F.struct("score", -F.col("point_id"))).alias("point_id"))
-
-
-@query("RET07_path", ("traces",), "SELECT question_hash AS q, CASE WHEN count_if(quality = 'confident') > 0 THEN 'short' ELSE 'deep' END AS path FROM traces GROUP BY 1")
-def _(t):
-    return rt.path(t.select(F.col("question_hash").alias("q"), F.when(F.col("quality") == "confident", "direct").otherwise("supporting").alias("role")))
-
-
-@query("RET08_evidence", ("points", "units", "sources", "relations"), """WITH pr AS (SELECT source_point AS point_id, target_point AS other FROM relations WHERE relation_type = 'contradicts' UNION SELECT target_point, source_point FROM relations WHERE relation_type = 'contradicts'),
-    cf AS (SELECT pr.point_id, array_to_string(list_sort(list(DISTINCT p.content)), '|') AS conflicts FROM pr JOIN points p ON p.point_id = pr.other GROUP BY 1)
-    SELECT p.point_id, p.content, '{"source_id":' || u.source_id || ',"unit_id":' || p.unit_id || '}' AS source_ref, coalesce(conflicts, '') AS conflicts FROM points p JOIN units u USING (unit_id) JOIN sources s USING (source_id) LEFT JOIN cf ON cf.point_id = p.point_id""")
-def _(p, u, s, r):
-    return answer.evidence(p, u, s, r)
-
-
-@query("ANS01_route", ("traces",), """SELECT question_hash, CASE WHEN count_if(quality <> 'gap') = 0 THEN 'none' WHEN bool_or(path = 'deep') OR count_if(quality = 'confident') = 0 THEN 'deep' ELSE 'short' END AS route FROM traces GROUP BY 1""")
-def _(t):
-    sums = t.groupBy("question_hash").agg(F.count_if(F.col("quality") != "gap").alias("n"), F.count_if(F.col("quality") == "confident").alias("direct"), F.bool_or(F.col("path") == "deep").alias("deep"))
-    return sums.select("question_hash", answer.route(F.col("n"), F.col("direct"), F.lit(False), F.col("deep")).alias("route"))
-
-
 @query("TRC03_corrections", ("turns",), """SELECT answer_id, 'user_correction' AS event_type, '{"answer_id":' || answer_id || ',"feedback":"' || f || '"}' AS payload FROM (SELECT answer_id, CASE length(user_input) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'correction' ELSE 'positive' END AS f FROM turns WHERE answer_id IS NOT NULL AND user_input IS NOT NULL) WHERE f <> 'positive'""")
 def _(t):
     kind = F.element_at(F.array(F.lit("negative"), F.lit("correction"), F.lit("positive")), F.char_length("user_input") % 3 + 1)
@@ -329,10 +280,5 @@ def _(s):
     return dc.outline(flat, totals).select("source_id", "line_start", "line_end")
 
 
-@query("DOC14_tree", ("sources",), None)
-def _(s):
-    return tree.nested(_parts(s)[2])
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: rel.QUERIES.pop(n) for n in _OWN}
 SQL: dict[str, str] = {n: rel.SQL.pop(n) for n in _OWN if n in rel.SQL}

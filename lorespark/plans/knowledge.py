@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
-from lorespark.operators import retrieval as rt
 from lorespark.operators import study as st
 from lorespark.plans import relational as rel
 
@@ -176,7 +175,7 @@ def _(s):
     return dc.triggers(_parts(s)[2], s, 1500)
 
 
-@query("WIN08_repair_sections", ("sources",), f"""WITH {MARKDOWN}, c AS (SELECT source_id, title, line_start, least(line_end + 3, total_lines) AS line_end, level, total_lines FROM ol JOIN tot USING (source_id) WHERE title <> ''),
+@query("WIN08_repair_sections", ("sources",), f"""WITH {MARKDOWN}, c AS (SELECT source_id, title, line_start, least(line_end + 3, total_lines) AS line_end, least(level, 3) AS level, total_lines FROM ol JOIN tot USING (source_id) WHERE trim(title) <> ''),
     x AS (SELECT *, lead(level) OVER w AS nl, lead(line_start) OVER w AS ns, min(level) OVER (PARTITION BY source_id) AS top, row_number() OVER (PARTITION BY source_id ORDER BY level, line_start DESC, title DESC) AS last FROM c WINDOW w AS (PARTITION BY source_id ORDER BY line_start, level, title))
     SELECT source_id, title, line_start, CASE WHEN level = top AND last = 1 THEN total_lines WHEN nl = level THEN greatest(ns - 1, line_start) ELSE line_end END AS line_end, level FROM x""")
 def _(s):
@@ -223,68 +222,5 @@ def _(s):
     return dc.greedy_batches(nodes.select("source_id", "line_start", tx.token_estimate(F.concat("title", F.lit("x" * 300))).alias("tokens")), 1000)
 
 
-# --- retrieval ---------------------------------------------------------------------------------
-
-TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
-QTOK = TOKENS.format("text")
-
-
-def _bm25(column: str, name: str) -> str:
-    return f"""{name}_t AS (SELECT source_id AS doc, {TOKENS.format(column)} AS ts FROM sources), {name}_p AS (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM {name}_t),
-    {name}_tf AS (SELECT doc, dl, term, count(*) AS tf FROM {name}_p GROUP BY ALL), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY 1), {name}_st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {name}_t),
-    {name}_sc AS (SELECT q, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {name}_tf JOIN {name}_df USING (term) JOIN qt USING (term), {name}_st GROUP BY ALL),
-    {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM {name}_sc) WHERE rank <= 100)"""
-
-
-QT = f"qt AS (SELECT DISTINCT item_id AS q, unnest({QTOK}) AS term FROM benchmark)"
-
-
-def _questions(b: DataFrame) -> DataFrame:
-    return b.select(F.col("item_id").alias("q"), "text")
-
-
-def _match(b: DataFrame, s: DataFrame, column: str) -> DataFrame:
-    docs = s.select(F.col("source_id").alias("doc"), F.size(tx.tokens(F.col(column))).alias("dl"))
-    return rt.match(_questions(b), rt.postings(s, "source_id", F.col(column)), docs)
-
-
-@query("FTS01_postings", ("sources",), f"SELECT term, doc, len(ts)::BIGINT AS dl, count(*)::BIGINT AS tf FROM (SELECT source_id AS doc, ts, unnest(ts) AS term FROM (SELECT source_id, {QTOK} AS ts FROM sources)) GROUP BY term, doc, len(ts)")
-def _(s):
-    return rt.postings(s, "source_id", F.col("text"))
-
-
-@query("FTS03_match", ("benchmark", "sources"), f"WITH {QT}, {_bm25('text', 'm')} SELECT q, doc, score, rank FROM m WHERE rank <= 100")
-def _(b, s):
-    return _match(b, s, "text")
-
-
-@query("AGG13_best_per_unit", ("points", "units"), "SELECT unit_id, arg_max(point_id, (point_id % 97, -point_id)) AS point_id, greatest(max(point_id % 97), any_value(unit_id) % 50) AS score FROM points GROUP BY 1")
-def _(p, u):
-    score = F.col("point_id") % 97
-    return p.groupBy("unit_id").agg(F.max_by("point_id", F.struct(score, -F.col("point_id"))).alias("point_id"), F.greatest(F.max(score), F.first("unit_id") % 50).alias("score"))
-
-
-@query("RET04_rrf", ("benchmark", "sources"), f"""WITH {QT}, {_bm25('text', 'm')}, {_bm25('title', 'h')},
-    u AS (SELECT q, doc, 1.0::DOUBLE / (60 + rank) AS s, '1' AS path FROM m UNION ALL SELECT q, doc, 1.0::DOUBLE / (60 + rank), '0' FROM h),
-    g AS (SELECT q, doc, round(sum(s), 9) AS score, string_agg(path, ',' ORDER BY path) AS paths FROM u GROUP BY ALL)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM g) WHERE rank <= 20""")
-def _(b, s):
-    return rt.fuse(_match(b, s, "title"), _match(b, s, "text"))
-
-
-@query("RET06_expand", ("units", "points", "relations"), """WITH sd AS (SELECT point_id FROM points WHERE unit_id % 40 = 2), pr AS (SELECT unit_id AS a, unit_id AS point_id FROM units),
-    nb AS (SELECT target_point AS p FROM relations WHERE relation_type <> 'contradicts' AND source_point IN (SELECT unit_id FROM units WHERE unit_id % 40 = 2)
-        UNION SELECT source_point FROM relations WHERE relation_type <> 'contradicts' AND direction = 'bidirectional' AND target_point IN (SELECT unit_id FROM units WHERE unit_id % 40 = 2))
-    SELECT source_id AS unit_id, min(unit_id) AS point_id FROM units WHERE unit_id IN (SELECT p FROM nb) AND source_id NOT IN (SELECT source_id FROM units WHERE unit_id % 40 = 2) GROUP BY 1""")
-def _(u, p, r):
-    points = u.select(F.col("unit_id").alias("point_id"), F.col("source_id").alias("unit_id"))
-    return rt.expand(points.filter("point_id % 40 = 2").select("point_id"), r, points)[0]
-
-
-@query("RET09_retrieve", ("benchmark", "sources"), None)
-def _(b, s):
-    return rt.retrieve(_questions(b), s)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: rel.QUERIES.pop(n) for n in _OWN}
 SQL: dict[str, str] = {n: rel.SQL.pop(n) for n in _OWN if n in rel.SQL}

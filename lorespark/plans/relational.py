@@ -31,6 +31,8 @@ def query(name: str, names: tuple[str, ...], sql: str | None):
             body = sql.strip()
             if not derived:
                 SQL[name] = body
+            elif body.upper().startswith("WITH RECURSIVE "):
+                SQL[name] = "WITH RECURSIVE" + ctes(*derived).rstrip()[4:] + ", " + body[15:]
             elif body.upper().startswith("WITH "):
                 SQL[name] = ctes(*derived).rstrip() + ", " + body[5:]
             else:
@@ -94,17 +96,6 @@ def _(u, p, r):
     return store.delete_cascade({"units": u, "points": p, "relations": r}, ids)["relations"].select("relation_id", "source_point", "target_point")
 
 
-@query("SNK07_delete_failed", ("sources",), "SELECT source_id, status FROM sources WHERE NOT (status = 'failed' AND source_id % 8 = 3)")
-def _(s):
-    gone = s.filter("status = 'failed' AND source_id % 8 = 3").select("source_id")
-    return s.join(gone, "source_id", "left_anti").select("source_id", "status")
-
-
-@query("SNK08_status_times", ("sources",), "SELECT source_id, CASE WHEN status = 'processing' THEN word_count END AS started, CASE WHEN status IN ('completed', 'failed') THEN word_count END AS ended FROM sources")
-def _(s):
-    return s.select("source_id", F.when(F.col("status") == "processing", F.col("word_count")).alias("started"), F.when(F.col("status").isin("completed", "failed"), F.col("word_count")).alias("ended"))
-
-
 @query("SNK10_keep_newest", ("traces",), "SELECT trace_id, created_at FROM traces ORDER BY created_at DESC, trace_id DESC LIMIT 10")
 def _(t):
     return store.keep_newest(t.select("trace_id", "created_at"), 10, [F.desc("created_at"), F.desc("trace_id")])
@@ -181,11 +172,6 @@ def _(t):
     return t.select("trace_id", F.array_join(tx.valid_citations(ids, known), ",").alias("citations"))
 
 
-@query("FLT20_keywords", ("turns",), "SELECT session_id, turn_index, (user_input LIKE '%then%' OR user_input LIKE '%and the%') AS hit FROM turns")
-def _(t):
-    return t.select("session_id", "turn_index", tx.contains_any(F.col("user_input"), ["then", "and the"]).alias("hit"))
-
-
 @query("PRJ01_other_end", ("relations",), "SELECT relation_id, CASE WHEN source_point = 7 THEN target_point ELSE source_point END AS other, source_point = 7 AS as_source FROM relations WHERE source_point = 7 OR target_point = 7")
 def _(r):
     return r.filter("source_point = 7 OR target_point = 7").select("relation_id", F.when(F.col("source_point") == 7, F.col("target_point")).otherwise(F.col("source_point")).alias("other"), (F.col("source_point") == 7).alias("as_source"))
@@ -197,22 +183,11 @@ def _(u, p):
     return u.join(own, "unit_id", "left").select("unit_id", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("points"))
 
 
-@query("PRJ03_source_page", ("sources", "domains"), "SELECT source_id, name, count(*) OVER ()::BIGINT AS total FROM sources LEFT JOIN domains USING (domain_id)")
-def _(s, d):
-    total = s.agg(F.count("*").alias("total"))
-    return s.join(d, "domain_id", "left").crossJoin(total).select("source_id", "name", "total")
-
-
 @query("JOI01_completed_points", ("points", "units"), "SELECT point_id, center FROM points JOIN units USING (unit_id) WHERE status = 'completed'")
 def _(p, u):
     return p.join(u.filter("status = 'completed'"), "unit_id").select("point_id", "center")
 
 
-@query("JOI02_gap_payload", ("events",), "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'error'")
-def _(e):
-    return e.filter("event_type = 'error'").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("JOI03_candidate_concepts", ("points", "units", "concepts"), "SELECT point_id, center, coalesce(c.name, '') AS concept FROM points JOIN units u USING (unit_id) LEFT JOIN concepts c ON u.concept_id = c.concept_id")
 def _(p, u, c):
     return p.join(u, "unit_id").join(c, "concept_id", "left").select("point_id", "center", F.coalesce("name", F.lit("")).alias("concept"))
@@ -246,7 +221,7 @@ def _(t):
 
 
 @query("JOI15_closure", ("customer",), """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent FROM customer),
-    r AS (SELECT id, 0 AS d FROM n WHERE id IN (2, 3) UNION SELECT n.id, d + 1 FROM n JOIN r ON n.parent = r.id WHERE d < 4) SELECT DISTINCT id FROM r""")
+    r AS (SELECT id FROM n WHERE id IN (2, 3) UNION SELECT n.id FROM n JOIN r ON n.parent = r.id) SELECT id FROM r""")
 def _(c):
     nodes = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") > 3, F.floor(F.col("c_custkey") / 3)).alias("parent"))
     return store.closure(nodes, "id", "parent", nodes.filter("id IN (2, 3)"))
@@ -296,24 +271,11 @@ def _(p):
     return p.select("point_id", F.floor((r - 1) / 60).cast("bigint").alias("batch"))
 
 
-@query("FUN02_question_hash", ("benchmark",), None)
-def _(b):
-    return b.select("item_id", tx.question_hash(F.col("text"), F.lit("s")).alias("hash"))
-
-
 @query("FUN01_normalise", ("benchmark",), r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '[^\p{L}\p{Nd} ]', '', 'g')) AS normal FROM benchmark")
 def _(b):
     return b.select("item_id", tx.normalise_question(F.col("text")).alias("normal"))
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
-
-
-@query("FUN03_question_terms", ("benchmark",), rf"""SELECT item_id, coalesce(string_agg(t, ' ' ORDER BY t COLLATE "C"), '') AS terms FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+')) AS t FROM benchmark) WHERE t NOT IN {_STOP} GROUP BY item_id""".replace(' COLLATE "C"', ""))
-def _(b):
-    return b.select("item_id", F.array_join(F.array_sort(F.filter(tx.tokens(F.col("text")), lambda t: ~t.isin(tx.STOP_WORDS))), " ").alias("terms"))
-
-
 @query("FUN07_keywords", ("sources",), "SELECT source_id, trim(regexp_replace(translate(title, ',;', '  '), ' +', ' ', 'g')) AS keywords FROM sources")
 def _(s):
     return s.select("source_id", tx.normalise_keywords(F.col("title")).alias("keywords"))
