@@ -14,6 +14,7 @@ STOP_WORDS = (
 SPLITTERS = "如何 是否 能否 怎么样 怎么 怎样 为什么 什么 多少 哪些 ， 。 ？ ? ！ 、 ： 的 中 呢 吗 了 是".split()
 COMMON = "什么 哪些 怎么 如何 多少 怎样 为什么 是否 能否 查询 查看 帮我 看看 分析 标准 怎么样 是多少 有哪些".split()
 INTERRUPT = "停 停下 别说了 不用了 清空 重来 重置 从头 算了重来".split()
+REASONING = "如果 假设 假定 假如 若是 多少 计算 算出 比较 对比 哪个更 为什么 原因是什么 经历了哪些 哪些阶段 什么流程 应该怎么 如何处理".split()
 CONTINUE = "继续 下一个 再看一个 按刚才 基于上面".split()
 FORMATS = {
     "word": ".doc .docx", "excel": ".xls .xlsx", "pdf": ".pdf .ofd", "markdown": ".md .markdown",
@@ -62,6 +63,45 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def needs_reasoning(question: Column) -> Column:
+    return contains_any(question, REASONING)
+
+
+def is_interrupt(text: Column) -> Column:
+    return contains_any(F.trim(text), INTERRUPT)
+
+
+def is_continuation(text: Column, goes_on: Column) -> Column:
+    """A wish to go on counts only if there is something to go on with."""
+    return (F.coalesce(goes_on, F.lit("")) != "") & contains_any(F.trim(text), CONTINUE)
+
+
+def segmented(text: Column, words: list[str]) -> Column:
+    """Han runs cut by forward maximum matching with a list of words (a character without one stands alone); lower-cased, other runs whole.
+
+    The words make one pattern, longest first, as a pattern takes the first of its choices.
+    """
+    import re
+
+    known = "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    pattern = f"({known}|" + r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+)" if known else r"(\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+)"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern))
+
+
+def server_event(text: Column) -> Column:
+    """Text as the data of a server-sent event: line ends escaped."""
+    return F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\n"))
+
+
+def recent_subjects(subjects: Column) -> Column:
+    """At most three subjects as a JSON list, each cut at 60 characters."""
+    return F.to_json(F.transform(F.slice(subjects, 1, 3), lambda s: F.left(s, F.lit(60))))
+
+
+def whole_number(text: Column, default: int) -> Column:
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, r"^\s*(-?\d{1,9})\s*$", 1), F.lit("")), F.lit("S999999999")).cast("int"), F.lit(default))
+
+
 def file_format(name: Column) -> Column:
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     pairs = [F.lit(x) for kind, exts in FORMATS.items() for e in exts.split() for x in (e, kind)]

@@ -2,9 +2,43 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.operators.provider import FAILED, NO_EVIDENCE
+
+
+def stream(question: str, evidence: list[dict], provider: Callable[[str], Iterator[str]]) -> Iterator[tuple[str, str]]:
+    """(phase, text) pairs of an answer as it is made: started, chunks, then done with the whole text, or failed."""
+    yield "started", ""
+    if not evidence:
+        yield "done", NO_EVIDENCE
+        return
+    parts: list[str] = []
+    try:
+        for chunk in provider(json.dumps({"question": question, "evidence": evidence}, ensure_ascii=False)):
+            parts.append(chunk)
+            yield "chunk", chunk
+    except Exception:  # whatever a provider raises ends the answer
+        yield "failed", FAILED
+        return
+    yield "done", "".join(parts)
+
+
+def delivered(events: Iterator[tuple[str, str]]) -> Iterator[str]:
+    """Events as server-sent ones: line ends escaped, a blank line after each."""
+    for phase, text in events:
+        data = text.replace("\r", "").replace("\n", "\\n")
+        yield f"event: {phase}\ndata: {data}\n\n"
+
+
+def save(answers: DataFrame, path: str, version: str, model: str) -> None:
+    """Appends answers to the table that trace processing streams from."""
+    answers.select("*", F.lit(version).alias("prompt_version"), F.lit(model).alias("model")).write.mode("append").parquet(path)
+
 
 def route(n_evidence: Column, n_direct: Column, complex_question: Column, deep: Column) -> Column:
     """none without evidence; deep if asked for, if the question is complex or if nothing is direct; else short."""

@@ -113,6 +113,9 @@ def greedy_batches(nodes: DataFrame, budget: int) -> DataFrame:
 def windows(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.05) -> DataFrame:
     """Greedy windows of lines by character budget, broken at the best place near the end, with overlap.
 
+    Fixed values: the last fifth of a window, ten lines at least, is searched for a break; windows of over
+    ten lines overlap by ``overlap`` of their lines, five at least.
+
     Each step depends on the last one's break, so a document is handled as a whole in pandas.
     """
 
@@ -161,19 +164,22 @@ def _ranks(rows: list[str]) -> list[int]:
 
 
 def merge_small(segments: DataFrame, min_chars: int) -> DataFrame:
-    """Joins segments of a source that are too small with the next one, and a small last one with the one before."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for a, b, title, chars in pdf.sort_values("line_start")[["line_start", "line_end", "title", "chars"]].itertuples(index=False):
-            if out and out[-1][3] < min_chars:
-                out[-1][1], out[-1][3] = b, out[-1][3] + 1 + chars
-                out[-1][2] = out[-1][2] or title
-            else:
-                out.append([a, b, title, chars])
-        if len(out) > 1 and out[-1][3] < min_chars:
-            last = out.pop()
-            out[-1][1] = last[1]
-        return pd.DataFrame([(key[0], *x[:3]) for x in out], columns=["source_id", "line_start", "line_end", "title"])
-
-    return segments.groupBy("source_id").applyInPandas(run, "source_id bigint, line_start bigint, line_end bigint, title string")
+    """Joins segments of a source that are too small with the next one, and a small last one with the one before.
+
+    ``segments``: source_id, line_start, line_end, title, and ``before`` and ``until``, the characters before a
+    segment and up to its end with their newlines, so that a merged one's size counts what lies between.
+    """
+    arr = segments.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_start", "line_end", F.coalesce("title", F.lit("")).alias("title"), "before", "until"))).alias("a"))
+    size = lambda x: x["until"] - x["before"] - 1
+    joined = lambda p, x: F.struct(p["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.when(p["title"] != "", p["title"]).otherwise(x["title"]).alias("title"), p["before"].alias("before"), x["until"].alias("until"))
+    kind = "array<struct<line_start:bigint,line_end:bigint,title:string,before:bigint,until:bigint>>"
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast(kind[6:-1]).alias("last"))
+    step = lambda s, x: F.when(s["last"].isNull(), F.struct(s["done"].alias("done"), x.alias("last"))).when(size(s["last"]) < min_chars, F.struct(s["done"].alias("done"), joined(s["last"], x).alias("last"))).otherwise(
+        F.struct(F.array_append(s["done"], s["last"]).alias("done"), x.alias("last"))
+    )
+    arr = arr.withColumn("f", F.aggregate("a", zero, step))
+    done, last = F.col("f.done"), F.col("f.last")
+    prev = F.element_at(done, -1)
+    whole = F.struct(prev["line_start"].alias("line_start"), last["line_end"].alias("line_end"), prev["title"].alias("title"), prev["before"].alias("before"), last["until"].alias("until"))
+    parts = F.when((F.size(done) > 0) & (size(last) < min_chars), F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), whole)).otherwise(F.array_append(done, last))
+    return arr.select("source_id", F.explode(parts).alias("p")).select("source_id", "p.line_start", "p.line_end", "p.title")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,6 +89,33 @@ def report(summary: DataFrame, cand: DataFrame, top_gaps: DataFrame) -> DataFram
     return summary.crossJoin(c).crossJoin(g)  # one row each
 
 
+def report_document(summary: DataFrame, links: DataFrame, top_gaps: DataFrame) -> DataFrame:
+    """One row, ``content``: the whole report as JSON. Both lists are top-k reports."""
+    rows = links.agg(F.array_sort(F.collect_list(F.struct("question_terms", "point_id", "purity", "breadth", "recommendation", "reason"))).alias("links"))
+    g = top_gaps.agg(F.array_sort(F.collect_list(F.struct("question_terms", "hit_count"))).alias("gaps"))
+    one = summary.select(F.struct("*").alias("summary")).crossJoin(rows).crossJoin(g)  # one row each
+    return one.select(F.to_json(F.struct("summary", "links", "gaps")).alias("content"))
+
+
+def save_report(document: DataFrame, path: str, keep: int) -> int:
+    """Writes a report as the next version, and drops all but the newest ``keep``."""
+    from lorespark.sources.shared import delete
+    from lorespark.sources.snapshot import versions
+
+    spark = document.sparkSession
+    found = versions(spark, path)
+    version = (found[-1] if found else 0) + 1
+    document.write.parquet(f"{path}/v={version}")
+    for old in [*found, version][:-keep]:
+        delete(spark, f"{path}/v={old}")
+    return version
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """``version, content`` of the reports that are kept."""
+    return spark.read.parquet(path).select(F.col("v").cast("int").alias("version"), "content")
+
+
 def cooccurrence_merge(before: DataFrame, batch: DataFrame) -> DataFrame:
     """Counts after a later batch: its first sights of (question, point) that weren't seen before add to the old counts."""
     seen = before.select("question_hash", "point_id").distinct()

@@ -31,13 +31,6 @@ def _cand(t: DataFrame) -> DataFrame:
     return st.candidates(st.cooccurrence(t), 1, 0.3, 200)
 
 
-@query("TRC01_grade", ("traces",), """SELECT trace_id, CASE WHEN point_id % 3 = 0 THEN 'confident' WHEN point_id % 3 = 1 THEN 'partial' ELSE 'gap' END AS grade FROM traces""")
-def _(t):
-    m = F.col("point_id") % 3
-    direct = F.when(m == 0, F.array("point_id", F.lit(5).cast("bigint")))
-    return t.select("trace_id", st.grade(F.array("point_id"), direct, F.when(m == 1, F.array(F.lit(1)))).alias("grade"))
-
-
 @query("AGG06_cooccurrence", ("traces",), f"WITH {COOC} SELECT * FROM cooc")
 def _(t):
     return st.cooccurrence(t)
@@ -98,17 +91,6 @@ def _(t):
     return st.recommend(_cand(t), st.cooccurrence(t), t)
 
 
-@query("AGG12_gaps", ("traces",), "SELECT question_terms, count(*)::BIGINT AS hit_count, arg_max(question, (created_at, trace_id)) AS question FROM traces WHERE quality = 'gap' GROUP BY 1")
-def _(t):
-    return st.gaps(t)
-
-
-@query("STD01_report", ("traces",), None)
-def _(t):
-    top = st.gaps(t).orderBy(F.desc("hit_count"), "question_terms").limit(20)
-    return st.report(st.trace_summary(t, "2024-01-20 00:00:00", 30), _cand(t), top)
-
-
 @query("AGG18_first_point", ("points",), "SELECT unit_id, arg_min(point_id, (created_at, point_id)) AS point_id FROM points GROUP BY 1")
 def _(p):
     return p.groupBy("unit_id").agg(F.min_by("point_id", F.struct("created_at", "point_id")).alias("point_id"))

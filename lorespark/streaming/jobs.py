@@ -7,9 +7,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorespark.operators import session
+
 
 def first_sights(traces: DataFrame, watermark: str | None = None) -> DataFrame:
     """The first trace of each (question, point). Without a watermark the keys are kept for ever, as the batch twin does."""
@@ -49,10 +51,110 @@ def session_state(turns: DataFrame) -> DataFrame:
     def step(key, batches, state: GroupState):
         subject, n = state.get if state.exists else ("", 0)
         for pdf in batches:
-            for _, row in pdf.sort_values("turn_index").iterrows():
-                n += 1
-                subject = "" if row["interrupt"] else row["subject"] or subject
+            rows = pdf.sort_values("turn_index")
+            n += len(rows)
+            # what counts is the last subject after the last interrupt
+            stops = rows["interrupt"].to_numpy().nonzero()[0]
+            after = rows["subject"].iloc[stops[-1] + 1 :] if len(stops) else rows["subject"]
+            named = after[after.fillna("") != ""]
+            subject = named.iloc[-1] if len(named) else "" if len(stops) else subject
         state.update((subject, n))
         yield pd.DataFrame({"session_id": [key[0]], "subject": [subject], "turns": [n]})
 
     return turns.groupBy("session_id").applyInPandasWithState(step, "session_id bigint, subject string, turns bigint", "subject string, turns bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+def session_machine(events: DataFrame) -> DataFrame:
+    """The state machine of :mod:`lorespark.operators.session` over a stream of events, its state kept by session.
+
+    A micro-batch's events of a session are taken in the order of their turns.
+    """
+
+    def step(key, batches, state: GroupState):
+        now = session.State(*state.get) if state.exists else session.State()
+        now, out = session.steps(key[0], now, session.in_order(batches))
+        state.update(tuple(getattr(now, f) for f in session.FIELDS))
+        yield out
+
+    kept = ", ".join(f"{f} string" for f in session.FIELDS)
+    return events.groupBy("session_id").applyInPandasWithState(step, session.OUT, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def table_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to a folder of its own, so that one that comes again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All that a :func:`table_writer` has written."""
+    return spark.read.schema(schema).parquet(path).drop("batch")
+
+
+Handler = Callable[[DataFrame], DataFrame]
+
+
+def handle_tasks(tasks: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
+    """``task_id, task_type, status, error`` of tasks (task_id, task_type, payload), by the handler of their type.
+
+    A handler gives ``task_id, error`` (null: done) for its tasks; types without one fail. A task whose
+    payload breaks a handler's rule fails alone. Nothing is dropped: a stream takes more when it is ready.
+    """
+    out = tasks.filter(~F.col("task_type").isin(list(handlers)) | F.col("task_type").isNull()).select("task_id", "task_type", F.lit("no handler").alias("error"))
+    for kind, handler in handlers.items():
+        own = tasks.filter(F.col("task_type") == kind)
+        out = out.unionByName(handler(own).select("task_id", F.lit(kind).alias("task_type"), "error"))
+    return out.select("task_id", "task_type", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error")
+
+
+def gap_writer(path: str, known: DataFrame, threshold: int) -> Callable[[DataFrame, int], None]:
+    """Adds each micro-batch's gap events to the counts of the batch before, and marks the events.
+
+    The counts after batch n are a table of their own, made from those after n - 1: a batch that comes
+    again gives the same table, so an event counts once however often its batch is run.
+    """
+    from lorespark.operators.trace import gap_counts
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/gaps/after={number - 1}") if number else spark.createDataFrame([], "question_terms string, hit_count bigint, question string")
+        after = gap_counts(before.select("question_terms", "hit_count", "question"), batch, known, threshold)
+        after.write.mode("overwrite").parquet(f"{path}/gaps/after={number}")
+        batch.select("event_id").write.mode("overwrite").parquet(f"{path}/processed/batch={number}")
+
+    return write
+
+
+class Progress(StreamingQueryListener):
+    """Collects what a query reports of its micro-batches; a listener never holds a query up."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int]] = []
+        self.ended = False
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.rows.append((event.progress.batchId, event.progress.numInputRows))
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended = True
+
+
+def every(spark: SparkSession, job: Callable[[int], None], interval: str, checkpoint: str, first_after: float = 0.0) -> StreamingQuery:
+    """Runs ``job`` with the run's number at each tick until the query is stopped, the first time ``first_after`` seconds from now."""
+    import time
+
+    begun = time.monotonic()
+
+    def write(batch: DataFrame, number: int) -> None:
+        if time.monotonic() - begun >= first_after:
+            job(number)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
