@@ -39,6 +39,13 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\p{IsHan}]"), pairs(r)).otherwise(F.array(r))))
 
 
+def register(spark, name: str = "text_tokens") -> None:
+    """Makes :func:`tokens` a function of SQL in this session; it stays an expression, so nothing leaves the JVM."""
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS ARRAY<STRING> RETURN flatten(transform(
+        regexp_extract_all(lower(x), r'([\p{{IsHan}}]+|[\p{{L}}\p{{Nd}}&&[^\p{{IsHan}}]]+)'),
+        r -> CASE WHEN r RLIKE r'^[\p{{IsHan}}]' THEN transform(sequence(1, greatest(char_length(r) - 1, 1)), i -> substring(r, i, 2)) ELSE array(r) END))""")
+
+
 def cut_bytes(text: Column, limit: int) -> Column:
     """The longest prefix of whole characters that has at most ``limit`` bytes."""
     ends = F.filter(F.sequence(F.lit(0), F.least(F.char_length(text), F.lit(limit))), lambda i: F.octet_length(F.substring(text, F.lit(1), i)) <= limit)

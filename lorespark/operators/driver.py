@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
 from lorespark.operators import provider as pv
+from lorespark.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def placed(sections: DataFrame) -> DataFrame:
     return out.select("source_id", "line_start", "line_end", "level", "title", "parent_line", place.cast("bigint").alias("position"))
 
 
-def process(sources: DataFrame, provider: pv.Provider, max_chars: int = 1500) -> Processed:
+def process(sources: DataFrame, provider: pv.Provider, max_chars: int = 1500, usable: int = 2000) -> Processed:
     """Sources (source_id, text; null: conversion failed) with their outline.
 
     The structural outline stays if nothing asks for more. If only long leaves do, these are split and
@@ -65,10 +66,11 @@ def process(sources: DataFrame, provider: pv.Provider, max_chars: int = 1500) ->
     ok = clean.filter("text IS NOT NULL")
     rows = dc.lines(ok)
     totals = rows.groupBy("source_id").agg(F.max("line_no").alias("total_lines"))
-    structural = dc.outline(dc.headings(rows), totals)
-    why = dc.triggers(structural, ok, max_chars)
+    # both are used by several branches below
+    structural = stored(dc.outline(dc.headings(rows), totals), "outline")
+    why = stored(dc.triggers(structural, ok, max_chars), "triggers")
     asked = ok.join(why.filter("reasons NOT IN ('', 'E')").select("source_id"), "source_id", "left_semi")
-    semantic = placed(merge_overlaps(pv.sections(asked, provider)))
+    semantic = stored(placed(merge_overlaps(pv.sections(asked, provider, usable))), "semantic")
     got = semantic.select("source_id").distinct().withColumn("_semantic", F.lit(True))
     kind = F.when(F.col("reasons") == "E", "mixed").when(F.col("_semantic"), "semantic").otherwise("structural")
     kinds = why.join(got, "source_id", "left").select("source_id", "reasons", kind.alias("outline_type"))

@@ -19,6 +19,19 @@ from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
 
 Provider = Callable[[str], str]
+#: A provider that takes the requests of a batch together and gives as many replies, null where it failed.
+BatchProvider = Callable[[list[str]], list[str | None]]
+#: Concepts that a request may list.
+MAX_CONCEPTS = 5_000
+
+
+def fake(by_prompt: dict[str, Provider]) -> Provider:
+    """A deterministic provider for tests: requests name their prompt, each of which has a provider of its own."""
+
+    def call(request: str) -> str:
+        return by_prompt[json.loads(request)["prompt"]](request)
+
+    return call
 
 
 def reply(provider: Provider, request: str | None, attempts: int) -> str | None:
@@ -42,6 +55,28 @@ def ask(request: Column, provider: Provider, schema: str, attempts: int = 2) ->
     return F.from_json(call.asNondeterministic()(request), schema)
 
 
+def ask_together(request: Column, provider: BatchProvider, schema: str, attempts: int = 2) -> Column:
+    """As :func:`ask`, with one call for all requests of a batch; what failed is asked for again, together."""
+
+    @F.pandas_udf("string")
+    def call(requests: pd.Series) -> pd.Series:
+        out: list[str | None] = [None] * len(requests)
+        open_ = [i for i, r in enumerate(requests) if r is not None]
+        for _ in range(attempts):
+            if not open_:
+                break
+            try:
+                replies = provider([requests.iloc[i] for i in open_])
+            except Exception:  # whatever a provider raises counts as no reply
+                continue
+            for i, r in zip(open_, replies):
+                out[i] = reply(lambda _, r=r: r, "", 1)
+            open_ = [i for i in open_ if out[i] is None]
+        return pd.Series(out, dtype=object)
+
+    return F.from_json(call.asNondeterministic()(request), schema)
+
+
 def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Numbers the rows of each ``by`` with batches of ``size`` rows."""
     return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size))
@@ -88,6 +123,14 @@ def node_summaries(nodes: DataFrame, provider: Provider, budget: int = 3000) ->
     return nodes.join(got, ["source_id", "line_start"], "left").select("source_id", "line_start", F.coalesce(F.nullif("keywords", F.lit("")), "title").alias("summary"))
 
 
+def outline_fallback(pairs: DataFrame, outlines: DataFrame, provider: Provider) -> DataFrame:
+    """``q, source_id, outline_id`` that a model names for questions (q, source_id, question) from a source's outline; failures and unknown ids name nothing."""
+    listed = outlines.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("outline_id", "title"))).alias("outlines"))
+    asked = pairs.join(listed, "source_id")
+    got = asked.select("q", "source_id", "outlines", F.explode(ask(F.to_json(F.struct("question", "outlines")), provider, "outline_ids array<bigint>")["outline_ids"]).alias("outline_id"))
+    return got.filter(F.exists("outlines", lambda o: o["outline_id"] == F.col("outline_id"))).select("q", "source_id", "outline_id").distinct()
+
+
 def document_summaries(docs: DataFrame, domains: DataFrame, provider: Provider) -> DataFrame:
     """A document's summary, its first paragraph if none comes, and the domain named, if it exists."""
     got = docs.withColumn("r", ask(F.to_json(F.struct("source_id", "text")), provider, "summary string, domain_id string"))
@@ -121,7 +164,9 @@ def relations(points: DataFrame, provider: Provider, size: int = 60) -> DataFram
 
 
 def match_concepts(units: DataFrame, concepts: DataFrame, provider: Provider, size: int = 50) -> DataFrame:
-    """Units' concepts, asked for in batches with the list of concepts, a curated table; only concepts that exist count."""
+    """Units' concepts, asked for in batches with the list of concepts, a curated table of ``MAX_CONCEPTS`` at most; only concepts that exist count."""
+    if concepts.limit(MAX_CONCEPTS + 1).count() > MAX_CONCEPTS:
+        raise ValueError(f"more than {MAX_CONCEPTS} concepts; a request lists all of them")
     listed = concepts.agg(F.array_sort(F.collect_list(F.struct("concept_id", "name"))).alias("concepts"))  # one row
     asked = batches(units.select("source_id", "unit_id", "center"), "source_id", "unit_id", size).groupBy("source_id", "batch").agg(F.array_sort(F.collect_list(F.struct("unit_id", "center"))).alias("units"))
     got = asked.crossJoin(F.broadcast(listed)).select(ask(F.to_json(F.struct("units", "concepts")), provider, "matches array<struct<unit_id: bigint, concept_id: bigint>>").alias("r"))
@@ -156,6 +201,11 @@ def first_lines(request: str) -> str:
     return json.dumps({"sections": [{"title": title, "line_start": j["line_start"], "line_end": j["line_end"], "level": 1}]})
 
 
+def every_other(request: str) -> str:
+    """The outlines at even places of the list, and one that doesn't exist."""
+    return json.dumps({"outline_ids": [o["outline_id"] for o in json.loads(request)["outlines"][::2]] + [-1]})
+
+
 def title_words(request: str) -> str:
     return json.dumps({"summaries": [{"line_start": n["line_start"], "keywords": n["title"] + " key"} for n in json.loads(request)["nodes"]]})
 

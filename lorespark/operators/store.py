@@ -130,6 +130,28 @@ def delete_failed(sources: DataFrame, asked: DataFrame) -> tuple[DataFrame, Data
     return sources.join(gone, "source_id", "left_anti"), gone
 
 
+def status_times(changes: DataFrame) -> DataFrame:
+    """Per source the latest status and when it began and ended, from changes (source_id, status, at): each status sets its own time stamp."""
+    at = lambda *kinds: F.max(F.when(F.col("status").isin(*kinds), F.col("at")))
+    return changes.groupBy("source_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), at("processing").alias("started_at"), at("completed", "failed").alias("ended_at"))
+
+
+def pending_migrations(migrations: DataFrame, applied: DataFrame) -> DataFrame:
+    """Migrations (version, name) that weren't applied yet; each runs once, in the order of the versions."""
+    return migrations.join(applied.select("version"), "version", "left_anti").orderBy("version")
+
+
+def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
+    """A page of sorted rows, from number 1, with the number of all rows."""
+    total = df.agg(F.count("*").alias("total"))  # one row
+    return listing(df, {}, order, size, size * (number - 1)).join(F.broadcast(total), F.lit(True))
+
+
+def append(df: DataFrame, path: str) -> None:
+    """One batch as one job: its rows appear together when the job ends."""
+    df.write.mode("append").parquet(path)
+
+
 def natural_key(*columns: Column) -> Column:
     """An id that follows from the row's own values, so that a job that runs again makes the same one."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)

@@ -180,29 +180,5 @@ def _(p):
     return p.select("page_id", dc.clean_markdown(F.col("html")).alias("text"))
 
 
-@query("FLT16_contents", ("sources",), "SELECT source_id, source_id % 5 = 0 OR source_id % 7 = 0 AS contents FROM sources")
-def _(s):
-    toc = F.lit("- [One](#one)\n- [Two](#two)\n\n- [Three](#three)\n- [Four](#four)\nplain")
-    return s.select("source_id", dc.is_contents(F.when(F.col("source_id") % 5 == 0, "TOC").otherwise("Other"), F.when(F.col("source_id") % 7 == 0, toc).otherwise(F.lit("a\nb"))).alias("contents"))
-
-
-@query("WIN13_windows", ("sources",), None)
-def _(s):
-    return dc.windows(s)
-
-
-@query("WIN14_merge_small", ("sources",), None)
-def _(s):
-    _, _, nodes = _parts(s)
-    seg = nodes.join(s.select("source_id", "text"), "source_id").select("source_id", "line_start", "line_end", "title", F.char_length(tx.line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int"))).alias("chars"))
-    return dc.merge_small(seg, 300)
-
-
-@query("WIN15_token_batches", ("sources",), None)
-def _(s):
-    _, _, nodes = _parts(s)
-    return dc.greedy_batches(nodes.select("source_id", "line_start", tx.token_estimate(F.concat("title", F.lit("x" * 300))).alias("tokens")), 1000)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: rel.QUERIES.pop(n) for n in _OWN}
 SQL: dict[str, str] = {n: rel.SQL.pop(n) for n in _OWN if n in rel.SQL}

@@ -20,36 +20,11 @@ def query(name: str, names: tuple[str, ...], sql: str | None):
     return rel.query(name, names, sql)
 
 
-@query("DOC04_sections", ("sources",), None)
-def _(s):
-    return pv.sections(s.select("source_id", "text"), pv.first_lines)
-
-
-@query("DOC06_split_leaves", ("sources",), None)
-def _(s):
-    nodes = _parts(s)[2]
-    inner = nodes.filter("parent_line IS NOT NULL").select("source_id", F.col("parent_line").alias("line_start")).distinct()
-    leaf = nodes.join(inner, ["source_id", "line_start"], "left_anti").join(s.select("source_id", "text"), "source_id")
-    body = tx.line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int"))
-    return pv.split_long_leaves(leaf.select("source_id", "line_start", "title", body.alias("text")), 400)
-
-
 @query("DOC08_node_summaries", ("sources",), f"WITH {MARKDOWN} SELECT source_id, line_start, trim(regexp_replace(translate(title || ' key', '，,、；;', '     '), ' +', ' ', 'g')) AS summary FROM ol")
 def _(s):
     return pv.node_summaries(_parts(s)[2].select("source_id", "line_start", "title"), pv.title_words)
 
 
-@query("DOC09_document_summary", ("sources", "domains"), "SELECT source_id, substr(text, 1, 40) AS summary, d.domain_id FROM sources s LEFT JOIN domains d ON d.domain_id = 'src' || s.source_id % 9 WHERE text <> ''")
-def _(s, d):
-    return pv.document_summaries(s.filter("text <> ''").select("source_id", "text"), d, pv.opening)
-
-
-@query("DOC11_extract_units", ("sources",), "SELECT source_id, 'completed' AS status, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS x) WHERE trim(x) <> '') AS n FROM sources WHERE text IS NOT NULL")
-def _(s):
-    got = pv.extract_units(s.filter("text IS NOT NULL").select("source_id", F.lit(1).alias("line_start"), "text"), pv.line_units)
-    return got.select("source_id", "status", F.size("units").cast("bigint").alias("n"))
-
-
 @query("DOC12_relations", ("points",), "SELECT DISTINCT point_id AS source_point, nxt AS target_point, 'related' AS relation_type, 'bidirectional' AS direction FROM (SELECT point_id, lead(point_id) OVER w AS nxt, row_number() OVER w AS r FROM points WINDOW w AS (PARTITION BY unit_id ORDER BY point_id)) WHERE nxt <> point_id AND r % 60 <> 0")
 def _(p):
     return pv.relations(p, pv.neighbours_related)

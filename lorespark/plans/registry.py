@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name to function) and ``SQL`` (name to text).
-MODULES: tuple[str, ...] = ("relational", "knowledge", "details", "modelled", "retrieving", "running")
+MODULES: tuple[str, ...] = ("relational", "knowledge", "details", "modelled", "retrieving", "running", "documents")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,11 +66,6 @@ def _(d):
     return d.orderBy("name")
 
 
-@query("SRC12_html_preview", ("sources",), "SELECT source_id, '<pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre>' AS html FROM sources")
-def _(s):
-    return s.select("source_id", tx.html_preview(F.lit(None).cast("string"), F.col("text")).alias("html"))
-
-
 @query("SNK03_upsert_replace", ("points",), "SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'new' ELSE content END AS content FROM points UNION ALL SELECT -1, 'new'")
 def _(p):
     new = p.filter("point_id % 3 = 0").select("point_id", F.lit("new").alias("content")).unionByName(p.sparkSession.createDataFrame([(-1, "new")], "point_id long, content string"))
