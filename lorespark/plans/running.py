@@ -207,6 +207,52 @@ def _(e):
     return rows.select("answer_id", answer.route(F.size(F.coalesce("evidence", F.array().cast("array<struct<fact_id:string,point_id:bigint,role:string>>"))), direct, tx.needs_reasoning(F.col("asked")), F.col("answer_id") % 7 == 0).alias("route"))
 
 
+def _words(request: str):
+    """A provider that streams the question's words, and breaks off on one."""
+    import json
+
+    for word in json.loads(request)["question"].split(" "):
+        if word == "KINGDOM":
+            raise OSError
+        yield word + " "
+
+
+def _streamed(c: DataFrame, what: Callable[[int, str], list[tuple]], schema: str) -> DataFrame:
+    import pandas as pd
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame([x for i, name in rows.itertuples(index=False) for x in what(i, name)], columns=names)
+
+    return c.select("concept_id", "name").mapInPandas(run, schema)
+
+
+def _phases(i: int, name: str):
+    return answer.stream(f"about {name}", [] if i % 5 == 0 else [{"id": "e", "content": name}], _words)
+
+
+PARTS = "cw AS (SELECT concept_id, string_split('about ' || name, ' ') AS w, concept_id % 5 = 0 AS empty FROM concepts)"
+
+
+@query("ANS03_streamed_answer", ("concepts",), f"""WITH {PARTS} SELECT concept_id, CASE WHEN NOT empty AND list_contains(w, 'KINGDOM') THEN 'failed' ELSE 'done' END AS phase, CASE WHEN empty THEN 0 ELSE coalesce(nullif(list_position(w, 'KINGDOM'), 0) - 1, len(w)) END AS chunks,
+    CASE WHEN empty THEN 'No evidence was found for this question.' WHEN list_contains(w, 'KINGDOM') THEN 'The answer could not be made; please try again.' ELSE array_to_string(w, ' ') || ' ' END AS said FROM cw""")
+def _(c):
+    def what(i: int, name: str) -> list[tuple]:
+        events = list(_phases(i, name))
+        return [(i, events[-1][0], sum(p == "chunk" for p, _ in events), events[-1][1])]
+
+    return _streamed(c, what, "concept_id bigint, phase string, chunks bigint, said string")
+
+
+@query("STR08_server_events", ("concepts",), f"""WITH {PARTS} SELECT concept_id, 'event: started' || chr(10) || 'data: ' || chr(10) || chr(10) || CASE WHEN empty THEN 'event: done' || chr(10) || 'data: No evidence was found for this question.' ELSE
+    array_to_string(list_transform(list_slice(w, 1, coalesce(nullif(list_position(w, 'KINGDOM'), 0) - 1, len(w))::INT), lambda x: 'event: chunk' || chr(10) || 'data: ' || x || ' ' || chr(10) || chr(10)), '') ||
+    CASE WHEN list_contains(w, 'KINGDOM') THEN 'event: failed' || chr(10) || 'data: The answer could not be made; please try again.' ELSE 'event: done' || chr(10) || 'data: ' || array_to_string(w, ' ') || ' ' END END || chr(10) || chr(10) AS stream FROM cw""")
+def _(c):
+    return _streamed(c, lambda i, name: [(i, "".join(answer.delivered(_phases(i, name))))], "concept_id bigint, stream string")
+
+
 # --- gaps: learning events joined with their traces -----------------------------------------------
 
 LEARNING = """le AS (SELECT answer_id AS event_id, answer_id AS trace_id, '{"question":"' || question || '"}' AS payload FROM tr WHERE quality = 'gap'), kt AS (SELECT answer_id AS trace_id, CASE WHEN answer_id % 13 = 0 THEN '' ELSE question_terms END AS question_terms FROM tr)"""

@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
-from lorespark.operators import docs, retrieval, session, store, study
+from lorespark.operators import docs, index, retrieval, session, store, study
 from lorespark.streaming import jobs
 
 
@@ -56,7 +57,11 @@ def test_windows_cover_and_respect_code(spark):
 
 def test_merge_small(spark):
     rows = [(1, 1, 2, "", 10), (1, 3, 4, "b", 500), (1, 5, 6, "c", 400), (1, 7, 8, "d", 20), (2, 1, 1, "x", 5)]
-    got = docs.merge_small(spark.createDataFrame(rows, "source_id long, line_start long, line_end long, title string, chars long"), 300).collect()
+    at, placed = {}, []
+    for source, a, b, title, chars in rows:  # characters before and up to the end, newlines too
+        placed.append((source, a, b, title, at.get(source, 0), at.get(source, 0) + chars + 1))
+        at[source] = placed[-1][-1]
+    got = docs.merge_small(spark.createDataFrame(placed, "source_id long, line_start long, line_end long, title string, before long, until long"), 300).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 4, "b"), (1, 5, 8, "c"), (2, 1, 1, "x")]
 
 
@@ -68,11 +73,60 @@ def test_fusion_does_not_depend_on_order(spark):
     assert [d for d, _ in ids(retrieval.fuse(a, b))] == [20, 10, 30]
 
 
-def test_benchmark_passages_are_recalled(spark):
-    sources = spark.createDataFrame([(1, "t", "alpha beta gamma delta"), (2, "t", "epsilon zeta"), (3, "alpha", "eta")], "source_id long, title string, text string")
-    got = retrieval.retrieve(spark.createDataFrame([(7, "alpha beta"), (8, "nothing here")], "q long, text string"), sources).collect()
-    assert [(r["q"], r["doc"], r["role"], r["path"]) for r in sorted(got, key=lambda r: r["rank"])][0] in [(7, 1, "direct", "short"), (7, 3, "supporting", "short")]
-    assert {r["q"] for r in got} == {7}
+def test_retrieval_finds_the_unit(spark, tmp_path):
+    sources = spark.createDataFrame([(1, "t", None, "alpha beta gamma\ndelta epsilon"), (2, "u", "d1", "zeta eta")], "source_id long, title string, domain_id string, text string")
+    units = spark.createDataFrame([(10, 1, 1, 1, "completed", 100), (11, 1, 2, 2, "completed", 100), (20, 2, 1, 1, "completed", 200)], "unit_id long, source_id long, line_start long, line_end long, status string, outline_id long")
+    points = spark.createDataFrame([(101, 10), (111, 11), (201, 20)], "point_id long, unit_id long")
+    outlines = spark.createDataFrame([(100, None, 1, "alpha"), (200, None, 2, "other")], "outline_id long, parent_id long, source_id long, title string")
+    relations = spark.createDataFrame([(101, 201, "related", "directed"), (111, 101, "contradicts", "directed")], "source_point long, target_point long, relation_type string, direction string")
+    texts = {10: "alpha beta gamma", 11: "delta epsilon", 20: "zeta eta"}
+
+    def made(name, rows):
+        return index.open_or_create(spark, str(tmp_path / name), lambda: spark.createDataFrame(rows, "doc long, text string"))
+
+    kb = retrieval.Store(
+        sources, spark.createDataFrame([("d1",)], "domain_id string"), outlines, units, points, relations,
+        made("u", list(texts.items())), made("p", [(101, texts[10]), (111, texts[11]), (201, texts[20])]), made("o", [(100, "alpha"), (200, "other")]),
+    )
+    questions = spark.createDataFrame([(7, "alpha beta", ""), (8, "nothing here", "")], "q long, text string, topic string")
+    none = spark.createDataFrame([], "q long, domain_id string")
+    got = {(r["q"], r["unit_id"]): (r["role"], r["path"], r["content"]) for r in retrieval.retrieve(questions, none, kb).collect()}
+    assert got == {(7, 10): ("direct", "short", texts[10]), (7, 20): ("supporting", "short", texts[20]), (7, 11): ("conflict", "short", texts[11])}
+    only = spark.createDataFrame([(7, "d1"), (7, "unknown")], "q long, domain_id string")
+    assert retrieval.restrictions(only, kb.domains).collect() == [(7, "d1")]
+
+
+def test_unknown_candidates_and_roles_are_errors(spark):
+    cands = spark.createDataFrame([(1, 5, "what is alpha", "alpha"), (1, 6, "what is alpha", "beta"), (1, 7, "what is alpha", "gamma")], "q long, unit_id long, question string, content string")
+    named = lambda *rows: spark.createDataFrame(rows, "q long, unit_id long, role string")
+    got = {r["unit_id"]: r["role"] for r in retrieval.apply_roles(cands, named((1, 5, "direct"), (1, 6, "direct"), (1, 7, "irrelevant"))).collect()}
+    assert got == {5: "direct", 6: "supporting"}
+    for wrong in ((1, 9, "direct"), (1, 5, "best")):
+        with pytest.raises(Exception, match="no candidate|no role"):
+            retrieval.apply_roles(cands, named(wrong)).collect()
+
+
+def test_index_generations(spark, tmp_path):
+    at = index.open_or_create(spark, str(tmp_path / "i"))
+    rows = lambda *x: spark.createDataFrame(x, "doc long, text string")
+    assert at.postings().collect() == [] and at.docs().collect() == []
+    at.put(rows((1, "a b a"), (2, "b"), (3, None)))
+    at.put(rows((2, "c"), (4, "d d")))
+    at.remove(rows((1, ""), (9, "")))
+    assert sorted((r["term"], r["doc"], r["tf"]) for r in at.postings().collect()) == [("c", 2, 1), ("d", 4, 2)]
+    assert sorted((r["doc"], r["dl"]) for r in at.docs().collect()) == [(2, 1), (3, 0), (4, 2)]
+    (tmp_path / "i" / "docs" / "gen=4").mkdir()  # a put that died before its documents were written
+    assert at.generations() == [1, 2, 3] and at.docs().count() == 3
+    assert index.probe(at) and at.docs().count() == 3
+    assert not index.ensure_healthy(at, rows(*((i, "x") for i in range(9)))) and at.docs().count() == 9
+
+
+def test_closure_ends_on_cycles(spark):
+    nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3), (5, 4), (9, None), (8, 9)], "id long, parent long")
+    seeds = nodes.filter("id = 1")
+    assert sorted(r["id"] for r in store.closure(nodes, "id", "parent", seeds).collect()) == [1, 2, 3, 4, 5]
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 12)], "id long, parent long")
+    assert store.closure(chain, "id", "parent", chain.filter("id = 1")).count() == 11
 
 
 def test_upserts(spark):
