@@ -52,9 +52,12 @@ from ._store import materialize
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
-#: Work of a task, about 3 s: shingles times (``QUERY_WORK`` + sets of the block), see :func:`link_block`.
-TASK_WORK = 300_000_000
+#: Work over which a block is split, some 20 s: shingles times (``QUERY_WORK`` + sets of the block), see
+#: :func:`link_block`. Every set of a split block goes to as many tasks as the block has parts.
+TASK_WORK = 2_500_000_000
 QUERY_WORK = 200
+#: Work of the smaller blocks that are dealt to one task, on average.
+BIN_WORK = 150_000_000
 #: Partitions of the linking step at most; beyond that a partition takes several tasks in turn.
 MAX_TASKS = 100_000
 #: Bits of the array of shared shingles at most: 32 MB.
@@ -407,7 +410,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     largest, all_work, all_tokens, pairs = sizes.agg(
         F.max("parts"), F.sum("work"), F.sum("total"), F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))
     ).first()
-    bins = max(1, math.ceil((all_work or 0) / (TASK_WORK / 2)), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)))
+    bins = max(1, math.ceil((all_work or 0) / BIN_WORK), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)))
     n_tasks = bins + int(pairs or 0)
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
