@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,12 +53,12 @@ from ._store import materialize
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
-#: Work over which a block is split, some 20 s: shingles times (``QUERY_WORK`` + sets of the block), see
-#: :func:`link_block`. Every set of a split block goes to as many tasks as the block has parts.
-TASK_WORK = 2_500_000_000
+#: Work over which a block is split, some 3 s: shingles times (``QUERY_WORK`` + sets of the block), see
+#: :func:`link_block`. Every part of a split block goes to as many tasks as the block has parts, packed.
+TASK_WORK = 300_000_000
 QUERY_WORK = 200
 #: Work of the smaller blocks that are dealt to one task, on average.
-BIN_WORK = 150_000_000
+BIN_WORK = 50_000_000
 #: Partitions of the linking step at most; beyond that a partition takes several tasks in turn.
 MAX_TASKS = 100_000
 #: Bits of the array of shared shingles at most: 32 MB.
@@ -362,13 +363,14 @@ _LINKED = "one bigint, two bigint, root bigint, links bigint"
 
 
 def _link(num: int, den: int):
+    """Links within each whole block of a task."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, block in pdf.groupby("block", sort=False):
             block = block.drop_duplicates(["one", "two"])
             sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
-            across = bool(block["i"].iloc[0] != block["j"].iloc[0])
-            first, links = link_block(sets, block["weight"].to_numpy(), block["part"].to_numpy(), num, den, across)
+            first, links = link_block(sets, block["weight"].to_numpy(), np.zeros(len(sets), np.int64), num, den)
             one = block["one"].to_numpy()
             out.append(pd.DataFrame({"one": one, "two": block["two"].to_numpy(), "root": one[first], "links": links}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("one", "two", "root", "links")})
@@ -376,6 +378,47 @@ def _link(num: int, den: int):
     return run
 
 
+def pack_part(one: np.ndarray, two: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A part's classes and sets, small: near copies share most shingles, so each is written once and sets list their numbers as steps."""
+    token, number = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets], np.int64)
+    step = np.diff(number, prepend=0)
+    step[np.cumsum(size) - size] = number[np.cumsum(size) - size]  # sets are sorted, and so are their numbers
+    head = np.array([len(sets), len(token)], np.int64)
+    return zlib.compress(b"".join(x.tobytes() for x in (head, one, two, weight, size, token, step.astype(np.uint32))), 1)
+
+
+def unpack_part(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    raw = zlib.decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    one, two, weight, size = np.frombuffer(raw, np.int64, 4 * n, 16).reshape(4, n)
+    token = np.frombuffer(raw, np.uint64, m, 16 + 32 * n)
+    step = np.frombuffer(raw, np.uint32, offset=16 + 32 * n + 8 * m).astype(np.int64)
+    ends = np.cumsum(size)
+    return one, two, weight, [token[np.cumsum(step[a:b])] for a, b in zip((ends - size).tolist(), ends.tolist())]
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.drop_duplicates(["one", "two"])
+    blob = pack_part(pdf["one"].to_numpy(), pdf["two"].to_numpy(), pdf["weight"].to_numpy(), [np.frombuffer(t, np.uint64) for t in pdf["tokens"]])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "part": pdf["part"].iloc[:1].to_numpy(), "parts": pdf["parts"].iloc[:1].to_numpy(), "sets": [blob]})
+
+
+def _link_parts(num: int, den: int):
+    """Links within a part, or across two parts; a part without sets has no row and gives no links."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("part")
+        across = bool(key[1] != key[2])
+        got = [unpack_part(x) for x in pdf["sets"]]
+        one, two, weight = (np.concatenate([g[i] for g in got]) for i in range(3))
+        part = np.repeat(pdf["part"].to_numpy(), [len(g[0]) for g in got])
+        first, links = link_block([s for g in got for s in g[3]], weight, part, num, den, across)
+        return pd.DataFrame({"one": one, "two": two, "root": one[first], "links": links})
+
+    return run
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """See the module's text. ``num / den`` is the least Jaccard similarity of a link."""
     return ngram_groups(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
@@ -407,24 +450,27 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("total") / BLOCK_TOKENS), F.lit(2))
     ).cast("int")
     sizes = materialize(sizes.select("block", parts.alias("parts"), "total", work.alias("work")), "join-blocks")
-    largest, all_work, all_tokens, pairs = sizes.agg(
-        F.max("parts"), F.sum("work"), F.sum("total"), F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))
+    largest, all_work, all_tokens, n_pairs = sizes.agg(
+        F.max("parts"), F.sum(F.when(F.col("parts") == 1, F.col("work"))), F.sum(F.when(F.col("parts") == 1, F.col("total"))), F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))
     ).first()
     bins = max(1, math.ceil((all_work or 0) / BIN_WORK), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)))
-    n_tasks = bins + int(pairs or 0)
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
         docs.join(candidates.hint("merge"), docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
         .mapInArrow(_sets(k), "one bigint, two bigint, weight bigint, block bigint, parts int, tokens binary")
     )
-    part = F.pmod(F.hash("one"), F.col("parts"))
-    whole = sets.filter("parts = 1").select("one", "two", "weight", "block", "tokens", F.lit(0).alias("part"), F.pmod(F.hash("block"), F.lit(bins)).cast("bigint").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    tasks = whole
+    if (largest or 0) > 1:  # two branches read them
+        sets = materialize(sets, "join-sets")
+    whole = sets.filter("parts = 1").select("one", "two", "weight", "block", "tokens", F.pmod(F.hash("block"), F.lit(bins)).alias("task"))
+    linked = whole.repartition(min(bins, MAX_TASKS), "task").groupBy("task").applyInPandas(_link(num, den), _LINKED)
     if (largest or 0) > 1:
-        parted = sets.filter("parts > 1").withColumn("part", part)
-        pairs = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        tasks = whole.unionByName(pairs.select("one", "two", "weight", "block", "tokens", "part", F.col("block").alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-    linked = materialize(tasks.repartition(min(n_tasks, MAX_TASKS), "task", "i", "j").groupBy("task", "i", "j").applyInPandas(_link(num, den), _LINKED), "join-links")
+        parted = sets.filter("parts > 1").withColumn("part", F.pmod(F.hash("one"), F.col("parts")))
+        packed = parted.groupBy("block", "part").applyInPandas(_pack, "block bigint, part int, parts int, sets binary")
+        pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = pairs.select("block", "part", "sets", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        pairs = pairs.repartition(min(int(n_pairs), MAX_TASKS), "block", "i", "j").groupBy("block", "i", "j")
+        linked = linked.unionByName(pairs.applyInPandas(_link_parts(num, den), _LINKED))
+    linked = materialize(linked, "join-links")
     if (largest or 0) > 1:
         again = connected_components(linked.filter("one != root").select(F.col("one").alias("a"), F.col("root").alias("b")))
         linked = linked.join(again.withColumnRenamed("node", "one"), "one", "left").withColumn("root", F.coalesce("label", "one"))

@@ -82,6 +82,15 @@ def test_split_blocks(spark, monkeypatch):
         assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_packed_parts_come_back():
+    rnd = random.Random(6)
+    for n in (1, 2, 30):
+        sets = [np.unique(np.array([rnd.randrange(2**64) if rnd.random() < 0.3 else rnd.randrange(50) for _ in range(rnd.randrange(1, 60))], np.uint64)) for _ in range(n)]
+        ids = [np.array([rnd.randrange(-(2**63), 2**63) for _ in range(n)], np.int64) for _ in range(3)]
+        one, two, weight, back = nj.unpack_part(nj.pack_part(*ids, sets))
+        assert all((a == b).all() for a, b in zip((one, two, weight), ids)) and all((a == b).all() for a, b in zip(back, sets)) and len(back) == n
+
+
 def test_pairs_of_parts_count_each_link_once():
     for seed in range(20):
         rnd = random.Random(seed)
