@@ -53,9 +53,9 @@ from ._store import materialize
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
-#: Work over which a block is split, some 3 s: shingles times (``QUERY_WORK`` + sets of the block), see
+#: Work over which a block is split, some 1 s: shingles times (``QUERY_WORK`` + sets of the block), see
 #: :func:`link_block`. Every part of a split block goes to as many tasks as the block has parts, packed.
-TASK_WORK = 300_000_000
+TASK_WORK = 100_000_000
 QUERY_WORK = 200
 #: Work of the smaller blocks that are dealt to one task, on average.
 BIN_WORK = 50_000_000
