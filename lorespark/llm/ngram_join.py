@@ -22,8 +22,8 @@ A document's set holds its distinct k-word shingles. Two documents link when
    its longest lists are put aside, the short ones are heap-merged, and what
    occurs often enough there is probed in the long lists by binary search.
    A block whose estimated work is over ``TASK_WORK``, or that holds over ``BLOCK_TOKENS``
-   shingles, is split into parts, and each pair of parts, a part with itself too, is a task
-   of its own: nothing is capped. Smaller blocks are dealt to tasks by their work.
+   shingles or ``WHOLE_SETS`` sets, is split into parts, and each pair of parts, a part with
+   itself too, is a task of its own: nothing is capped. Smaller blocks are dealt to tasks by their work.
 
 Result: one row per input row with ``doc_id``, ``n_shingles`` (set size),
 ``component_id`` (least id reachable by links) and ``n_links`` (documents
@@ -57,6 +57,8 @@ BLOCK_TOKENS = 2_000_000
 #: :func:`link_block`. Every part of a split block goes to as many tasks as the block has parts, packed.
 TASK_WORK = 100_000_000
 QUERY_WORK = 200
+#: Sets of a block that one task takes at most, and the least number of parts of a block that is split.
+WHOLE_SETS, LEAST_PARTS = 500, 4
 #: Work of the smaller blocks that are dealt to one task, on average.
 BIN_WORK = 50_000_000
 #: Partitions of the linking step at most; beyond that a partition takes several tasks in turn.
@@ -446,8 +448,8 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     sizes = candidates.groupBy("block").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("members"))
     work = F.col("total") * (QUERY_WORK + F.col("members"))
     # a pair of parts holds 2 / parts of the shingles and of the sets
-    parts = F.when((work <= TASK_WORK) & (F.col("total") <= BLOCK_TOKENS), 1).otherwise(
-        F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("total") / BLOCK_TOKENS), F.lit(2))
+    parts = F.when((work <= TASK_WORK) & (F.col("total") <= BLOCK_TOKENS) & (F.col("members") <= WHOLE_SETS), 1).otherwise(
+        F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("total") / BLOCK_TOKENS), F.lit(LEAST_PARTS))
     ).cast("int")
     sizes = materialize(sizes.select("block", parts.alias("parts"), "total", work.alias("work")), "join-blocks")
     largest, all_work, all_tokens, n_pairs = sizes.agg(
