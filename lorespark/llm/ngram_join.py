@@ -451,11 +451,12 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     parts = F.when((work <= TASK_WORK) & (F.col("total") <= BLOCK_TOKENS) & (F.col("members") <= WHOLE_SETS), 1).otherwise(
         F.greatest(F.ceil(2 * F.sqrt(work / TASK_WORK)), F.ceil(2 * F.col("total") / BLOCK_TOKENS), F.lit(LEAST_PARTS))
     ).cast("int")
-    sizes = materialize(sizes.select("block", parts.alias("parts"), "total", work.alias("work")), "join-blocks")
-    largest, all_work, all_tokens, n_pairs = sizes.agg(
-        F.max("parts"), F.sum(F.when(F.col("parts") == 1, F.col("work"))), F.sum(F.when(F.col("parts") == 1, F.col("total"))), F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))
+    sizes = materialize(sizes.select("block", parts.alias("parts"), "total", "members", work.alias("work")), "join-blocks")
+    alone = F.col("parts") == 1
+    largest, all_work, all_tokens, all_sets, n_pairs = sizes.agg(
+        F.max("parts"), *(F.sum(F.when(alone, F.col(c))) for c in ("work", "total", "members")), F.sum(F.when(~alone, F.col("parts") * (F.col("parts") + 1) / 2))
     ).first()
-    bins = max(1, math.ceil((all_work or 0) / BIN_WORK), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)))
+    bins = max(1, math.ceil((all_work or 0) / BIN_WORK), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)), math.ceil((all_sets or 0) / WHOLE_SETS))
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
         docs.join(candidates.hint("merge"), docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
