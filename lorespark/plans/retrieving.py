@@ -246,10 +246,10 @@ def _(b, s):
     return rt.fuse(_match(b, s, "title"), _match(b, s, "text"), limit=1 << 30).drop("rank")
 
 
-@query("AGG15_rrf_sums", ("benchmark", "sources"), f"WITH {KQ}, {TEXT}, {TITLE}, {FUSED} SELECT doc, round(sum(score), 6) AS total, count(*) AS questions FROM g GROUP BY 1")
+@query("AGG15_rrf_sums", ("benchmark", "sources"), f"WITH {KQ}, {TEXT}, {TITLE}, {FUSED} SELECT doc, sum(score::DECIMAL(18, 9))::DOUBLE AS total, count(*) AS questions FROM g GROUP BY 1")
 def _(b, s):
     fused = rt.fuse(_match(b, s, "title"), _match(b, s, "text"), limit=1 << 30)
-    return fused.groupBy("doc").agg(F.round(F.sum("score"), 6).alias("total"), F.count("*").alias("questions"))
+    return fused.groupBy("doc").agg(F.sum(F.col("score").cast("decimal(18,9)")).cast("double").alias("total"), F.count("*").alias("questions"))
 
 
 @query("SRT01_best_twenty", ("benchmark", "sources"), f"WITH {KQ}, {TEXT} SELECT q, doc, score, rank FROM m ORDER BY score DESC, q, doc LIMIT 20")
