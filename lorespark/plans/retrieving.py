@@ -16,7 +16,7 @@ from lorespark.operators import store
 from lorespark.operators import tree
 from lorespark.plans import relational as rel
 from lorespark.plans.knowledge import MARKDOWN, _parts
-from lorespark.sources.shared import new_folder, shared_dir
+from lorespark.sources.shared import new_folder, shared_dir, stored
 
 _OWN: list[str] = []
 
@@ -349,7 +349,7 @@ def _(b):
 def _(b, s, d):
     kb = _store(s, d)
     read = rt.contents(rt.candidates(_questions(b), _choices(b), kb).drop("source_id"), kb).join(_questions(b).select("q", F.col("text").alias("question")), "q")
-    fresh, against = rt.expand(rt.classify(read).select("q", "unit_id", "point_id", "role"), kb.relations, kb.points)
+    fresh, against = rt.expand(stored(rt.classify(read).select("q", "unit_id", "point_id", "role"), "kept"), kb.relations, kb.points)
     return fresh.select(F.lit("new").alias("kind"), "q", "unit_id", "point_id").unionByName(against.select(F.lit("against").alias("kind"), "q", "unit_id", "point_id"))
 
 
