@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, license_scan, line_dedup, mix_sources, ngram_join, quality_rules, resample, secret_scan
+from . import chat_format, conversation_repair, decontaminate, html_extract, license_scan, line_dedup, merkle_manifest, mix_sources, ngram_join, quality_rules, resample, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +73,69 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_grams", "log_weight", "noisy_weight", "selected")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claim = merkle_manifest.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), tampered])
+    out = merkle_manifest.merkle_manifest(docs, carried={"claim": claim})
+    out = out.withColumn("folded_root", merkle_manifest.folded(F.col("claim"), F.col("levels")))
+    return out.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("levels")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    rows = rows.select("conv_id", "turn", shown[2].alias("role"), shown[3].alias("text"), (F.crc32(F.concat(shown[0], F.lit(":"), shown[1])) % 20).alias("harm"))
+    rows = rows.withColumns({
+        "text": F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("harm") == 4, "user").otherwise(F.col("role")),
+        "copy": F.explode(F.sequence(F.lit(1), F.when(F.col("harm") == 3, 2).otherwise(1))),
+    })
+    out = conversation_repair.conversation_repair(rows, present=F.col("harm") != 0)
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_html_extract, op3_decontaminate, op4_license_scan, op5_secret_scan,
         op6_line_dedup, op7_chat_format, op8_quality_rules, op9_mix_sources, op10_resample,
+        op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
+def _leaf(text: str) -> str:
+    """SQL for the digest of a row whose text is ``text``."""
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+
+def _plus(best: str, cost: int | str, label: str) -> str:
+    """SQL for a cheapest path behind one more edit; a path is its cost in nine digits and its labels, so that paths compare as strings."""
+    return f"printf('%09d', left({best}, 9)::BIGINT + {cost}) || '{label}' || substr({best}, 10)"
+
+
+def _read(role: str, after: str, state: str) -> str:
+    """SQL for the cheapest path from grammar state ``state`` that reads a row first; keeping it is grammatical for initial ``role``, to ``after``."""
+    kept = f"CASE WHEN r = '{role}' THEN {_plus(after, 'stays', 'K')} END"
+    if state == "b0":
+        kept += f", CASE WHEN r = 's' THEN {_plus('bs', 'stays', 'K')} END"
+    return f"least({_plus(state, 2, 'D')}, CASE WHEN f IN ('-', 't') THEN least({kept}, {_plus(after, 'stays + 1', 'R')}) END)"
+
+
 SQL: dict[str, str] = {
     "op1_ngram_join": rf"""
         WITH RECURSIVE d AS (
@@ -142,4 +195,76 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(n + markup)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf,
+                   CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claim
+            FROM documents
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d
+        ), nodes AS (
+            SELECT source, 0 AS level, i, n, leaf AS h FROM leaves
+            UNION ALL SELECT source, level + 1, divide(i, 3), divide(n + 2, 3), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY source, level, divide(i, 3), n
+        ), groups AS (
+            SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS level, i, n, h FROM groups
+            UNION ALL SELECT level + 1, divide(i, 3), divide(n + 2, 3), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, divide(i, 3), n
+        ), sibs AS (
+            SELECT a.source, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS pre, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS suf
+            FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND divide(a.i, 3) = divide(b.i, 3) WHERE a.n > 1 GROUP BY ALL
+        ), top_sibs AS (
+            SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS pre, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS suf
+            FROM tops a JOIN tops b ON a.level = b.level AND divide(a.i, 3) = divide(b.i, 3) WHERE a.n > 1 GROUP BY ALL
+        ), fold AS (
+            SELECT r, source, 0 AS level, i, n, claim AS h, '' AS proof FROM leaves
+            UNION ALL SELECT f.r, f.source, f.level + 1, divide(f.i, 3), divide(f.n + 2, 3), sha256(pre || h || suf), proof || pre || suf
+            FROM fold f JOIN sibs s ON f.source IS NOT DISTINCT FROM s.source AND f.level = s.level AND f.i = s.i
+        ), top_fold AS (
+            SELECT f.r, 0 AS level, g.i, g.n, f.h, f.proof FROM fold f JOIN groups g ON f.source IS NOT DISTINCT FROM g.source WHERE f.n = 1
+            UNION ALL SELECT f.r, f.level + 1, divide(f.i, 3), divide(f.n + 2, 3), sha256(pre || h || suf), proof || pre || suf FROM top_fold f JOIN top_sibs s ON f.level = s.level AND f.i = s.i
+        )
+        SELECT d.doc_id, d.leaf, g.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+        FROM d JOIN groups g ON d.source IS NOT DISTINCT FROM g.source JOIN top_fold f ON d.r = f.r AND f.n = 1 JOIN tops t ON t.n = 1""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS harm FROM conversations
+        ), d AS (
+            SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c
+        ), o AS (
+            SELECT conv_id, turn, role, text, left(role, 1) AS r, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d
+        ), rows AS (
+            SELECT *, CASE WHEN f = 't' THEN 5 ELSE 0 END AS stays FROM (
+                SELECT *, CASE WHEN e = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN e NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS f,
+                       lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS bad FROM o)
+        ), sums AS (
+            SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 'b') AS blank,
+                   count_if(f = 'd') AS duplicate, count_if(f = 't') AS truncated, coalesce(count_if(bad), 0) AS illegal FROM rows GROUP BY conv_id
+        ), back AS (
+            SELECT conv_id, n + 1 AS i, '000000000' AS b0, '000000010II' AS bs, '000000005I' AS bu, '000000000' AS ba FROM sums
+            UNION ALL
+            SELECT conv_id, i, least(c0, {_plus("cu", 5, "I")}, {_plus("ca", 10, "II")}), least(cs, {_plus("cu", 5, "I")}, {_plus("ca", 10, "II")}),
+                   least(cu, {_plus("ca", 5, "I")}), least(ca, {_plus("cu", 5, "I")})
+            FROM (SELECT b.conv_id, x.i, {_read("u", "bu", "b0")} AS c0, {_read("u", "bu", "bs")} AS cs, {_read("a", "ba", "bu")} AS cu, {_read("u", "bu", "ba")} AS ca
+                  FROM back b JOIN rows x ON b.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = b.i - 1)
+        ), best AS (SELECT conv_id, left(b0, 9)::BIGINT AS cost, substr(b0, 10) AS audit FROM back WHERE i = 1),
+        walk AS (
+            SELECT conv_id, audit AS rest, 1::BIGINT AS i, '' AS g, []::VARCHAR[] AS lines FROM best
+            UNION ALL
+            SELECT w.conv_id, substr(rest, 2), w.i + CASE WHEN left(rest, 1) = 'I' THEN 0 ELSE 1 END,
+                   CASE left(rest, 1) WHEN 'D' THEN g WHEN 'K' THEN x.r ELSE CASE g WHEN 'u' THEN 'a' ELSE 'u' END END,
+                   CASE left(rest, 1) WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, x.role || ':' || x.text)
+                        ELSE list_append(lines, CASE g WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE left(rest, 1) WHEN 'R' THEN x.text ELSE '' END) END
+            FROM walk w LEFT JOIN rows x ON w.conv_id IS NOT DISTINCT FROM x.conv_id AND w.i = x.i WHERE rest <> ''
+        )
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN sums s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
+        LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN walk w ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND w.rest = ''""",
 }
