@@ -110,7 +110,6 @@ def cheapest(symbols: str) -> tuple[int, str, list[tuple[int, str | None]]]:
     return after[0, 0, ""][0], "".join(labels), made
 
 
-@F.pandas_udf("cost long, audit string, made array<struct<row:int,role:string>>")
 def _repaired(symbols: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([cheapest(s) for s in symbols], columns=["cost", "audit", "made"])
 
@@ -145,7 +144,8 @@ def conversation_repair(conversations: DataFrame, present: Column | None = None)
     # a role without characters is none of the grammar's
     symbol = F.transform("turns", lambda t: F.concat(F.when(_initial(t["role"]).isin("s", "u", "a"), _initial(t["role"])).otherwise("x"), t["fault"]))
     out = out.withColumn("symbols", F.array_join(symbol, ""))
-    out = out.withColumn("best", _repaired("symbols"))
+    solve = F.pandas_udf(_repaired, "cost long, audit string, made array<struct<row:int,role:string>>")
+    out = out.withColumn("best", solve("symbols"))
     turn = lambda e: F.get("turns", F.greatest(e["row"], F.lit(0)))
     repaired = F.transform("best.made", lambda e: F.struct(F.coalesce(e["role"], turn(e)["role"]).alias("role"), F.when(e["row"] < 0, "").otherwise(turn(e)["text"]).alias("text")))
     pair = lambda i: F.concat(_initial(F.get("turns", i - 1)["role"]), _initial(F.get("turns", i)["role"]))

@@ -236,8 +236,8 @@ SQL: dict[str, str] = {
                    unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c
         ), o AS (
             SELECT conv_id, turn, role, text, left(role, 1) AS r, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d
         ), rows AS (
             SELECT *, CASE WHEN f = 't' THEN 5 ELSE 0 END AS stays FROM (
                 SELECT *, CASE WHEN e = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN e NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS f,
