@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, decontaminate, html_extract, license_scan, line_dedup, merkle_manifest, mix_sources, ngram_join, quality_rules, resample, secret_scan
+from . import chat_format, conversation_repair, decontaminate, exact_search, html_extract, license_scan, line_dedup, merkle_manifest, mix_sources, ngram_join, quality_rules, resample, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_grams", "log_weight", "noisy_weight", "selected")
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.exact_search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -103,8 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_html_extract, op3_decontaminate, op4_license_scan, op5_secret_scan,
-        op6_line_dedup, op7_chat_format, op8_quality_rules, op9_mix_sources, op10_resample,
-        op12_merkle_manifest, op13_conversation_repair,
+        op6_line_dedup, op7_chat_format, op8_quality_rules, op9_mix_sources, op10_resample, op11_exact_search, op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
@@ -195,6 +198,16 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(n + markup)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_exact_search": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+                   row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id NULLS LAST) AS rank
+            FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0
+        ) WHERE rank <= 20""",
     "op12_merkle_manifest": rf"""
         WITH RECURSIVE d AS (
             SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf,
