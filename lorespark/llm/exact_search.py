@@ -109,11 +109,11 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
             at, scores, floor = np.empty(0, np.int64), np.empty(0, kind), floors[j]
             for step in steps:
                 # in order of bounds: the next ones, then whether any of the rest can still reach the k-th score
-                now = left if len(left) <= step else left[np.argpartition(bound[left], step - 1)[:step]]
+                split = np.argpartition(bound[left], step - 1) if len(left) > step else np.arange(len(left))
+                now, left = left[split[:step]], left[split[step:]]
                 at, scores = np.concatenate([at, now]), np.concatenate([scores, exact[now] @ asked[j]])
                 if len(scores) >= k:
                     floor = max(floor, _kth(scores, k))
-                left = np.setdiff1d(left, now, assume_unique=True)
                 left = left[bound[left] <= _reach(norms[j], greatest, floor)]
                 if not len(left):
                     break
@@ -240,7 +240,7 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
 
     sent = home.select("id", "one", "two", "copies", F.col("cell").alias("home_cell"), F.col("block").alias("home_block"), "v", floor.alias("floor"))
     sent = sent.mapInArrow(onward, "id long, one long, two long, copies long, home_cell int, home_block int, v array<long>, floor long, cell int")
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)).cast("int")).filter("cell <> home_cell OR block <> home_block")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).filter("cell <> home_cell OR block <> home_block")
     sent = sent.withColumn("group", F.pmod("two", F.lit(groups)).cast("int")).drop("home_cell", "home_block")
     met = table.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
