@@ -14,7 +14,7 @@ bounds, a share at a time, until the next bound can't beat the k-th score; round
 and candidates that could tie are evaluated. The k best of all blocks are the result, exactly.
 
 Scores are integers: they are computed in single precision while every partial sum is below
-2^24, in double below 2^53, else with Python's integers, and end at the limits of a long.
+2^24, in double below 2^53, else with Python's integers, and end at the limits of a long, where they count as equal.
 
 Defined cases: vectors null, empty of a component or holding null or non-finite ones take no part, as query or row;
 shorter vectors count as filled up with zeros, an empty vector as zero. A row with a null id is a
@@ -80,8 +80,8 @@ def far_apart(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, far: np.ndarray, pivots: np.ndarray, greatest: float, k: int) -> list[tuple[np.ndarray, list[int]]]:
-    """For each query the positions and scores of its ``k`` best rows, those below its floor left out.
+def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.ndarray, far: np.ndarray, pivots: np.ndarray, greatest: float, k: int) -> list[tuple[np.ndarray, list[int], int]]:
+    """For each query the positions and scores of its ``k`` best rows, those below its floor left out, and how many rows were evaluated.
 
     ``rows`` stand in order of id, which breaks ties. ``own``: the position of the row that a query leaves out, or -1.
     ``far``: the rows' distances to the pivots, one array for each pivot.
@@ -111,7 +111,7 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
                 # in order of bounds: the next ones, then whether any of the rest can still reach the k-th score
                 split = np.argpartition(bound[left], step - 1) if len(left) > step else np.arange(len(left))
                 now, left = left[split[:step]], left[split[step:]]
-                at, scores = np.concatenate([at, now]), np.concatenate([scores, exact[now] @ asked[j]])
+                at, scores = np.concatenate([at, now]), np.concatenate([scores, _limited(exact[now] @ asked[j])])
                 if len(scores) >= k:
                     floor = max(floor, _kth(scores, k))
                 left = left[bound[left] <= _reach(norms[j], greatest, floor)]
@@ -122,7 +122,7 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
                 dense.append((j, left, at))
         # of what is left many queries need most rows, so they are evaluated together
         if dense:
-            together = asked[[j for j, _, _ in dense]] @ exact.T
+            together = _limited(asked[[j for j, _, _ in dense]] @ exact.T)
             for (j, left, at), scores in zip(dense, together, strict=True):
                 found[j] = (np.concatenate([at, left]), np.concatenate([found[j][1], scores[left]]))
         for j in part:
@@ -131,7 +131,7 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
             at, scores = at[over := scores >= floor], scores[over]
             order = np.argsort(at, kind="stable")
             order = order[np.argsort(-scores[order], kind="stable")][:k]
-            out.append((at[order], [int(s) for s in scores[order]]))
+            out.append((at[order], [int(s) for s in scores[order]], len(found[j][0])))
     return out
 
 
@@ -146,8 +146,9 @@ def _reach(norm: float, greatest: float, floor: float) -> float:
     return float(np.sqrt(max(norm**2 + greatest**2 - 2 * float(floor), 0.0))) * (1 + SLACK) + SLACK * (norm + greatest)
 
 
-def _long(score: int) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, score))
+def _limited(scores: np.ndarray) -> np.ndarray:
+    """Scores within the limits of a long; only Python's integers can pass them."""
+    return np.clip(scores, -(1 << 63), (1 << 63) - 1) if scores.dtype == object else scores
 
 
 def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -198,9 +199,9 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
         """A row for each query, with the lists of what it found."""
         ids, copies = t["id"].to_pylist(), t["copies"].to_numpy()
         lists = {"ids": [], "scores": [], "times": []}
-        for j, (at, scores) in enumerate(found):
+        for j, (at, scores, _) in enumerate(found):
             lists["ids"].append([ids[i] for i in at])
-            lists["scores"].append([_long(s) for s in scores])
+            lists["scores"].append(scores)
             lists["times"].append([int(copies[i]) - (1 if q_rows is not None and q_rows[j] == i else 0) for i in at])
         kinds = pa.list_(pa.int64())
         made = {c: q[c] for c in ("id", "one", "two", "copies", "cell", "block", "v")} | {c: pa.array(x, kinds) for c, x in lists.items()}
@@ -208,11 +209,11 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
 
     def at_home(t: pa.Table) -> pa.Table:
         t, v, far = sorted_rows(t)
-        ids, copies = t["id"].to_numpy(zero_copy_only=False), t["copies"].to_numpy()
+        copies = t["copies"].to_numpy()
         is_q = np.array([x is not None and x % every == 0 for x in t["id"].to_pylist()], bool)
         where = np.flatnonzero(is_q)
         own = np.where(copies[where] == 1, where, -1)
-        found = best_of(v[where], np.full(len(where), -np.inf), own, v, ids, far, pivots, greatest, k)
+        found = best_of(v[where], np.full(len(where), -np.inf), own, v, far, pivots, greatest, k)
         return answers(t.take(pa.array(where)), found, t, where)
 
     _ANSWER = "id long, one long, two long, copies long, cell int, block int, v array<long>, ids array<long>, scores array<long>, times array<long>"
@@ -250,7 +251,7 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
         t, v, far = sorted_rows(t)
         floors = [-np.inf if f is None else f for f in q["floor"].to_pylist()]
         floors = np.array(floors, dtype=object if any(abs(f) >= 1 << 53 for f in floors if f != -np.inf) else np.float64)
-        found = best_of(_matrix(q["v"]), floors, np.full(q.num_rows, -1), v, t["id"].to_numpy(zero_copy_only=False), far, pivots, greatest, k)
+        found = best_of(_matrix(q["v"]), floors, np.full(q.num_rows, -1), v, far, pivots, greatest, k)
         return answers(q, found, t, None)
 
     keys = ("cell", "block", "group")
