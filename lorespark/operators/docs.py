@@ -45,11 +45,11 @@ def outline(heads: DataFrame, totals: DataFrame) -> DataFrame:
     """End line, parent (the latest earlier heading of a lower level) and place among siblings of each heading."""
     w = W.partitionBy("source_id").orderBy("line_no")
     before = w.rowsBetween(W.unboundedPreceding, -1)
-    found = [F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(before) for k in (1, 2, 3)]
+    found = [F.last(F.when(F.col("level") == k, F.struct("line_no", "level")), ignorenulls=True).over(before) for k in (1, 2, 3)]
     parent = F.greatest(*(F.when(F.col("level") > k, x) for k, x in zip((1, 2, 3), found)))
-    out = heads.join(totals, "source_id").select("*", parent.alias("parent_line"), F.coalesce(F.lead("line_no").over(w) - 1, F.col("total_lines")).alias("line_end"))
-    place = F.row_number().over(W.partitionBy("source_id", "parent_line").orderBy("line_no")) - 1
-    return out.select("source_id", F.col("line_no").alias("line_start"), "line_end", "level", "title", "parent_line", place.cast("bigint").alias("position"))
+    out = heads.join(totals, "source_id").select("*", parent.alias("parent"), F.coalesce(F.lead("line_no").over(w) - 1, F.col("total_lines")).alias("line_end"))
+    place = F.row_number().over(W.partitionBy("source_id", "parent.line_no").orderBy("line_no")) - 1
+    return out.select("source_id", F.col("line_no").alias("line_start"), "line_end", "level", "title", F.col("parent.line_no").alias("parent_line"), F.col("parent.level").alias("parent_level"), place.cast("bigint").alias("position"))
 
 
 def virtual_headings(heads: DataFrame) -> DataFrame:
@@ -74,13 +74,25 @@ def repair_sections(sections: DataFrame, totals: DataFrame) -> DataFrame:
     return s.select("source_id", "title", "line_start", end.alias("line_end"), "level")
 
 
+def line_chars(rows: DataFrame) -> DataFrame:
+    """``source_id, line_no, until``: characters of a source's lines up to and with each, newlines too."""
+    until = F.sum(F.char_length("line") + 1).over(W.partitionBy("source_id").orderBy("line_no"))
+    return rows.select("source_id", "line_no", until.alias("until"))
+
+
+def sized(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``before`` and ``until``, the characters before a segment and up to its end, so that any stretch's size is a difference."""
+    cum = line_chars(rows)
+    a = cum.select("source_id", (F.col("line_no") + 1).alias("line_start"), F.col("until").alias("before"))
+    b = cum.select("source_id", F.col("line_no").alias("line_end"), "until")
+    return parts.join(a, ["source_id", "line_start"], "left").fillna({"before": 0}).join(b, ["source_id", "line_end"])
+
+
 def triggers(nodes: DataFrame, docs: DataFrame, max_chars: int) -> DataFrame:
     """Why a document's outline needs refining: A none, B sparse, C coverage, D flat, E long leaves."""
-    leaf = nodes.join(nodes.select("source_id", F.col("parent_line").alias("line_start")).filter("line_start IS NOT NULL").distinct(), ["source_id", "line_start"], "left_anti")
-    size = leaf.join(docs.select("source_id", "text"), "source_id")
-    from lorespark.functions.text import line_range
+    from lorespark.operators.tree import leaves
 
-    size = size.groupBy("source_id").agg(F.max(F.char_length(line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int")))).alias("longest"))
+    size = sized(leaves(nodes), lines(docs)).groupBy("source_id").agg(F.max(F.col("until") - F.col("before") - 1).alias("longest"))
     sums = nodes.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("covered"), (F.min("level") == F.max("level")).alias("flat"))
     d = docs.select("source_id", F.char_length("text").alias("chars"), F.size(F.split("text", "\n")).alias("total"))
     d = d.join(sums, "source_id", "left").join(size, "source_id", "left")
@@ -111,7 +123,7 @@ def greedy_batches(nodes: DataFrame, budget: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.05) -> DataFrame:
-    """Greedy windows of lines by character budget, broken at the best place near the end, with overlap.
+    """Windows of each text: ``source_id`` (of any type), ``line_start, line_end``. Greedy windows of lines by character budget, broken at the best place near the end, with overlap.
 
     Fixed values: the last fifth of a window, ten lines at least, is searched for a break; windows of over
     ten lines overlap by ``overlap`` of their lines, five at least.
@@ -144,7 +156,8 @@ def windows(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.05) -> Da
                     start = back if back > start else end
             yield pd.DataFrame(out, columns=["source_id", "line_start", "line_end"])
 
-    return docs.select("source_id", "text").mapInPandas(run, "source_id bigint, line_start bigint, line_end bigint")
+    kind = docs.schema["source_id"].dataType.simpleString()
+    return docs.select("source_id", "text").mapInPandas(run, f"source_id {kind}, line_start bigint, line_end bigint")
 
 
 def _ranks(rows: list[str]) -> list[int]:

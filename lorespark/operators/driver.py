@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
 from lorespark.operators import provider as pv
+from lorespark.operators import refine, sketch, tree
 from lorespark.sources.shared import stored
 
 
 @dataclass(frozen=True)
 class Processed:
     sources: DataFrame  # source_id, status, word_count, reasons, outline_type
-    outlines: DataFrame  # source_id, line_start, line_end, level, title, parent_line, position
-
-
-def line_chars(rows: DataFrame) -> DataFrame:
-    """``source_id, line_no, until``: characters of a source's lines up to and with each, newlines too."""
-    until = F.sum(F.char_length("line") + 1).over(W.partitionBy("source_id").orderBy("line_no"))
-    return rows.select("source_id", "line_no", until.alias("until"))
-
-
-def merge_overlaps(sections: DataFrame) -> DataFrame:
-    """Sections of one title that follow each other by start and overlap become one."""
-    w = W.partitionBy("source_id").orderBy("line_start", "line_end")
-    s = sections.withColumn("_same", F.coalesce((F.lag("title").over(w) == F.col("title")).cast("int"), F.lit(0)))
-    s = s.withColumn("_run", F.sum(1 - F.col("_same")).over(w))
-    r = W.partitionBy("source_id", "_run").orderBy("line_start", "line_end")
-    reached = F.max("line_end").over(r.rowsBetween(W.unboundedPreceding, -1))
-    s = s.withColumn("_new", F.when(reached.isNull() | (F.col("line_start") > reached), 1).otherwise(0)).withColumn("_part", F.sum("_new").over(r))
-    return s.groupBy("source_id", "_run", "_part").agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.min_by("level", F.struct("line_start", "line_end")).alias("level"), F.first("title").alias("title")).drop("_run", "_part")
+    outlines: DataFrame  # source_id, line_start, line_end, level, title, parent_line, parent_level, position, node_type
 
 
 def parse_sections(replies: DataFrame, totals: DataFrame) -> DataFrame:
@@ -46,43 +30,43 @@ def parse_sections(replies: DataFrame, totals: DataFrame) -> DataFrame:
 
 def placed(sections: DataFrame) -> DataFrame:
     """Parent (the latest earlier section of a lower level) and place among siblings of sections that have their lines."""
-    w = W.partitionBy("source_id").orderBy("line_start", "level", "title")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    found = [F.last(F.when(F.col("level") == k, F.struct(F.col("line_start").alias("at"))), ignorenulls=True).over(before)["at"] for k in (1, 2)]
+    before = W.partitionBy("source_id").orderBy("line_start", "level", "title").rowsBetween(W.unboundedPreceding, -1)
+    found = [F.last(F.when(F.col("level") == k, F.struct("line_start", "level")), ignorenulls=True).over(before) for k in (1, 2)]
     parent = F.greatest(*(F.when(F.col("level") > k, x) for k, x in zip((1, 2), found)))
-    out = sections.withColumn("parent_line", parent)
-    place = F.row_number().over(W.partitionBy("source_id", "parent_line").orderBy("line_start", "level", "title")) - 1
-    return out.select("source_id", "line_start", "line_end", "level", "title", "parent_line", place.cast("bigint").alias("position"))
+    out = sections.withColumn("parent", parent).withColumns({"parent_line": F.col("parent.line_start"), "parent_level": F.col("parent.level"), "node_type": F.lit("semantic")})
+    return refine.positioned(out)
 
 
 def process(sources: DataFrame, provider: pv.Provider, max_chars: int = 1500, usable: int = 2000) -> Processed:
     """Sources (source_id, text; null: conversion failed) with their outline.
 
-    The structural outline stays if nothing asks for more. If only long leaves do, these are split and
-    the outline is mixed; for any other reason a model makes a semantic one, and where it gives
-    nothing, the structural one stays.
+    The structural outline stays if nothing asks for more. If only long leaves do, these are refined, and the outline is
+    mixed where that gave nodes; for any other reason a model makes a semantic one, and where it gives
+    nothing, the structural one stays. Semantic outlines of texts over one request are refined as well.
     """
     clean = sources.select("source_id", dc.clean_markdown(F.col("text")).alias("text"))
     ok = clean.filter("text IS NOT NULL")
-    rows = dc.lines(ok)
+    # all are used by several branches below
+    rows = stored(dc.lines(ok), "lines")
     totals = rows.groupBy("source_id").agg(F.max("line_no").alias("total_lines"))
-    # both are used by several branches below
-    structural = stored(dc.outline(dc.headings(rows), totals), "outline")
+    structural = stored(dc.outline(dc.headings(rows), totals).withColumn("node_type", F.lit("structural")), "outline")
     why = stored(dc.triggers(structural, ok, max_chars), "triggers")
     asked = ok.join(why.filter("reasons NOT IN ('', 'E')").select("source_id"), "source_id", "left_semi")
-    semantic = stored(placed(merge_overlaps(pv.sections(asked, provider, usable))), "semantic")
-    got = semantic.select("source_id").distinct().withColumn("_semantic", F.lit(True))
-    kind = F.when(F.col("reasons") == "E", "mixed").when(F.col("_semantic"), "semantic").otherwise("structural")
-    kinds = why.join(got, "source_id", "left").select("source_id", "reasons", kind.alias("outline_type"))
-    inner = structural.filter("parent_line IS NOT NULL").select("source_id", F.col("parent_line").alias("line_start")).distinct()
-    leaf = structural.join(kinds.filter("outline_type = 'mixed'").select("source_id"), "source_id", "left_semi").join(inner, ["source_id", "line_start"], "left_anti").join(ok, "source_id")
-    body = tx.line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int"))
-    cut = pv.split_long_leaves(leaf.select("source_id", "line_start", "title", body.alias("text")), max_chars)
-    deeper = cut.join(structural.select("source_id", F.col("line_start").alias("_known")), (cut["source_id"] == structural["source_id"]) & (cut["line_start"] == F.col("_known")), "left_anti")
-    nodes = structural.join(kinds.filter("outline_type <> 'semantic'").select("source_id"), "source_id", "left_semi").select("source_id", "line_start", "line_end", "level", "title", "parent_line", "position")
-    refined = deeper.select("source_id", "line_start", F.lit(None).cast("bigint").alias("line_end"), F.lit(4).cast("bigint").alias("level"), "title", F.lit(None).cast("bigint").alias("parent_line"), F.lit(0).cast("bigint").alias("position"))
+    semantic = stored(placed(refine.merge_overlaps(sketch.sections(asked, provider, usable), ["source_id"])), "semantic")
+    most = pv.request_chars(usable)
+    of = lambda df, keys: df.join(keys.select("source_id").distinct(), "source_id", "left_semi")
+    several = asked.filter(F.char_length("text") > most)
+    deep = refine.refine(of(semantic, several), of(rows, several), provider, max_chars, most, split_given=True)
+    semantic = stored(semantic.join(several.select("source_id"), "source_id", "left_anti").unionByName(deep), "semantic-refined")
+    long = why.filter("reasons = 'E'")
+    mixed = stored(refine.refine(of(structural, long), of(rows, long), provider, max_chars, most), "mixed")
+    made = semantic.select("source_id").distinct().withColumn("_semantic", F.lit(True)).join(mixed.filter("node_type = 'semantic'").select("source_id").distinct().withColumn("_mixed", F.lit(True)), "source_id", "full")
+    kind = F.when(F.col("_mixed"), "mixed").when(F.col("_semantic"), "semantic").otherwise("structural")
+    kinds = why.join(made, "source_id", "left").select("source_id", "reasons", kind.alias("outline_type"))
+    as_they_were = of(structural, kinds.filter("outline_type = 'structural' AND reasons <> 'E'"))
+    nodes = functools.reduce(DataFrame.unionByName, [as_they_were.select(*refine.NODE, "position"), semantic, mixed])
     out = clean.join(kinds, "source_id", "left").select("source_id", F.when(F.col("text").isNull(), "failed").otherwise("completed").alias("status"), F.char_length("text").cast("bigint").alias("word_count"), "reasons", "outline_type")
-    return Processed(out, nodes.unionByName(semantic).unionByName(refined))
+    return Processed(out, nodes)
 
 
 def retry(sources: DataFrame, outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,27 +83,14 @@ def extractable(sources: DataFrame) -> DataFrame:
 def segments(nodes: DataFrame, rows: DataFrame, min_chars: int) -> DataFrame:
     """The leaves of an outline as segments: contents tables dropped, small ones merged, each with its deepest node or null.
 
-    ``rows``: source_id, line_no, line. Texts are read once, for the sizes and the contents test.
+    ``rows``: source_id, line_no, line. A leaf's text is gathered from its own lines, for the contents test.
     """
-    inner = nodes.filter("parent_line IS NOT NULL").select("source_id", F.col("parent_line").alias("line_start")).distinct()
-    leaf = nodes.join(inner, ["source_id", "line_start"], "left_anti")
-    own = rows.join(leaf.select("source_id", F.col("line_start").alias("a"), F.col("line_end").alias("b"), "title"), "source_id").filter("line_no BETWEEN a AND b")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    raw = own.groupBy("source_id", F.col("a").alias("line_start"), F.col("b").alias("line_end"), "title").agg(text.alias("text"))
-    raw = raw.filter(~dc.is_contents(F.col("title"), F.col("text"))).drop("text")
-    return matched(dc.merge_small(sized(raw, rows), min_chars), nodes)
-
-
-def sized(parts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds ``before`` and ``until``, the characters before a segment and up to its end, so that any stretch's size is a difference."""
-    cum = line_chars(rows)
-    a = cum.select("source_id", (F.col("line_no") + 1).alias("line_start"), F.col("until").alias("before"))
-    b = cum.select("source_id", F.col("line_no").alias("line_end"), "until")
-    return parts.join(a, ["source_id", "line_start"], "left").fillna({"before": 0}).join(b, ["source_id", "line_end"])
+    leaf = refine.bodies(tree.leaves(nodes), rows)
+    raw = leaf.filter(~dc.is_contents(F.col("title"), F.col("text"))).select("source_id", "line_start", "line_end", "title")
+    return matched(dc.merge_small(dc.sized(raw, rows), min_chars), nodes)
 
 
 def matched(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``outline_line``, the start of the deepest node whose lines hold the segment's; null if none does."""
-    n = nodes.select(F.col("source_id").alias("_s"), F.col("line_start").alias("outline_line"), F.col("level").alias("_l"), F.col("line_start").alias("_a"), F.col("line_end").alias("_b"))
-    hit = parts.join(n, (F.col("source_id") == F.col("_s")) & (F.col("_a") <= F.col("line_start")) & (F.col("_b") >= F.col("line_end")), "left")
-    return hit.groupBy("source_id", "line_start", "line_end", "title").agg(F.max_by("outline_line", F.struct("_l", -F.col("_a"))).alias("outline_line"))
+    named = nodes.select("source_id", "line_start", "line_end", "level", F.col("line_start").alias("outline_line"))
+    return tree.deepest(parts.select("source_id", "line_start", "line_end", "title"), named, "outline_line")

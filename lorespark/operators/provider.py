@@ -85,31 +85,9 @@ def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
 # --- documents -----------------------------------------------------------------------------------
 
 
-def sections(docs: DataFrame, provider: Provider, usable: int = 2000) -> DataFrame:
-    """A semantic outline: one request for a text of up to 1.5 ``usable`` characters, else one for each window; then repaired."""
-    short = F.char_length("text") <= usable * 1.5
-    whole = docs.filter(short).select("source_id", F.lit(1).cast("bigint").alias("line_start"), F.size(F.split("text", "\n")).cast("bigint").alias("line_end"))
-    parts = whole.unionByName(dc.windows(docs.filter(~short), usable)).join(docs.select("source_id", "text"), "source_id")
-    body = tx.line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int"))
-    got = parts.select("source_id", ask(F.to_json(F.struct("line_start", "line_end", body.alias("text"))), provider, "sections array<struct<title: string, line_start: bigint, line_end: bigint, level: bigint>>").alias("r"))
-    rows = got.select("source_id", F.explode("r.sections").alias("s")).select("source_id", "s.*").dropDuplicates(["source_id", "line_start", "level"])
-    totals = docs.select("source_id", F.size(F.split("text", "\n")).cast("bigint").alias("total_lines"))
-    return dc.repair_sections(rows, totals)
-
-
-def split_long_leaves(leaves: DataFrame, max_chars: int) -> DataFrame:
-    """Leaves (source_id, line_start, title, text) over ``max_chars`` become windows, titled with their place and number."""
-    long = F.char_length("text") > max_chars
-    keep = leaves.filter(~long).select("source_id", "line_start", "title")
-    # a leaf is a text of its own here, so that windows don't cross leaves
-    own = leaves.filter(long).select(F.xxhash64("source_id", "line_start").alias("source_id"), "text")
-    key = leaves.filter(long).select(F.xxhash64("source_id", "line_start").alias("leaf"), "source_id", F.col("line_start").alias("at"), "title")
-    cut = dc.windows(own, max_chars).select(F.col("source_id").alias("leaf"), F.col("line_start").alias("within"))
-    w = W.partitionBy("leaf")
-    place = F.row_number().over(w.orderBy("within")).cast("string")
-    named = cut.select("leaf", "within", place.alias("i"), F.count("*").over(w).cast("string").alias("n")).join(key, "leaf")
-    title = F.when(F.col("n") == "1", F.col("title")).otherwise(F.concat("title", F.lit("（"), F.col("i"), F.lit("/"), F.col("n"), F.lit("）")))
-    return keep.unionByName(named.select("source_id", (F.col("at") + F.col("within") - 1).alias("line_start"), title.alias("title")))
+def request_chars(usable: int) -> int:
+    """Characters of a text that a request of ``usable`` tokens may hold."""
+    return usable * 3 // 2
 
 
 def node_summaries(nodes: DataFrame, provider: Provider, budget: int = 3000) -> DataFrame:
@@ -201,6 +179,27 @@ def first_lines(request: str) -> str:
     return json.dumps({"sections": [{"title": title, "line_start": j["line_start"], "line_end": j["line_end"], "level": 1}]})
 
 
+def sections_of_lines(request: str, steps: dict[int, int]) -> str:
+    """Sections of as many lines as the level that is asked for has, named by their first line's number."""
+    j = json.loads(request)
+    n = steps[j["level"]]
+    starts = range(j["line_start"], j["line_end"] + 1, n)
+    return json.dumps({"sections": [{"title": f"part {a}", "line_start": a, "line_end": min(a + n - 1, j["line_end"])} for a in starts]})
+
+
+def sections_of_headings(request: str) -> str:
+    """A text's headings, or a window's as a sketch; merges keep all units, each from its start to the next one's."""
+    j = json.loads(request)
+    if j.get("prompt") != "merge":
+        heads = [(j["line_start"] + i, x.lstrip("#").strip()) for i, x in enumerate(j["text"].split("\n")) if x.startswith("#")]
+        ends = [a - 1 for a, _ in heads[1:]] + [j["line_end"]]
+        units = [{"title": t, "line_start": a, "line_end": b, "level": 1} for (a, t), b in zip(heads, ends)]
+        return json.dumps({"sections": units, "starts_mid_section": not heads or heads[0][0] > j["line_start"], "ends_mid_section": j["line_end"] < j.get("total_lines", 0)})
+    units = {u["line_start"]: u["title"] for s in j["sketches"] for u in s["units"]}
+    starts, last = sorted(units), max(s["until"] for s in j["sketches"])
+    return json.dumps({"sections": [{"title": units[a], "line_start": a, "line_end": b - 1, "level": 1} for a, b in zip(starts, [*starts[1:], last + 1])]})
+
+
 def every_other(request: str) -> str:
     """The outlines at even places of the list, and one that doesn't exist."""
     return json.dumps({"outline_ids": [o["outline_id"] for o in json.loads(request)["outlines"][::2]] + [-1]})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespark.operators.tree import deepest
+
 
 def in_domains(sources: DataFrame, domain_ids: list[str]) -> DataFrame:
     """Sources of the domains, and those without one; no domains means all."""
@@ -118,10 +120,8 @@ def conflicts(relations: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def deepest_container(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each segment's deepest node of the same source whose lines hold the segment's; the first of equal ones; null if none."""
-    n = nodes.select(F.col("source_id").alias("_s"), F.col("outline_id").alias("container"), F.col("level").alias("_l"), F.col("line_start").alias("_a"), F.col("line_end").alias("_b"))
-    hit = segments.join(n, (F.col("source_id") == F.col("_s")) & (F.col("_a") <= F.col("line_start")) & (F.col("_b") >= F.col("line_end")), "left")
-    best = F.max_by("container", F.struct("_l", -F.col("_a")))
-    return hit.groupBy("source_id", "line_start", "line_end").agg(best.alias("container"))
+    named = nodes.select("source_id", "line_start", "line_end", "level", F.col("outline_id").alias("container"))
+    return deepest(segments.select("source_id", "line_start", "line_end").distinct(), named, "container")
 
 
 def delete_failed(sources: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
-from lorespark.operators import driver, schema, store, tree
+from lorespark.operators import driver, refine, schema, sketch, store, tree
 from lorespark.operators import provider as pv
 from lorespark.operators import retrieval as rt
 from lorespark.plans import relational as rel
 from lorespark.plans.knowledge import MARKDOWN, _parts
 from lorespark.plans.retrieving import KB, KC, KQ, OUTLINE, RESTRICTED, _choices, _questions, _store
 from lorespark.sources import config, convert, files, prompts, snapshot
-from lorespark.sources.shared import file_system, new_folder
+from lorespark.sources.shared import file_system, new_folder, stored
 
 _OWN: list[str] = []
 
@@ -42,7 +42,7 @@ def _(s):
     _, totals, nodes = _parts(s)
     n = F.row_number().over(W.partitionBy("source_id").orderBy("line_start"))
     twins = nodes.join(totals, "source_id").select("source_id", "line_start", F.least(F.col("line_end") + (F.col("line_start") % 3) * 4, F.col("total_lines")).alias("line_end"), "level", F.concat(F.lit("part "), F.floor(n / 3).cast("string")).alias("title"))
-    return driver.merge_overlaps(twins).select("source_id", "line_start", "line_end", "level", "title")
+    return refine.merge_overlaps(twins, ["source_id"]).select("source_id", "line_start", "line_end", "level", "title")
 
 
 CUM = "cu0 AS (SELECT source_id, line_no, sum(length(line) + 1) OVER (PARTITION BY source_id ORDER BY line_no) AS until FROM md)"
@@ -67,7 +67,7 @@ DEEPEST = "SELECT g.source_id, g.line_start, g.line_end, g.title, arg_max(o.line
 @query("WIN14_merge_small", ("sources",), f"WITH RECURSIVE {MARKDOWN}, {CUM}, {merged('SELECT source_id, line_start, line_end, title FROM ol', 300)} {DEEPEST}")
 def _(s):
     md, _, nodes = _parts(s)
-    parts = dc.merge_small(driver.sized(nodes.select("source_id", "line_start", "line_end", "title"), md), 300)
+    parts = dc.merge_small(dc.sized(nodes.select("source_id", "line_start", "line_end", "title"), md), 300)
     return driver.matched(parts, nodes)
 
 
@@ -150,10 +150,70 @@ def _(s):
     return dc.windows(_plain(s), 700)
 
 
-@query("DOC04_sections", ("sources",), f"""WITH RECURSIVE {MARKDOWN}, {PLAIN}, {windows('w', 'SELECT * FROM vp WHERE length(text) > 1200', 800)}, st AS (SELECT DISTINCT key AS source_id, a FROM w UNION SELECT key, 1 FROM vp WHERE length(text) <= 1200)
+@query("DOC04_sections", ("sources",), f"""WITH RECURSIVE {MARKDOWN}, {PLAIN}, {windows('w', 'SELECT * FROM vp WHERE length(text) > 1200', 1200)}, st AS (SELECT DISTINCT key AS source_id, a FROM w UNION SELECT key, 1 FROM vp WHERE length(text) <= 1200)
     SELECT st.source_id, CASE WHEN trim(m.line) = '' THEN 'untitled' ELSE left(trim(m.line), 30) END AS title, a AS line_start, coalesce(lead(a) OVER (PARTITION BY st.source_id ORDER BY a) - 1, total_lines) AS line_end, 1 AS level FROM st JOIN md m ON m.source_id = st.source_id AND m.line_no = a JOIN tot ON tot.source_id = st.source_id""")
 def _(s):
-    return pv.sections(_plain(s), pv.first_lines, 800)
+    """Long texts by windows; the provider can't merge sketches, so rules do."""
+    return sketch.sections(_plain(s), pv.first_lines, 800)
+
+
+HEADED = "hp AS (SELECT source_id, i::BIGINT AS line_no, CASE WHEN i % 5 = 1 THEN '# head ' || i::VARCHAR || ' ' ELSE '- ' END || l[i] AS line FROM (SELECT source_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id, string_split(text, chr(10)) AS l FROM sources)))"
+
+
+@query("DOC04_merged_sketches", ("sources",), f"""WITH {HEADED}, ln AS (SELECT source_id, max(line_no) AS total, sum(length(line) + 1) - 1 AS chars FROM hp GROUP BY 1)
+    SELECT source_id, trim(line, '# ') AS title, line_no AS line_start, coalesce(lead(line_no) OVER (PARTITION BY source_id ORDER BY line_no) - 1, total) AS line_end, 1 AS level FROM hp JOIN ln USING (source_id) WHERE line_no % 5 = 1""")
+def _(s):
+    """Sketches of small windows, merged in several rounds: each section comes out once, as if the whole text had been read at once."""
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 5 == 0, F.concat(F.lit("# head "), (i + 1).cast("string"), F.lit(" "))).otherwise("- "), x))
+    docs = s.select("source_id", F.array_join(marked, "\n").alias("text"))
+    return sketch.sections(docs, pv.sections_of_headings, 300).withColumn("title", F.trim("title", F.lit("# ")))
+
+
+def _body(text: str) -> str:
+    return f"array_to_string(list_slice(string_split({text}, chr(10)), a.line_start, a.line_end), chr(10))"
+
+
+def refined(first: str, texts: str, steps: tuple[int, int], most: int) -> str:
+    """CTEs that end in ``rn``: the nodes that refinement adds to the leaves ``first`` (source_id, line_start, line_end, level), with sections of
+    ``steps`` lines for levels 2 and 3 where a model answers (not for every fourth length); ``texts`` has source_id and text."""
+
+    def kids(front: str) -> str:
+        step = f"CASE level WHEN 1 THEN {steps[0]} ELSE {steps[1]} END"
+        return f"SELECT source_id, s AS line_start, least(s + {step} - 1, line_end) AS line_end, level + 1 AS level, 'part ' || s AS title, line_start AS parent_line, level AS parent_level FROM (SELECT *, unnest(range(line_start, line_end + 1, {step})) AS s FROM {front} WHERE level < 3 AND length(text) % 4 <> 0)"
+
+    def front(nodes: str) -> str:
+        return f"SELECT * FROM (SELECT a.*, {_body('t.text')} AS text FROM ({nodes}) a JOIN ({texts}) t USING (source_id)) WHERE length(text) > {most}"
+
+    replaced = "NOT EXISTS (SELECT 1 FROM deep d WHERE d.source_id = k.source_id AND d.line_start = k.line_start AND k.level = 3)"
+    return f"""f1 AS ({front(first)}), k1 AS ({kids('f1')}), f2 AS ({front('SELECT * FROM k1')}), k2 AS ({kids('f2')}), f3 AS ({front('SELECT * FROM k2')}),
+    deep AS (SELECT *, source_id * 100000 + line_start AS key FROM (SELECT * FROM f2 WHERE level = 3 UNION ALL SELECT * FROM f3)), {windows('rw', 'SELECT key, text FROM deep', most)},
+    rn AS (SELECT k.* FROM k1 k WHERE {replaced} UNION ALL SELECT k.* FROM k2 k WHERE {replaced} UNION ALL
+        SELECT source_id, line_start + a - 1, line_start + b - 1, level, CASE WHEN n = 1 THEN title ELSE title || '（' || i || '/' || n || '）' END, parent_line, parent_level
+        FROM deep JOIN (SELECT key, a, b, row_number() OVER (PARTITION BY key ORDER BY a) AS i, count(*) OVER (PARTITION BY key) AS n FROM rw) USING (key))"""
+
+
+def lines_now_and_then(steps: tuple[int, int]):
+    """Sections of ``steps`` lines for levels 2 and 3; no reply for texts of every fourth length."""
+
+    def call(request: str) -> str:
+        if len(json.loads(request)["text"]) % 4 == 0:
+            raise OSError
+        return pv.sections_of_lines(request, {2: steps[0], 3: steps[1]})
+
+    return call
+
+
+PLACE = "row_number() OVER (PARTITION BY source_id, parent_line, parent_level ORDER BY line_start, level, title) - 1 AS position"
+
+
+@query("DOC06_refined", ("sources",), f"""WITH RECURSIVE {MARKDOWN}, {PLAIN}, {refined('SELECT source_id, 1::BIGINT AS line_start, total_lines AS line_end, 1::BIGINT AS level FROM tot', 'SELECT key AS source_id, text FROM vp', (4, 2), 300)}
+    SELECT *, {PLACE} FROM (SELECT source_id, 1 AS line_start, total_lines AS line_end, 1 AS level, 'all' AS title, NULL AS parent_line, NULL AS parent_level, 'structural' AS node_type FROM tot UNION ALL SELECT *, 'semantic' FROM rn)""")
+def _(s):
+    """From one node for the whole text, three levels down, and by windows where that doesn't do."""
+    md, totals, _ = _parts(s)
+    none = F.lit(None).cast("bigint")
+    one = totals.select("source_id", F.lit(1).cast("bigint").alias("line_start"), F.col("total_lines").alias("line_end"), F.lit(1).cast("bigint").alias("level"), F.lit("all").alias("title"), none.alias("parent_line"), none.alias("parent_level"), F.lit("structural").alias("node_type"))
+    return refine.refine(one, md, lines_now_and_then((4, 2)), 300, 1 << 30)
 
 
 LONG = "lx AS (SELECT a.source_id, a.line_start, a.title, array_to_string(list_slice(string_split(s.text, chr(10)), a.line_start, a.line_end), chr(10)) AS text, a.source_id * 100000 + a.line_start AS key FROM ol a JOIN sources s USING (source_id) WHERE NOT EXISTS (SELECT 1 FROM ol b WHERE b.source_id = a.source_id AND b.parent_line = a.line_start))"
@@ -162,11 +222,10 @@ LONG = "lx AS (SELECT a.source_id, a.line_start, a.title, array_to_string(list_s
 @query("DOC06_split_leaves", ("sources",), f"""WITH RECURSIVE {MARKDOWN}, {LONG}, {windows('w', 'SELECT key, text FROM lx WHERE length(text) > 400', 400)}, nw AS (SELECT key, a, row_number() OVER (PARTITION BY key ORDER BY a) AS i, count(*) OVER (PARTITION BY key) AS n FROM w)
     SELECT source_id, line_start, title FROM lx WHERE length(text) <= 400 UNION ALL SELECT source_id, line_start + a - 1, CASE WHEN n = 1 THEN title ELSE title || '（' || i || '/' || n || '）' END FROM lx JOIN nw USING (key)""")
 def _(s):
-    nodes = _parts(s)[2]
-    inner = nodes.filter("parent_line IS NOT NULL").select("source_id", F.col("parent_line").alias("line_start")).distinct()
-    leaf = nodes.join(inner, ["source_id", "line_start"], "left_anti").join(s.select("source_id", "text"), "source_id")
-    body = tx.line_range(F.col("text"), F.col("line_start").cast("int"), F.col("line_end").cast("int"))
-    return pv.split_long_leaves(leaf.select("source_id", "line_start", "title", body.alias("text")), 400)
+    """The rule by which leaves are divided where no model does."""
+    leaf = stored(refine.bodies(tree.leaves(_parts(s)[2]), dc.lines(s)), "leaves")
+    long = F.char_length("text") > 400
+    return leaf.filter(~long).select("source_id", "line_start", "title").unionByName(refine.by_windows(leaf.filter(long), 400).select("source_id", "line_start", "title"))
 
 
 # --- the driver --------------------------------------------------------------------------------------
@@ -177,11 +236,14 @@ REASONS = """n AS (SELECT source_id, count(*) AS n, sum(line_end - line_start +
         WHERE NOT EXISTS (SELECT 1 FROM ol b WHERE b.source_id = a.source_id AND b.parent_line = a.line_start) GROUP BY 1),
     rs AS (SELECT source_id, text, CASE WHEN n IS NULL THEN 'A' ELSE '' END || CASE WHEN n < 3 AND length(text) > 2000 THEN 'B' ELSE '' END || CASE WHEN covered / len(string_split(text, chr(10))) < 0.5 THEN 'C' ELSE '' END
         || CASE WHEN n < 5 AND flat THEN 'D' ELSE '' END || CASE WHEN longest > 600 THEN 'E' ELSE '' END AS reasons FROM vw LEFT JOIN n USING (source_id) LEFT JOIN lf USING (source_id))"""
-TYPED = "ty AS (SELECT *, CASE WHEN reasons = 'E' THEN 'mixed' WHEN reasons <> '' AND length(text) % 4 <> 0 THEN 'semantic' ELSE 'structural' END AS outline_type FROM rs WHERE text IS NOT NULL)"
+MIXED = refined("SELECT o.source_id, o.line_start, o.line_end, o.level FROM ol o JOIN rs USING (source_id) WHERE reasons = 'E' AND o.level < 3 AND NOT EXISTS (SELECT 1 FROM ol b WHERE b.source_id = o.source_id AND b.parent_line = o.line_start)", "SELECT source_id, text FROM vw", (3, 2), 600)
+TYPED = "ty AS (SELECT *, CASE WHEN reasons = 'E' AND EXISTS (SELECT 1 FROM rn WHERE rn.source_id = rs.source_id) THEN 'mixed' WHEN reasons NOT IN ('', 'E') AND length(text) % 4 <> 0 THEN 'semantic' ELSE 'structural' END AS outline_type FROM rs WHERE text IS NOT NULL)"
 
 
 def now_and_then(request: str) -> str:
-    """One section for the whole text; no reply for some texts."""
+    """One section for a whole text, some lines of a node that is refined; no reply for some texts."""
+    if "level" in json.loads(request):
+        return lines_now_and_then((3, 2))(request)
     if len(json.loads(request)["text"]) % 4 == 0:
         raise OSError
     return pv.first_lines(request)
@@ -197,17 +259,17 @@ def _processed(s: DataFrame) -> driver.Processed:
     return driver.process(_view(s), now_and_then, 600, 1 << 30)
 
 
-@query("DOC02_process", ("sources",), f"WITH {MARKDOWN}, {VIEW}, {REASONS}, {TYPED} SELECT v.source_id, CASE WHEN v.text IS NULL THEN 'failed' ELSE 'completed' END AS status, length(v.text) AS word_count, ty.reasons, outline_type FROM vw v LEFT JOIN ty USING (source_id)")
+@query("DOC02_process", ("sources",), f"WITH RECURSIVE {MARKDOWN}, {VIEW}, {REASONS}, {MIXED}, {TYPED} SELECT v.source_id, CASE WHEN v.text IS NULL THEN 'failed' ELSE 'completed' END AS status, length(v.text) AS word_count, ty.reasons, outline_type FROM vw v LEFT JOIN ty USING (source_id)")
 def _(s):
     return _processed(s).sources
 
 
-@query("DOC02_outlines", ("sources",), f"""WITH {MARKDOWN}, {VIEW}, {REASONS}, {TYPED} SELECT source_id, line_start, title FROM ol JOIN ty USING (source_id) WHERE outline_type = 'structural'
-    UNION ALL SELECT source_id, 1, CASE WHEN trim(left(trim(string_split(text, chr(10))[1]), 30)) = '' THEN 'untitled' ELSE left(trim(string_split(text, chr(10))[1]), 30) END FROM ty WHERE outline_type = 'semantic'""")
+@query("DOC02_outlines", ("sources",), f"""WITH RECURSIVE {MARKDOWN}, {VIEW}, {REASONS}, {MIXED}, {TYPED} SELECT *, {PLACE} FROM (
+    SELECT o.source_id, o.line_start, o.line_end, o.level, o.title, o.parent_line, p.level AS parent_level, 'structural' AS node_type FROM ol o JOIN ty USING (source_id) LEFT JOIN ol p ON p.source_id = o.source_id AND p.line_start = o.parent_line WHERE outline_type <> 'semantic'
+    UNION ALL SELECT *, 'semantic' FROM rn
+    UNION ALL SELECT source_id, 1, total_lines, 1, CASE WHEN trim(left(trim(string_split(text, chr(10))[1]), 30)) = '' THEN 'untitled' ELSE left(trim(string_split(text, chr(10))[1]), 30) END, NULL, NULL, 'semantic' FROM ty JOIN tot USING (source_id) WHERE outline_type = 'semantic')""")
 def _(s):
-    done = _processed(s)
-    kinds = done.sources.filter("outline_type IN ('structural', 'semantic')").select("source_id")
-    return done.outlines.join(kinds, "source_id", "left_semi").select("source_id", "line_start", "title")
+    return _processed(s).outlines
 
 
 @query("DOC03_retry", ("sources",), f"WITH {MARKDOWN} SELECT s.source_id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE count(ol.line_start) END AS outlines FROM sources s LEFT JOIN ol USING (source_id) GROUP BY s.source_id, s.status")

@@ -140,7 +140,7 @@ def _(s):
 
 @query("DOC01_outline", ("sources",), f"WITH {MARKDOWN} SELECT * FROM ol")
 def _(s):
-    return _parts(s)[2]
+    return _parts(s)[2].drop("parent_level")
 
 
 @query("WIN07_virtual_headings", ("sources",), f"""WITH {MARKDOWN} SELECT source_id, line_no, unnest(range(prev + 1, level)) AS level FROM (SELECT *, lag(level) OVER (PARTITION BY source_id ORDER BY line_no) AS prev FROM hd) WHERE level > prev + 1""")

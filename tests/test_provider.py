@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import answer, docs, provider, store, study, tree
+from lorespark.operators import answer, docs, provider, refine, sketch, store, study, tree
 
 
 def test_tree_against_recursion(spark):
@@ -58,14 +58,16 @@ def test_failures_have_defined_results(spark):
 def test_sections_and_long_leaves_cover_the_text(spark):
     text = "\n".join(f"line {i} " + "x" * (i % 50) for i in range(300))
     d = spark.createDataFrame([(1, text), (2, "short\ntext")], "source_id long, text string")
-    rows = provider.sections(d, provider.first_lines, 1000).collect()
+    rows = sketch.sections(d, provider.first_lines, 1000).collect()
     mine = sorted((r["line_start"], r["line_end"]) for r in rows if r["source_id"] == 1)
     assert mine[0][0] == 1 and mine[-1][1] == 300 and all(b[0] == a[1] + 1 for a, b in zip(mine, mine[1:]))
     assert [(r["title"], r["line_start"], r["line_end"]) for r in rows if r["source_id"] == 2] == [("short", 1, 2)]
-    leaves = spark.createDataFrame([(1, 11, "long", text), (1, 5, "kept", "x")], "source_id long, line_start long, title string, text string")
-    got = sorted(provider.split_long_leaves(leaves, 1000).collect(), key=lambda r: r["line_start"])
-    assert tuple(got[0]) == (1, 5, "kept") and got[1]["line_start"] == 11
-    assert [r["title"] for r in got[1:]] == [f"long（{i}/{len(got) - 1}）" for i in range(1, len(got))]
+    leaves = spark.createDataFrame([(1, 11, 310, 2, "long", text)], "source_id long, line_start long, line_end long, level long, title string, text string")
+    got = sorted(refine.by_windows(leaves, 1000).collect(), key=lambda r: r["line_start"])
+    assert got[0]["line_start"] == 11 and got[-1]["line_end"] == 310 and any(b["line_start"] <= a["line_end"] for a, b in zip(got, got[1:]))
+    assert [r["title"] for r in got] == [f"long（{i}/{len(got)}）" for i in range(1, len(got) + 1)]
+    tiles = sorted((r["line_start"], r["line_end"]) for r in refine.by_windows(leaves, 1000, tile=True).collect())
+    assert tiles[0][0] == 11 and tiles[-1][1] == 310 and all(b[0] == a[1] + 1 for a, b in zip(tiles, tiles[1:]))
 
 
 def test_route_and_updates(spark):
