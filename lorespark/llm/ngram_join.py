@@ -30,7 +30,8 @@ Result: one row per input row with ``doc_id``, ``n_shingles`` (set size),
 linked directly, copies included). Null, empty or wordless texts have an empty
 set and link with nothing. Equal texts link with each other. Null ids are never
 a component's id unless the component has no other. Rows that repeat an id are
-documents of their own. Other columns of the input are ignored.
+documents of their own, and any number of rows may have a null id or the same one. An empty table gives an empty
+one. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from . import _bloom as bloom
 from . import _tokens as tk
 from ._graph import connected_components
-from ._store import materialize
+from ._store import materialize, named
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
@@ -255,10 +256,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(k: int):
-    """Each candidate row's set, if its text is the one that its class stands for."""
+    """Each candidate row's set, if its text is the one that its class stands for; of rows that repeat (id and text) a task gives one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
+            if given:
+                batch = batch.filter(pa.array([c not in given for c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
             for a, b, data, offsets in tk.text_slices(batch.column(0)):
                 token, bounds = shingle_sets(data, offsets, k)
                 one, two = fingerprints(token, bounds)
@@ -270,6 +274,10 @@ def _sets(k: int):
                     [*(part.column(i) for i in range(1, part.num_columns)), pa.array(blobs, pa.binary())],
                     names=[*part.schema.names[1:], "tokens"],
                 )
+                for i, c in enumerate(zip(out.column("one").to_pylist(), out.column("two").to_pylist())):
+                    same[i] &= c not in given
+                    if same[i]:
+                        given.add(c)
                 yield out.filter(pa.array(same))
 
     return run
@@ -431,11 +439,14 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
 
     ``group`` is the same for linked rows only, also where ids are null or repeated; null for an empty set.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
-    rows = materialize(docs.mapInArrow(_survey(k), ", ".join(["doc_id bigint, n_shingles bigint, one bigint, two bigint", *(f"{c} bigint" for c in keys)])), "join-survey")
-    docs = docs.select("doc_id", "text")
-    classes = rows.filter("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
-    classes = materialize(classes, "join-classes")
+    docs = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).cast("string").alias("text"), *keys).withColumn("digest", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", "digest", *keys).mapInArrow(_survey(k), ", ".join(["doc_id bigint, n_shingles bigint, one bigint, two bigint, digest bigint", *(f"{c} bigint" for c in keys)]))
+    rows = materialize(rows, "join-survey")
+    docs = docs.select("doc_id", "text", "digest")
+    # a class stands for the text of its row of least id; ids may be null or repeated, so a row is known by id and text
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = rows.filter("n_shingles > 0").groupBy("one", "two").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
+    classes = materialize(classes.select("one", "two", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("rep_digest"), "n", "weight"), "join-classes")
 
     bits = min(MAX_BITS, max(1 << 16, bloom.power_of_two(2 * (classes.agg(F.sum("n")).first()[0] or 0))))
     array = bloom.twice_seen(docs.select("text").mapInArrow(_shared(k, bits), bloom.PART_SCHEMA), bits)
@@ -444,7 +455,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     edges = signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(_stars, "a bigint, b bigint")
     blocks = connected_components(edges).select(F.col("node").alias("one"), F.col("label").alias("block"))
 
-    candidates = materialize(classes.join(blocks, "one").select("rep", "one", "two", "weight", "block", "n"), "join-candidates")
+    candidates = materialize(classes.join(blocks, "one").select("rep", "rep_digest", "one", "two", "weight", "block", "n"), "join-candidates")
     sizes = candidates.groupBy("block").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("members"))
     work = F.col("total") * (QUERY_WORK + F.col("members"))
     # a pair of parts holds 2 / parts of the shingles and of the sets
@@ -459,7 +470,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     bins = max(1, math.ceil((all_work or 0) / BIN_WORK), math.ceil((all_tokens or 0) / (BLOCK_TOKENS / 2)), math.ceil((all_sets or 0) / WHOLE_SETS))
     candidates = candidates.join(sizes.select("block", "parts"), "block")
     sets = (
-        docs.join(candidates.hint("merge"), docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
+        docs.join(candidates.hint("merge"), (docs["digest"] == candidates["rep_digest"]) & docs["doc_id"].eqNullSafe(candidates["rep"])).select("text", "one", "two", "weight", "block", "parts")
         .mapInArrow(_sets(k), "one bigint, two bigint, weight bigint, block bigint, parts int, tokens binary")
     )
     if (largest or 0) > 1:  # two branches read them

@@ -168,3 +168,32 @@ def test_links_across_slices(spark, monkeypatch):
         for sign, one in zip(pdf["sign"], pdf["one"]):
             stars.setdefault(sign, set()).add(one)
     assert sum(len(s) > 1 for s in {frozenset(s) for s in stars.values()}) == 4
+
+
+def test_many_rows_without_an_id_or_of_one_id(spark):
+    """A row meets its own class only, so rows of one id take no longer than rows of distinct ones."""
+    import time
+
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+    texts = []
+    for i in range(1500):
+        if i % 2 == 0:
+            base = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+        texts.append(" ".join([*base[:59], f"x{i}"]))
+    texts += ["the same text of five words"] * 1500
+
+    def run(ids):
+        df = spark.createDataFrame(list(zip(ids, texts)), "`doc.id` long, text string").repartition(4)
+        began = time.time()
+        out = nj.ngram_groups(df, id_col="doc.id").collect()
+        groups = {}
+        for r in out:
+            groups.setdefault(r["group"], []).append(r["n_links"])
+        return sorted(sorted(g) for g in groups.values()), time.time() - began
+
+    want, base_s = run(range(len(texts)))
+    assert [len(g) for g in want].count(2) == 750 and len(want[-1]) == 1500
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        got, s = run(ids)
+        assert got == want and s < 2 * base_s + 15
