@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
+from lorespark.operators import tree
 
 Provider = Callable[[str], str]
 #: A provider that takes the requests of a batch together and gives as many replies, null where it failed.
@@ -132,10 +133,26 @@ def extract_units(segments: DataFrame, provider: Provider) -> DataFrame:
     return out.withColumn("points", F.filter("points", lambda p: F.exists("units", lambda u: u["unit_id"] == p["unit_id"])))
 
 
-def relations(points: DataFrame, provider: Provider, size: int = 60) -> DataFrame:
-    """Relations inside batches of a unit's points: both ends known and different, of a known type; stored in both directions."""
-    asked = batches(points.select("unit_id", "point_id", "content"), "unit_id", "point_id", size).groupBy("unit_id", "batch").agg(F.array_sort(F.collect_list(F.struct("point_id", "content"))).alias("points"))
-    got = asked.withColumn("r", ask(F.to_json(F.struct("points")), provider, "relations array<struct<`from`: bigint, `to`: bigint, type: string>>"))
+def related_batches(points: DataFrame, units: DataFrame, outlines: DataFrame, size: int = 60) -> DataFrame:
+    """``source_id, grp, batch`` and the points (array of point_id, center, content) that are asked about together.
+
+    Up to ``size`` points of a source go together. Of more, those of a chapter do, the root above their unit's outline node
+    (points without one have a group of their own), ``size`` at a time in order of id.
+    """
+    top = tree.root_of(outlines.select("outline_id", "parent_id"), "outline_id", "parent_id").select("outline_id", F.col("root").alias("chapter"))
+    rows = points.select("point_id", "unit_id", "content").join(units.select("unit_id", "source_id", "outline_id", "center"), "unit_id").join(top, "outline_id", "left")
+    many = rows.groupBy("source_id").agg((F.count("*") > size).alias("many"))
+    # a chapter is numbered in one place; only ids are sorted there, contents join afterwards
+    grp = F.when(F.col("many"), F.coalesce(F.col("chapter").cast("string"), F.lit("ungrouped"))).otherwise("all")
+    placed = rows.join(many, "source_id").select("source_id", "point_id", grp.alias("grp"))
+    placed = placed.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("source_id", "grp").orderBy("point_id")) - 1) / size))
+    told = placed.join(rows.select("source_id", "point_id", "center", "content"), ["source_id", "point_id"])
+    return told.groupBy("source_id", "grp", "batch").agg(F.array_sort(F.collect_list(F.struct("point_id", "center", "content"))).alias("points"))
+
+
+def relations(points: DataFrame, units: DataFrame, outlines: DataFrame, provider: Provider, size: int = 60) -> DataFrame:
+    """Relations between points of a source that are asked about together: both ends known and different, of a known type; stored in both directions."""
+    got = related_batches(points, units, outlines, size).withColumn("r", ask(F.to_json(F.struct("points")), provider, "relations array<struct<`from`: bigint, `to`: bigint, type: string>>"))
     rows = got.select(F.transform("points", lambda p: p["point_id"]).alias("known"), F.explode("r.relations").alias("x"))
     ok = F.array_contains("known", F.col("x.from")) & F.array_contains("known", F.col("x.to")) & (F.col("x.from") != F.col("x.to")) & F.col("x.type").isin("related", "contradicts")
     return rows.filter(ok).select(F.col("x.from").alias("source_point"), F.col("x.to").alias("target_point"), F.col("x.type").alias("relation_type"), F.lit("bidirectional").alias("direction")).distinct()

@@ -6,11 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespark.sources.shared import stored
+
 
 def roots(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_line IS NULL")
 
 
+def root_of(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """``key, root`` of each node, at any depth, by pointer jumping: a round doubles the steps up, so rounds grow with the logarithm of the depth.
+
+    A parent that doesn't exist counts as none. Nodes on or below a cycle have a null root.
+    """
+    ids = nodes.select(F.col(key).alias("_up")).distinct()
+    up = nodes.select(F.col(key), F.col(parent).alias("_up")).join(ids.withColumn("_there", F.lit(True)), "_up", "left")
+    up = stored(up.select(key, F.when(F.col("_there"), F.col("_up")).otherwise(F.col(key)).alias("up"), F.coalesce(~F.col("_there"), F.lit(True)).alias("done")), "up")
+    for _ in range(max(up.count(), 1).bit_length() + 1):
+        if up.filter("NOT done").isEmpty():
+            break
+        above = up.select(F.col(key).alias("up"), F.col("up").alias("_next"), F.col("done").alias("_root"))
+        up = stored(up.join(above, "up").select(key, "_next", (F.col("done") | (F.col("_next") == F.col("up")) & F.col("_root")).alias("done")).withColumnRenamed("_next", "up"), "up")
+    return up.select(key, F.when(F.col("done"), F.col("up")).alias("root"))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent. A node is known by its source, first line and level."""
     inner = nodes.filter("parent_line IS NOT NULL").select("source_id", F.col("parent_line").alias("line_start"), F.col("parent_level").alias("level")).distinct()

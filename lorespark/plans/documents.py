@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
 from lorespark.operators import docs as dc
-from lorespark.operators import driver, refine, schema, sketch, store, tree
+from lorespark.operators import driver, refine, schema, segment, sketch, store, tree
 from lorespark.operators import provider as pv
 from lorespark.operators import retrieval as rt
 from lorespark.plans import relational as rel
@@ -449,11 +449,27 @@ def _(s):
     return s.select("source_id", F.array_join(tx.tokens(F.concat("title", F.lit(" 知识图谱v2 库"))), " ").alias("tokens"))
 
 
-@query("FUN05_dictionary_segments", ("sources",), r"SELECT source_id, array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{Nd}]+') || CASE source_id % 3 WHEN 0 THEN ['知识图谱', '引擎'] WHEN 1 THEN ['知识', '库', '引擎'] ELSE ['图', '知识图谱'] END, ' ') AS tokens FROM sources")
+#: Letters as Han characters, to give the segmenter text.
+_HAN = "知识图谱引擎测试数据分析系统设计开发平台服务应用管理"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+DICTIONARY = f"""hw AS (SELECT translate(w, '{_LETTERS}', '{_HAN}') AS w FROM (SELECT unnest(regexp_extract_all(lower(title), '[a-z]+')) AS w FROM sources)),
+    hd AS (SELECT word, count(*) AS freq FROM (SELECT left(w, n) AS word FROM hw, (VALUES (2), (3), (5)) v(n) WHERE length(w) >= n) GROUP BY 1), hc AS (SELECT word, round(1000 * ln((SELECT sum(freq) FROM hd) / freq))::BIGINT AS cost FROM hd),
+    hr AS (SELECT DISTINCT w AS run FROM (SELECT translate(array_to_string(regexp_extract_all(lower(title), '[a-z]+'), ''), '{_LETTERS}', '{_HAN}') AS w FROM sources) WHERE w <> ''),
+    he AS (SELECT run, a + n - 1 AS e, list({{'cost': c, 'start': a}}) AS ins FROM (SELECT run, a, n, coalesce(cost, CASE WHEN n = 1 THEN (SELECT max(cost) + 1000 FROM hc) END) AS c FROM (SELECT run, a, unnest(range(1, least(5, length(run) - a + 1) + 1)) AS n FROM (SELECT run, unnest(range(1, length(run) + 1)) AS a FROM hr)) LEFT JOIN hc ON word = substr(run, a, n)) WHERE c IS NOT NULL GROUP BY run, a + n - 1),
+    hv AS (SELECT run, 0::BIGINT AS i, [{{'cost': 0::BIGINT, 'start': 0::BIGINT}}] AS best FROM hr UNION ALL SELECT v.run, v.i + 1, list_append(best, list_min(list_transform(ins, lambda x: {{'cost': (best[x.start].cost + x.cost)::BIGINT, 'start': x.start::BIGINT}}))) FROM hv v JOIN he ON he.run = v.run AND he.e = v.i + 1),
+    hb AS (SELECT run, length(run)::BIGINT AS e, ''::VARCHAR AS words, best FROM hv WHERE i = length(run) UNION ALL SELECT run, best[e + 1].start - 1, substr(run, best[e + 1].start, e - best[e + 1].start + 1) || CASE WHEN words = '' THEN '' ELSE ' ' END || words, best FROM hb WHERE e > 0)"""
+
+
+@query("FUN05_dictionary_segments", ("sources",), rf"""WITH RECURSIVE {DICTIONARY}, ti AS (SELECT source_id, title, translate(array_to_string(regexp_extract_all(lower(title), '[a-z]+'), ''), '{_LETTERS}', '{_HAN}') AS run FROM sources)
+    SELECT source_id, trim(array_to_string(regexp_extract_all(lower(title), '[\p{{L}}\p{{Nd}}]+'), ' ') || ' ' || coalesce(words, '')) AS tokens FROM ti LEFT JOIN (SELECT run, words FROM hb WHERE e = 0) USING (run)""")
 def _(s):
-    words = ["知识", "知识图谱", "引擎"]
-    text = F.element_at(F.array(F.lit(" 知识图谱引擎"), F.lit(" 知识库引擎"), F.lit(" 图知识图谱")), (F.col("source_id") % 3 + 1).cast("int"))
-    return s.select("source_id", F.array_join(tx.segmented(F.concat("title", text), words), " ").alias("tokens"))
+    """Titles, and their letters as a run of Han text; the dictionary is the beginnings of the titles' words with their counts."""
+    words = s.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]+)"))).alias("w")).withColumn("w", F.translate("w", _LETTERS, _HAN))
+    parts = words.select(F.explode(F.transform(F.filter(F.array(F.lit(2), F.lit(3), F.lit(5)), lambda n: F.char_length("w") >= n), lambda n: F.left("w", n))).alias("word"))
+    han = F.translate(F.array_join(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]+)")), ""), _LETTERS, _HAN)
+    texts = s.select(F.col("source_id").alias("key"), F.concat_ws(" ", "title", han).alias("text"))
+    out = segment.segmented(texts, parts.groupBy("word").agg(F.count("*").alias("freq")))
+    return out.select(F.col("key").alias("source_id"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("FUN12_schema_check", ("events",), """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '$: lacks k' WHEN event_id % 4 = 1 THEN '$.k: not integer' WHEN k > 50 THEN '$.k: over 50' ELSE '' END AS wrong FROM (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events)""")

@@ -50,9 +50,36 @@ def test_failures_have_defined_results(spark):
     nodes = spark.createDataFrame([(1, 1, "one"), (1, 2, "two")], "source_id long, line_start long, title string")
     assert sorted(r["summary"] for r in provider.node_summaries(nodes, bad).collect()) == ["one", "two"]
     points = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "unit_id long, point_id long, content string")
-    assert provider.relations(points, bad).collect() == []
+    units = spark.createDataFrame([(1, 1, None, "c")], "unit_id long, source_id long, outline_id long, center string")
+    none = spark.createDataFrame([], "outline_id long, parent_id long")
+    assert provider.relations(points, units, none, bad).collect() == []
     wrong = lambda r: json.dumps({"relations": [{"from": 1, "to": 1, "type": "related"}, {"from": 1, "to": 9, "type": "related"}, {"from": 1, "to": 2, "type": "odd"}]})
-    assert provider.relations(points, wrong).collect() == []
+    assert provider.relations(points, units, none, wrong).collect() == []
+
+
+def test_relations_cross_units_within_a_chapter_only(spark):
+    outlines = spark.createDataFrame([(1, None), (2, 1), (3, 2), (10, None), (11, 10)], "outline_id long, parent_id long")
+    units = spark.createDataFrame([(1, 7, 1, "a"), (2, 7, 3, "b"), (3, 7, 11, "c"), (4, 7, None, "d"), (5, 7, 99, "e"), (6, 8, 11, "f"), (7, 8, 3, "g")], "unit_id long, source_id long, outline_id long, center string")
+    points = spark.createDataFrame([(p, p % 5 + 1, "x") for p in range(40)] + [(100, 6, "x"), (101, 7, "x")], "point_id long, unit_id long, content string")
+
+    def all_pairs(request):
+        ids = [p["point_id"] for p in json.loads(request)["points"]]
+        return json.dumps({"relations": [{"from": a, "to": b, "type": "related"} for a in ids for b in ids if a < b]})
+
+    chapter = {1: 1, 2: 1, 3: 10, 4: None, 5: None}
+    pairs = {(r["source_point"], r["target_point"]) for r in provider.relations(points, units, outlines, all_pairs, 20).collect()}
+    assert pairs == {(a, b) for a in range(40) for b in range(a + 1, 40) if chapter[a % 5 + 1] == chapter[b % 5 + 1]} | {(100, 101)}
+    together = provider.relations(points, units, outlines, all_pairs, 40).filter("source_point < 40")
+    assert together.count() == 40 * 39 // 2
+    sizes = [len(r["points"]) for r in provider.related_batches(points, units, outlines, 5).collect()]
+    assert max(sizes) == 5
+
+
+def test_roots_of_deep_trees_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000, 1001), (1001, 1000), (1002, 1001), (2000, 9999), (3000, 3000)]
+    got = {r["id"]: r["root"] for r in tree.root_of(spark.createDataFrame(rows, "id long, parent long"), "id", "parent").collect()}
+    assert got == {**{i: 0 for i in range(300)}, 1000: None, 1001: None, 1002: None, 2000: 2000, 3000: None}
+    assert tree.root_of(spark.createDataFrame([], "id long, parent long"), "id", "parent").collect() == []
 
 
 def test_sections_and_long_leaves_cover_the_text(spark):
