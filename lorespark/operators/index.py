@@ -1,10 +1,20 @@
-"""Full-text indexes as stored tables.
-
-An index is a folder with two tables. ``postings`` holds ``term, doc, tf, dl, gen`` by ``bucket``, a
-hash of the term, so that a batch of questions reads the buckets of its terms only. ``docs`` holds
-``doc, dl, gen, live``: each put or delete writes a new generation, and of a document's rows the one of
-the greatest generation counts. Writers append and never change a file, so readers and jobs that
-run again are safe; an index has one writer at a time.
+"""Full-text indexes as stored tables that grow by segments.
+
+An index is a folder with three tables, each in segments of generations ``seg=<first>-<last>``:
+
+* ``blocks``: up to ``BLOCK`` postings of a term in a row, with the best weight among them. A term's postings
+  are dealt to parts of about ``SPLIT`` by document, and stand in order of weight within a part, so that no task holds a
+  whole frequent term and a term's first blocks are its best ones. Buckets, hashes of term and part, are as
+  many as the segment's size asks for; a search reads those of its terms.
+* ``terms``: how a segment changes the number of documents that have each term, so that frequencies are sums over
+  segments and never counted again; the empty term has the change of the index's documents and tokens.
+* ``docs``: a segment's documents, with their terms; of a document's rows the one of the latest segment counts.
+
+A put or removal writes a segment, ``docs`` last: a segment without it doesn't exist. Afterwards the
+latest segments are merged while the one before them isn't twice as large, so an index of n puts has about log n
+segments and a posting is rewritten about log n times. A merged segment counts in place of those it
+covers; these stay until the next put, for readers that began before. Files are never changed, so jobs that run
+again are safe; an index has one writer at a time.
 """
 
 from __future__ import annotations
@@ -12,18 +22,29 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import tokens
-from lorespark.sources.shared import delete, exists, file_system
+from lorespark.sources.shared import delete, exists, file_system, stored
 
-#: Folders of the postings, and most terms of a batch of questions that are broadcast (about 40 bytes each).
-BUCKETS = 32
+#: Fixed values of the score.
+K1, B = 1.2, 0.75
+#: Postings of a block, of a part of a term and of a bucket; terms and documents that are broadcast at most (about 40 bytes each).
+BLOCK, SPLIT, BUCKET_ROWS = 128, 65_536, 4_000_000
 MAX_TERMS = 200_000
+#: A segment is merged with those after it unless it is so many times as large.
+FAN = 2
+
+_DOCS = "doc bigint, dl bigint, live boolean, terms array<string>"
+_TERMS = "term string, df bigint, tokens bigint, parts int"
+_BLOCKS = "term string, salt int, block int, n int, best double, avgdl double, docs array<bigint>, tfs array<bigint>, dls array<bigint>, bucket int"
+
 
-_DOCS = "doc bigint, dl bigint, live boolean, gen int"
-_POSTINGS = "term string, doc bigint, tf bigint, dl bigint, gen int, bucket int"
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What an occurrence adds to a score, besides its term's rarity."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 @dataclass(frozen=True)
@@ -31,53 +52,148 @@ class Index:
     spark: SparkSession
     path: str
 
-    def generations(self) -> list[int]:
-        """The numbers of whole generations."""
+    def segments(self, covered: bool = False) -> list[tuple[int, int]]:
+        """First and last generation of each segment that counts, in order; or of those that merged ones cover."""
         fs, at = file_system(self.spark, f"{self.path}/docs")
         if not fs.exists(at):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(int(n[4:]) for n in names if n.startswith("gen=") and exists(self.spark, f"{self.path}/docs/{n}/_SUCCESS"))
+        whole = [tuple(map(int, n[4:].split("-"))) for n in names if n.startswith("seg=") and exists(self.spark, f"{self.path}/docs/{n}/_SUCCESS")]
+        inner = {s for s in whole for t in whole if s != t and t[0] <= s[0] and s[1] <= t[1]}
+        return sorted(s for s in whole if (s in inner) == covered)
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/gen={g}" for g in self.generations() if exists(self.spark, f"{self.path}/{kind}/gen={g}/_SUCCESS")]
+    def generations(self) -> list[int]:
+        return [last for _, last in self.segments()]
+
+    def _read(self, kind: str, schema: str, segments: list[tuple[int, int]] | None = None) -> DataFrame:
+        """A table's rows with ``gen``, the last generation of their segment."""
+        names = [f"seg={a}-{b}" for a, b in (self.segments() if segments is None else segments)]
+        paths = [p for n in names if exists(self.spark, (p := f"{self.path}/{kind}/{n}") + "/_SUCCESS")]
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths)
+            return self.spark.createDataFrame([], f"{schema}, gen int")
+        rows = self.spark.read.schema(f"{schema}, seg string").option("basePath", f"{self.path}/{kind}").parquet(*paths)
+        return rows.withColumn("gen", F.split("seg", "-")[1].cast("int")).drop("seg")
+
+    def _latest(self, segments: list[tuple[int, int]]) -> DataFrame:
+        rows = self._read("docs", _DOCS, segments)
+        if len(segments) > 1:
+            rows = rows.groupBy("doc").agg(F.max_by(F.struct("dl", "live", "terms", "gen"), "gen").alias("r")).select("doc", "r.*")
+        return rows
 
     def docs(self) -> DataFrame:
         """``doc, dl, gen`` of the documents that are in the index now."""
-        rows = self._read("docs", _DOCS)
-        if len(self.generations()) > 1:
-            rows = rows.groupBy("doc").agg(F.max(F.struct("gen", "live", "dl")).alias("r")).select("doc", "r.dl", "r.live", "r.gen")
-        return rows.filter("live").select("doc", "dl", "gen")
-
-    def postings(self, buckets: list[int] | None = None) -> DataFrame:
-        """``term, doc, tf, dl`` of documents that are in the index now."""
-        rows = self._read("postings", _POSTINGS)
-        if buckets is not None:
-            rows = rows.filter(F.col("bucket").isin(buckets))
-        if len(self.generations()) > 1:
+        return self._latest(self.segments()).filter("live").select("doc", "dl", "gen")
+
+    def stats(self) -> tuple[int, int]:
+        """Documents and tokens in the index."""
+        n, size = self._read("terms", _TERMS).filter("term = ''").agg(F.sum("df"), F.sum("tokens")).first()
+        return n or 0, size or 0
+
+    def frequencies(self, wanted: DataFrame | None = None) -> DataFrame:
+        """``term, df`` of terms in the index, or of those ``wanted`` (term) that are in it."""
+        rows = self._read("terms", _TERMS).filter("term <> ''")
+        if wanted is not None:
+            rows = rows.join(wanted, "term", "left_semi")
+        return rows.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    def blocks(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Rows of blocks, of all terms or of those ``wanted`` (term), whose buckets alone are read; those of documents that went may be among them."""
+        rows = self._read("blocks", _BLOCKS)
+        if wanted is None:
+            return rows
+        terms = self._read("terms", _TERMS)
+        count = {r["gen"]: r["parts"] for r in terms.filter("term = ''").select("gen", "parts").collect()}  # a row for each segment
+        if sum(count.values()) > len(count):
+            buckets = F.element_at(F.create_map(*(F.lit(x) for pair in count.items() for x in pair)), F.col("gen"))
+            own = terms.join(wanted, "term", "left_semi").filter("parts > 0").select("gen", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), buckets.alias("buckets"))
+            found = own.select(F.pmod(F.xxhash64("term", "salt"), F.col("buckets")).cast("int").alias("b")).distinct().collect()  # a row for each bucket at most
+            rows = rows.filter(F.col("bucket").isin([r["b"] for r in found]))
+        return rows.join(wanted, "term", "left_semi")
+
+    def postings(self, blocks: DataFrame | None = None) -> DataFrame:
+        """``term, doc, tf, dl`` of documents that are in the index now, from all blocks or some of them."""
+        rows = (self.blocks() if blocks is None else blocks).select("term", "gen", F.inline(F.arrays_zip("docs", "tfs", "dls"))).withColumnsRenamed({"docs": "doc", "tfs": "tf", "dls": "dl"})
+        if len(self.segments()) > 1:
             rows = rows.join(self.docs().select("doc", "gen"), ["doc", "gen"], "left_semi")
         return rows.select("term", "doc", "tf", "dl")
 
-    def _next(self) -> int:
-        return (self.generations() or [0])[-1] + 1
+    def _write(self, first: int, last: int, docs: DataFrame, postings: DataFrame, changes: DataFrame) -> None:
+        """A segment of documents, ``postings`` (term, doc, tf, dl) and ``changes`` (term, df, and tokens for the empty term). The row in ``docs`` is written last and counts."""
+        at = f"seg={first}-{last}"
+        n, avgdl = postings.agg(F.count("*"), F.avg("dl")).first()
+        buckets = 1 << max(0, (max(n, 1) - 1) // BUCKET_ROWS).bit_length()
+        sizes = postings.groupBy("term").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+        sizes = stored(sizes, "parts")
+        if n:
+            # only terms of several parts are joined; they are n / SPLIT at most
+            several = sizes.filter("parts > 1")
+            several = F.broadcast(several) if n // SPLIT <= MAX_TERMS else several
+            rows = postings.join(several, "term", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int"))
+            rows = rows.withColumn("weight", weight(F.col("tf"), F.col("dl"), F.lit(avgdl)))
+            place = F.row_number().over(W.partitionBy("term", "salt").orderBy(F.desc("weight"), "doc")) - 1
+            rows = rows.withColumn("block", F.floor(place / BLOCK).cast("int"))
+            made = rows.groupBy("term", "salt", "block").agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("best"), F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("p"))
+            made = made.select("term", "salt", "block", "n", "best", F.lit(avgdl).alias("avgdl"), F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.pmod(F.xxhash64("term", "salt"), F.lit(buckets)).cast("int").alias("bucket"))
+            # sorted by term, so that a bucket's row groups can be skipped by their ranges
+            made.repartition("bucket").sortWithinPartitions("bucket", "term", "salt", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/{at}")
+        parts = F.when(F.col("term") == "", F.lit(buckets)).otherwise(F.coalesce("parts", F.lit(0)))
+        changes.join(sizes, "term", "left").select("term", "df", "tokens", parts.alias("parts")).write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
+        docs.select("doc", "dl", "live", "terms").write.mode("overwrite").parquet(f"{self.path}/docs/{at}")
+
+    def _replace(self, docs: DataFrame, postings: DataFrame) -> None:
+        """A generation of documents, whose former terms and tokens go."""
+        gen = max((last for _, last in self.segments()), default=0) + 1
+        before = self._latest(self.segments()).filter("live").join(docs.select("doc"), "doc", "left_semi")
+        one = lambda df, sign: df.select(F.explode("terms").alias("term"), F.lit(sign).cast("bigint").alias("df"), F.lit(0).cast("bigint").alias("tokens"))
+        all_ = lambda df, sign: df.agg(F.lit("").alias("term"), (F.count("*") * sign).alias("df"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("tokens"))
+        now = docs.filter("live")
+        changes = one(before, -1).unionByName(all_(before, -1)).unionByName(all_(now, 1)).unionByName(one(now, 1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+        self._write(gen, gen, docs, postings, changes.filter("df <> 0 OR term = ''"))
+        self.tidy()
 
     def put(self, docs: DataFrame) -> None:
-        """Adds documents (``doc``, ``text``), or replaces those of the same number. The row in ``docs`` is written last and counts."""
-        gen = self._next()
-        rows = docs.select("doc", tokens(F.coalesce("text", F.lit(""))).alias("ts")).select("doc", "ts", F.size("ts").cast("bigint").alias("dl"))
-        terms = rows.select("doc", "dl", F.explode("ts").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
-        terms = terms.withColumn("bucket", bucket(F.col("term")))
-        # a bucket's postings are sorted by term, so that its row groups can be skipped by their ranges
-        terms.select("term", "doc", "tf", "dl", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
-        rows.select("doc", "dl", F.lit(True).alias("live")).write.mode("overwrite").parquet(f"{self.path}/docs/gen={gen}")
+        """Adds documents (``doc``, ``text``), or replaces those of the same number."""
+        rows = docs.select("doc", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+        # dealt by document once; both groupings keep that
+        counted = rows.repartition("doc").select("doc", F.size("ts").cast("bigint").alias("dl"), F.explode_outer("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+        whole = counted.groupBy("doc", "dl").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("t"))
+        whole = stored(whole.select("doc", "dl", F.lit(True).alias("live"), F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")), "put")
+        postings = whole.select("doc", "dl", F.inline(F.arrays_zip("terms", "tfs"))).withColumnsRenamed({"terms": "term", "tfs": "tf"})
+        self._replace(whole.drop("tfs"), postings)
 
     def remove(self, docs: DataFrame) -> None:
         """Takes documents (``doc``) out."""
-        gone = docs.select("doc", F.lit(0).cast("bigint").alias("dl"), F.lit(False).alias("live"))
-        gone.write.mode("overwrite").parquet(f"{self.path}/docs/gen={self._next()}")
+        gone = docs.select("doc", F.lit(0).cast("bigint").alias("dl"), F.lit(False).alias("live"), F.array().cast("array<string>").alias("terms"))
+        self._replace(gone, self.spark.createDataFrame([], "term string, doc bigint, tf bigint, dl bigint"))
+
+    def merge(self, segments: list[tuple[int, int]]) -> None:
+        """One segment in place of ``segments``, which follow each other."""
+        latest = self._latest(segments)
+        if segments[0] == self.segments()[0]:
+            latest = latest.filter("live")  # nothing older is left that it could have gone from
+        rows = self._read("blocks", _BLOCKS, segments).select("term", "gen", F.inline(F.arrays_zip("docs", "tfs", "dls"))).withColumnsRenamed({"docs": "doc", "tfs": "tf", "dls": "dl"})
+        rows = rows.join(latest.filter("live").select("doc", "gen"), ["doc", "gen"], "left_semi").drop("gen")
+        changes = self._read("terms", _TERMS, segments).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).filter("df <> 0 OR term = ''")
+        self._write(segments[0][0], segments[-1][1], latest, rows, changes)
+
+    def tidy(self) -> None:
+        """Deletes what earlier merges cover, and merges the latest segments while the one before them isn't ``FAN`` times as large."""
+        for a, b in self.segments(covered=True):
+            for kind in ("docs", "terms", "blocks"):
+                delete(self.spark, f"{self.path}/{kind}/seg={a}-{b}")
+        found = self.segments()
+        sizes = [self._read("docs", _DOCS, [s]).count() for s in found]
+        first, held = len(found) - 1, sizes[-1] if sizes else 0
+        while first > 0 and sizes[first - 1] <= FAN * held:
+            first -= 1
+            held += sizes[first]
+        if first < len(found) - 1:
+            self.merge(found[first:])
+
+    def compact(self) -> None:
+        """One segment for the whole index."""
+        if len(self.segments()) > 1:
+            self.merge(self.segments())
 
     def wipe(self) -> None:
         delete(self.spark, self.path)
@@ -88,10 +204,6 @@ class Index:
         self.put(docs)
 
 
-def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def open_or_create(spark: SparkSession, path: str, docs: Callable[[], DataFrame] | None = None) -> Index:
     """The index at ``path``; if it isn't there, it is made, from ``docs`` if given."""
     index = Index(spark, path)

@@ -16,7 +16,7 @@ from lorespark.operators import store
 from lorespark.operators import tree
 from lorespark.plans import relational as rel
 from lorespark.plans.knowledge import MARKDOWN, _parts
-from lorespark.sources.shared import new_folder, shared_dir, stored
+from lorespark.sources.shared import new_folder, shared_dir, state_of, stored, temporary
 
 _OWN: list[str] = []
 
@@ -69,10 +69,9 @@ def _relations(u: DataFrame) -> DataFrame:
 
 
 def _at(s: DataFrame, name: str) -> str:
-    """The folder of an index of this application over these files."""
-    files = "\n".join(sorted(s.inputFiles()))
+    """The folder of an index of this application over these files as they are now."""
     sc = s.sparkSession.sparkContext
-    return f"{shared_dir(s.sparkSession)}/lorespark/index-{sc.applicationId}-{hashlib.sha256(files.encode()).hexdigest()[:16]}/{name}"
+    return temporary(s.sparkSession, f"{shared_dir(s.sparkSession)}/lorespark/index-{sc.applicationId}-{hashlib.sha256(state_of(s).encode()).hexdigest()[:16]}/{name}")
 
 
 def _index(s: DataFrame, name: str) -> ix.Index:

@@ -26,11 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody uses; deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
+    return temporary(spark, f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}")
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """The path, to be deleted when the driver's Python ends."""
     _MADE[path] = spark
     return path
 
 
+def state_of(df: DataFrame) -> str:
+    """The files that a DataFrame reads, with their lengths and times of change."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        fs, at = file_system(df.sparkSession, name)
+        status = fs.getFileStatus(at)
+        out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(out)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back, which cuts its lineage and is computed once."""
     path = new_folder(df.sparkSession, name)

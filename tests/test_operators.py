@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -106,21 +107,76 @@ def test_unknown_candidates_and_roles_are_errors(spark):
             retrieval.apply_roles(cands, named(wrong)).collect()
 
 
-def test_index_generations(spark, tmp_path):
+def test_index_generations(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "FAN", 0)  # no merging
     at = index.open_or_create(spark, str(tmp_path / "i"))
     rows = lambda *x: spark.createDataFrame(x, "doc long, text string")
-    assert at.postings().collect() == [] and at.docs().collect() == []
+    assert at.postings().collect() == [] and at.docs().collect() == [] and at.stats() == (0, 0)
     at.put(rows((1, "a b a"), (2, "b"), (3, None)))
     at.put(rows((2, "c"), (4, "d d")))
     at.remove(rows((1, ""), (9, "")))
     assert sorted((r["term"], r["doc"], r["tf"]) for r in at.postings().collect()) == [("c", 2, 1), ("d", 4, 2)]
     assert sorted((r["doc"], r["dl"]) for r in at.docs().collect()) == [(2, 1), (3, 0), (4, 2)]
-    (tmp_path / "i" / "docs" / "gen=4").mkdir()  # a put that died before its documents were written
+    assert at.stats() == (3, 3) and sorted(map(tuple, at.frequencies().collect())) == [("c", 1), ("d", 1)]
+    (tmp_path / "i" / "docs" / "seg=4-4").mkdir()  # a put that died before its documents were written
     assert at.generations() == [1, 2, 3] and at.docs().count() == 3
+    at.compact()
+    assert at.segments() == [(1, 3)] and at.segments(covered=True) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted((r["term"], r["doc"], r["tf"]) for r in at.postings().collect()) == [("c", 2, 1), ("d", 4, 2)] and at.stats() == (3, 3)
     assert index.probe(at) and at.docs().count() == 3
     assert not index.ensure_healthy(at, rows(*((i, "x") for i in range(9)))) and at.docs().count() == 9
 
 
+def test_index_that_grows_answers_like_one_built_at_once(spark, tmp_path, monkeypatch):
+    for name, value in (("SPLIT", 40), ("BLOCK", 8), ("BUCKET_ROWS", 200)):
+        monkeypatch.setattr(index, name, value)
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    rnd = random.Random(11)
+    word = lambda: f"w{int(rnd.paretovariate(0.6)) % 60}"
+    state = {}
+    grown = index.open_or_create(spark, str(tmp_path / "grown"))
+    for step in range(10):
+        new = {rnd.randrange(120): " ".join(["all", *(word() for _ in range(rnd.randrange(25)))]) for _ in range(30)}
+        state |= new
+        grown.put(spark.createDataFrame(list(new.items()), "doc long, text string"))
+        if step == 6:
+            gone = rnd.sample(sorted(state), 8)
+            grown.remove(spark.createDataFrame([(d,) for d in gone], "doc long"))
+            state = {d: t for d, t in state.items() if d not in gone}
+    assert len(grown.segments()) <= 5
+    once = index.open_or_create(spark, str(tmp_path / "once"), lambda: spark.createDataFrame(list(state.items()), "doc long, text string"))
+    assert grown.stats() == once.stats() and sorted(map(tuple, grown.frequencies().collect())) == sorted(map(tuple, once.frequencies().collect()))
+    questions = spark.createDataFrame([(q, " ".join(["all", *(word() for _ in range(6))])) for q in range(12)], "q long, text string")
+    want = brute(state, [(r["q"], r["text"]) for r in questions.collect()], 5)
+    ask = lambda at: sorted((r["q"], r["rank"], r["doc"], r["score"]) for r in retrieval.match(questions, at, 5, counts).collect())
+    counts = {}
+    assert ask(once) == want and counts["pairs"] < 12 * len(state)
+    assert ask(grown) == want
+    grown.compact()
+    assert len(grown.segments()) == 1 and ask(grown) == want
+    sizes = grown.blocks().groupBy("bucket").agg(F.sum("n").alias("n"), F.count_distinct("term", "salt").alias("parts")).collect()
+    assert len(sizes) > 4 and all(r["n"] <= 400 or r["parts"] == 1 for r in sizes)
+    assert grown.blocks().filter("term = 'all'").select("salt").distinct().count() == -(-len(state) // 40)
+
+
+def brute(state, questions, limit):
+    """The best documents by the score's definition."""
+    words = {d: t.split() for d, t in state.items()}
+    n, avgdl = len(words), sum(map(len, words.values())) / len(words)
+    out = []
+    for q, text in questions:
+        scores = {}
+        for t in set(text.split()):
+            df = sum(t in w for w in words.values())
+            for d, w in words.items():
+                if t in w:
+                    tf = w.count(t)
+                    scores[d] = scores.get(d, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))
+        best = sorted((-round(s, 6), d) for d, s in scores.items())[:limit]
+        out += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
+    return sorted(out)
+
+
 def test_closure_ends_on_cycles(spark):
     nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3), (5, 4), (9, None), (8, 9)], "id long, parent long")
     seeds = nodes.filter("id = 1")
