@@ -76,6 +76,8 @@ MIN_COUNT = 3
 _SHORTEST, _LONGEST = 3, 24
 #: Characters of a repeat or walk up to which every cut is tried.
 LONG = 1024
+#: Characters of a value that are searched first; four times as many as long as some segmentation stays cheap to their end.
+_FIRST = 256
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,8 @@ COMMON = ranked(WORDS)
 
 def _brute(s: str) -> float:
     """log10 of the characters that each of a run may be."""
-    kinds = (any(c.islower() for c in s), any(c.isupper() for c in s), any(c.isdigit() for c in s), any(not c.isalnum() for c in s))
+    chars = set(s)
+    kinds = (any(c.islower() for c in chars), any(c.isupper() for c in chars), any(c.isdigit() for c in chars), any(not c.isalnum() for c in chars))
     return math.log10(max(10, sum(n for n, k in zip((26, 26, 10, 33), kinds) if k)))
 
 
@@ -155,7 +158,18 @@ def guess_cost(value: str, enough: float = math.inf, words: Words = COMMON) -> f
         while (cost := guess_cost(value, bound, words)) == math.inf:
             bound *= 2
         return cost
+    # most long values cost enough within their first characters, whatever follows
     each = _brute(value)
+    size = _FIRST
+    while (cost := _cheapest(value[:size], size >= len(value), each, enough, words)) is None:
+        size *= 4
+    return cost
+
+
+def _cheapest(value: str, whole: bool, each: float, enough: float, words: Words) -> float | None:
+    """:func:`guess_cost` of a value, whose characters cost ``each``; of the beginning of one that isn't ``whole``: infinity if every
+    segmentation costs enough before the end comes into reach, else None.
+    """
     longest = int(enough / each) + 1  # a longer block alone costs enough
     s, place = _shortened(value, longest)
     n = len(s)
@@ -191,7 +205,8 @@ def guess_cost(value: str, enough: float = math.inf, words: Words = COMMON) -> f
         open_ = np.where(open_ + order < enough, open_, math.inf)
         alive = bool(np.isfinite(here).any())
         if not alive and i >= last and not np.isfinite(open_).any():
-            return math.inf
+            # no word or date from here on back reaches the end, nor did a walk or repeat
+            return math.inf if whole or (i + _LONGEST < n and last < n) else None
         step = each * (place[i + 1] - place[i])
         open_ = np.minimum(open_, np.concatenate(([math.inf], here[:-1]))) + step
         if not alive:
@@ -211,6 +226,8 @@ def guess_cost(value: str, enough: float = math.inf, words: Words = COMMON) -> f
             ends = np.arange(i + 2 * p, i + length[i] + p + 1, p)
             ends = ends[ends - i >= 3]
             reach(ends, p * each + np.log10((place[ends] - place[i]) // p))
+    if not whole:
+        return None
     best[n] = np.minimum(best[n], open_)
     total = float((best[n] + order).min())
     return total if total < enough else math.inf

@@ -150,3 +150,26 @@ def test_long_values_count_whole():
     rnd = random.Random(2)
     assert ss.guess_cost("a" * 5000 + "".join(rnd.choices("abcXYZ0189#", k=60))) >= ss.MIN_LOG10
     assert ss.guess_cost("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=256))) >= ss.MIN_LOG10
+
+
+def test_beginnings_give_what_whole_values_do(monkeypatch):
+    rnd = random.Random(12)
+    pieces = ["password", "2024", "qwerty", "aaaa", "ab" * 9, "Zx9#", "dragon", "1987-05-06", "kk", "asdfgh", "p4ssw0rd"]
+    values = ["".join(rnd.choice(pieces) if rnd.random() < 0.8 else rnd.choice("abcXYZ09#") for _ in range(rnd.randrange(1, 14))) for _ in range(150)]
+    found = []
+    for first in (1 << 30, 1, 3, 30, 64):
+        monkeypatch.setattr(ss, "_FIRST", first)
+        found.append([ss.guess_cost(v, e) for v in values for e in (6.0, 12.0, 25.0)])
+    assert all(f == found[0] for f in found) and len({math.isinf(x) for x in found[0]}) == 2
+
+
+def test_a_value_of_ten_megabytes_takes_little_memory():
+    import tracemalloc
+
+    value = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", k=10_000_000))
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert ss.guess_cost(value, 12.0) == math.inf
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 5 and peak < 100e6
