@@ -49,8 +49,12 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
+    """``upto``: the last generation that counts, None for all. ``keep``: what merged segments cover stays until :meth:`clear`."""
+
     spark: SparkSession
     path: str
+    upto: int | None = None
+    keep: bool = False
 
     def segments(self, covered: bool = False) -> list[tuple[int, int]]:
         """First and last generation of each segment that counts, in order; or of those that merged ones cover."""
@@ -59,6 +63,7 @@ class Index:
             return []
         names = [s.getPath().getName() for s in fs.listStatus(at)]
         whole = [tuple(map(int, n[4:].split("-"))) for n in names if n.startswith("seg=") and exists(self.spark, f"{self.path}/docs/{n}/_SUCCESS")]
+        whole = [s for s in whole if self.upto is None or s[1] <= self.upto]
         inner = {s for s in whole for t in whole if s != t and t[0] <= s[0] and s[1] <= t[1]}
         return sorted(s for s in whole if (s in inner) == covered)
 
@@ -178,9 +183,8 @@ class Index:
 
     def tidy(self) -> None:
         """Deletes what earlier merges cover, and merges the latest segments while the one before them isn't ``FAN`` times as large."""
-        for a, b in self.segments(covered=True):
-            for kind in ("docs", "terms", "blocks"):
-                delete(self.spark, f"{self.path}/{kind}/seg={a}-{b}")
+        if not self.keep:
+            self.clear()
         found = self.segments()
         sizes = [self._read("docs", _DOCS, [s]).count() for s in found]
         first, held = len(found) - 1, sizes[-1] if sizes else 0
@@ -190,6 +194,21 @@ class Index:
         if first < len(found) - 1:
             self.merge(found[first:])
 
+    def clear(self, upto: int | None = None) -> None:
+        """Deletes segments that merged ones of generations to ``upto`` cover."""
+        for a, b in Index(self.spark, self.path, upto).segments(covered=True):
+            self._drop(a, b)
+
+    def forget_after(self, generation: int) -> None:
+        """Deletes segments that hold later generations; what they cover counts again."""
+        for a, b in sorted(self.segments() + self.segments(covered=True)):
+            if b > generation:
+                self._drop(a, b)
+
+    def _drop(self, first: int, last: int) -> None:
+        for kind in ("docs", "terms", "blocks"):
+            delete(self.spark, f"{self.path}/{kind}/seg={first}-{last}")
+
     def compact(self) -> None:
         """One segment for the whole index."""
         if len(self.segments()) > 1:

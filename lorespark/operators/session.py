@@ -127,5 +127,15 @@ def replay(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(run, OUT)
 
 
+def snapshots(events: DataFrame) -> DataFrame:
+    """``session_id`` and the fields of each session's state after its events, to be stored."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        now = steps(key[0], State(), rows)[0]
+        return pd.DataFrame([(key[0], *(getattr(now, f) for f in FIELDS))], columns=["session_id", *FIELDS])
+
+    return events.groupBy("session_id").applyInPandas(run, "session_id bigint, " + ", ".join(f"{f} string" for f in FIELDS))
+
+
 def in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(pdfs), ignore_index=True)

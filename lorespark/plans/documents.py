@@ -16,7 +16,7 @@ from lorespark.operators import retrieval as rt
 from lorespark.plans import relational as rel
 from lorespark.plans.knowledge import MARKDOWN, _parts
 from lorespark.plans.retrieving import KB, KC, KQ, OUTLINE, RESTRICTED, _choices, _questions, _store
-from lorespark.sources import config, convert, files, prompts, snapshot
+from lorespark.sources import config, convert, files, prompts, snapshot, versions
 from lorespark.sources.shared import file_system, new_folder, stored
 
 _OWN: list[str] = []
@@ -590,7 +590,22 @@ def _(c, d):
     return out
 
 
-@query("SNK16_migrations", ("concepts",), "SELECT concept_id AS version, name FROM concepts WHERE concept_id % 3 <> 0")
+@query("SNK16_migrations", ("concepts",), "SELECT concept_id, upper(name) AS name, domain_id + 1 AS domain, '1_capitals,2_domains_from_one,3_without_thirds' AS ran, 4 AS version FROM concepts WHERE concept_id % 3 <> 0")
+def _(c):
+    """Migrations of a store in versions run in order and once: the second call finds two done and runs the third."""
+    spark = c.sparkSession
+    steps = [
+        ("1_capitals", lambda v: {"concepts": v.table("concepts").withColumn("name", F.upper("name"))}),
+        ("2_domains_from_one", lambda v: {"concepts": v.table("concepts").select("concept_id", "name", (F.col("domain_id") + 1).alias("domain"))}),
+        ("3_without_thirds", lambda v: {"concepts": v.table("concepts").filter("concept_id % 3 <> 0")}),
+    ]
+    begun = versions.open_version(spark, new_folder(spark, "migrated")).commit({"concepts": c})
+    begun.migrate(steps[:2])
+    done = versions.open_version(spark, begun.root).migrate(steps)
+    return done.table("concepts").select("concept_id", "name", "domain", F.lit(",".join(done.migrations)).alias("ran"), F.lit(done.number).alias("version"))
+
+
+@query("SNK16_pending", ("concepts",), "SELECT concept_id AS version, name FROM concepts WHERE concept_id % 3 <> 0")
 def _(c):
     rows = c.select(F.col("concept_id").alias("version"), "name")
     return store.pending_migrations(rows, rows.filter("version % 3 = 0"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
 from lorespark.operators import session, store
+from lorespark.sources import versions
+from lorespark.sources.shared import new_folder
 from lorespark.plans.model import ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,8 +89,25 @@ def _(t):
 @query("SNK06_delete_cascade", ("units", "points", "relations"), """WITH gone AS (SELECT point_id FROM points WHERE unit_id IN (SELECT unit_id FROM units WHERE source_id IN (3, 5)))
     SELECT relation_id, source_point, target_point FROM relations WHERE source_point NOT IN (SELECT point_id FROM gone) AND target_point NOT IN (SELECT point_id FROM gone)""")
 def _(u, p, r):
-    ids = u.sparkSession.createDataFrame([(3,), (5,)], "source_id long")
-    return store.delete_cascade({"units": u, "points": p, "relations": r}, ids)["relations"].select("relation_id", "source_point", "target_point")
+    """Over a store in versions: a cascade that is broken off leaves the old version, the next one appears in all tables at once."""
+    spark = u.sparkSession
+    ids = spark.createDataFrame([(3,), (5,)], "source_id long")
+    before = versions.open_version(spark, new_folder(spark, "store")).commit({"units": u, "points": p, "relations": r})
+
+    class Broken(Exception): ...
+
+    def fails(_) -> None:
+        raise Broken
+
+    after = store.delete_cascade({"units": u, "points": p, "relations": r}, ids)
+    try:
+        before.commit(after, {"units": fails})
+    except Broken:
+        pass
+    if versions.open_version(spark, before.root).tables != before.tables:
+        raise AssertionError("a broken commit shows")
+    before.commit(after)
+    return versions.open_version(spark, before.root).table("relations").select("relation_id", "source_point", "target_point")
 
 
 @query("SNK10_keep_newest", ("traces",), "SELECT trace_id, created_at FROM traces ORDER BY created_at DESC, trace_id DESC LIMIT 10")

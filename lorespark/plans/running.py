@@ -140,6 +140,19 @@ def _(t):
     return spark.read.schema(session.OUT).parquet(f"{at}/out").select("session_id", "turn_index", "action", "expanded", "current_subject", "recent")
 
 
+@query("STR06_from_snapshots", ("turns",), MACHINE_SQL)
+def _(t):
+    """The same once more: the early turns at once, their sessions' states stored, and a stream of the late ones that begins with these."""
+    spark, at = t.sparkSession, new_folder(t.sparkSession, "session-snapshots")
+    events = _events(t)
+    early = events.filter("turn_index < 3")
+    session.snapshots(early).write.parquet(f"{at}/states")
+    events.filter("turn_index >= 3").repartition(2).write.parquet(f"{at}/in")
+    stream = jobs.session_machine(jobs.read_stream(spark, f"{at}/in", events.schema, 8), spark.read.parquet(f"{at}/states"))
+    jobs.run_available(stream, jobs.table_writer(f"{at}/out"), f"{at}/checkpoint", "append")
+    return session.replay(early).unionByName(jobs.read_batches(spark, f"{at}/out", session.OUT))
+
+
 def _numbered(at: str, part: str) -> Callable[[DataFrame, int], None]:
     return jobs.table_writer(f"{at}/out")
 
@@ -318,33 +331,52 @@ def _(e):
 @query("STR02_scheduled_runs", ("events",), "SELECT 2 AS runs, count(*) AS events FROM events")
 def _(e):
     """A job that a schedule starts twice: each run takes what is new, so that together they take all once."""
+    import threading
+
     spark, at = e.sparkSession, new_folder(e.sparkSession, "schedule")
-    for run in range(2):
-        e.filter(F.col("event_id") % 2 == run).select("event_id").coalesce(1).write.mode("append").parquet(f"{at}/in")
-        jobs.run_available(jobs.read_stream(spark, f"{at}/in", "event_id bigint", 8), jobs.table_writer(f"{at}/out"), f"{at}/checkpoint", "append")
+    done = threading.Event()
+    taken: list[int] = []
+
+    def run(_: int) -> None:
+        if len(taken) < 2:
+            half = len(taken)
+            e.filter(F.col("event_id") % 2 == half).select("event_id").coalesce(1).write.mode("append").parquet(f"{at}/in")
+            jobs.run_available(jobs.read_stream(spark, f"{at}/in", "event_id bigint", 8), jobs.table_writer(f"{at}/out"), f"{at}/checkpoint", "append")
+            taken.append(half)
+        if len(taken) == 2:
+            done.set()
+
+    ticks = jobs.every(spark, run, "1 second", f"{at}/ticks")
+    done.wait(600)
+    ticks.stop()
     out = spark.read.parquet(f"{at}/out")
     return out.agg(F.count_distinct("batch").cast("int").alias("runs"), F.count("event_id").alias("events"))
 
 
-@query("STR03_progress", ("events",), "SELECT count(*) AS events, true AS all_reported FROM events")
+SOURCES = ("view", "click", "purchase", "error", "signup")
+
+
+@query("STR03_progress", ("events",), "SELECT k AS source, count(*) FILTER (WHERE event_type = k) AS read, count(*) FILTER (WHERE event_type = k AND value > 20) AS kept FROM events, (VALUES ('view'), ('click'), ('purchase'), ('error'), ('signup')) v(k) GROUP BY k")
 def _(e):
-    """What a listener hears of a stream's micro-batches adds up to what went through it."""
+    """What a listener hears of the stages of a stream, by source: rows that were read, and those that a filter kept."""
     import time
 
     spark, at = e.sparkSession, new_folder(e.sparkSession, "progress")
-    e.select("event_id").repartition(3).write.parquet(f"{at}/in")
+    e.select("event_id", "event_type", "value").repartition(3).write.parquet(f"{at}/in")
     heard = jobs.Progress()
     spark.streams.addListener(heard)
+    by_source = tuple(f"{k}=event_type = '{k}'" for k in SOURCES)
     try:
-        jobs.run_available(jobs.read_stream(spark, f"{at}/in", "event_id bigint"), jobs.table_writer(f"{at}/out"), f"{at}/checkpoint", "append")
+        read = jobs.observed(jobs.read_stream(spark, f"{at}/in", "event_id bigint, event_type string, value double"), "read", by_source)
+        jobs.run_available(jobs.observed(read.filter("value > 20"), "kept", by_source), jobs.table_writer(f"{at}/out"), f"{at}/checkpoint", "append")
         for _ in range(100):  # events come a little later
             if heard.ended:
                 break
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(heard)
-    out = spark.read.parquet(f"{at}/out")
-    return out.agg(F.count("event_id").alias("events"), (F.count("event_id") == F.lit(sum(n for _, n in heard.rows))).alias("all_reported"))
+    found = heard.stages()
+    return spark.createDataFrame([(k, found["read", k], found["kept", k]) for k in SOURCES], "source string, read long, kept long")
 
 
 @query("STR04_counted_once", ("traces",), "SELECT question_terms, point_id, count(*) AS hit_count FROM (SELECT DISTINCT question_hash, point_id, question_terms FROM (SELECT *, row_number() OVER (PARTITION BY question_hash, point_id ORDER BY question_terms) AS r FROM traces) WHERE r = 1) GROUP BY ALL")

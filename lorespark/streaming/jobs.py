@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorespark.operators import session
@@ -64,20 +64,51 @@ def session_state(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").applyInPandasWithState(step, "session_id bigint, subject string, turns bigint", "subject string, turns bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def session_machine(events: DataFrame) -> DataFrame:
-    """The state machine of :mod:`lorespark.operators.session` over a stream of events, its state kept by session.
+_KEPT = ", ".join(f"{f} string" for f in session.FIELDS)
 
-    A micro-batch's events of a session are taken in the order of their turns.
-    """
 
-    def step(key, batches, state: GroupState):
-        now = session.State(*state.get) if state.exists else session.State()
-        now, out = session.steps(key[0], now, session.in_order(batches))
-        state.update(tuple(getattr(now, f) for f in session.FIELDS))
+class _Machine(StatefulProcessor):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("session", _KEPT)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.kept.update(tuple(initialState[f].iloc[0] or "" for f in session.FIELDS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = session.in_order(rows)
+        now = session.State(*self.kept.get()) if self.kept.exists() else session.State()
+        now, out = session.steps(key[0], now, events)
+        self.kept.update(tuple(getattr(now, f) for f in session.FIELDS))
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            self.handle.registerTimer(int(events["at"].max().timestamp() * 1000) + self.idle_ms)
         yield out
 
-    kept = ", ".join(f"{f} string" for f in session.FIELDS)
-    return events.groupBy("session_id").applyInPandasWithState(step, session.OUT, kept, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None: ...
+
+
+def session_machine(events: DataFrame, snapshots: DataFrame | None = None, idle_ms: int | None = None, late: str = "1 hour") -> DataFrame:
+    """The state machine of :mod:`lorespark.operators.session` over a stream of events, its state kept by session.
+
+    A micro-batch's events of a session are taken in the order of their turns. ``snapshots`` (session_id and the state's fields, as
+    :func:`session.snapshots` gives them) are the states that sessions begin with. With ``idle_ms`` a session's state goes
+    once the watermark, ``late`` behind the latest event's ``at``, is so much past its last event; it begins anew if it comes back.
+    """
+    # state with timers and initial values needs this store
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if idle_ms is not None:
+        events = events.withWatermark("at", late)
+    initial = snapshots.select("session_id", *session.FIELDS).groupBy("session_id") if snapshots is not None else None
+    return events.groupBy("session_id").transformWithStateInPandas(_Machine(idle_ms), session.OUT, "append", "none" if idle_ms is None else "eventTime", initialState=initial)
 
 
 def table_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -128,17 +159,39 @@ def gap_writer(path: str, known: DataFrame, threshold: int) -> Callable[[DataFra
     return write
 
 
+def observed(df: DataFrame, stage: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a plan node named ``stage`` that counts the rows which pass it in each micro-batch, as ``rows``.
+
+    ``keys``: conditions as ``name=SQL``, such as one for each source, whose rows are counted too.
+    """
+    return df.observe(stage, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.expr(k.split("=", 1)[1])).alias(k.split("=", 1)[0]) for k in keys))
+
+
 class Progress(StreamingQueryListener):
-    """Collects what a query reports of its micro-batches; a listener never holds a query up."""
+    """Collects what a query reports of its micro-batches; a listener never holds a query up.
+
+    ``stages`` adds up the counts of :func:`observed` by stage and name. A batch that is reported again counts once.
+    """
 
     def __init__(self):
         self.rows: list[tuple[int, int]] = []
+        self.counted: dict[tuple[str, int, str, str], int] = {}
         self.ended = False
 
     def onQueryStarted(self, event) -> None: ...
 
     def onQueryProgress(self, event) -> None:
-        self.rows.append((event.progress.batchId, event.progress.numInputRows))
+        p = event.progress
+        self.rows.append((p.batchId, p.numInputRows))
+        for stage, row in p.observedMetrics.items():
+            for name, n in row.asDict().items():
+                self.counted[str(p.id), p.batchId, stage, name] = n
+
+    def stages(self) -> dict[tuple[str, str], int]:
+        out: dict[tuple[str, str], int] = {}
+        for (_, _, stage, name), n in self.counted.items():
+            out[stage, name] = out.get((stage, name), 0) + n
+        return out
 
     def onQueryIdle(self, event) -> None: ...
 
