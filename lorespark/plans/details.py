@@ -267,10 +267,10 @@ def _(s):
 # --- retrieval and answers -----------------------------------------------------------------------
 
 
-@query("TRC03_corrections", ("turns",), """SELECT answer_id, 'user_correction' AS event_type, '{"answer_id":' || answer_id || ',"feedback":"' || f || '"}' AS payload FROM (SELECT answer_id, CASE length(user_input) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'correction' ELSE 'positive' END AS f FROM turns WHERE answer_id IS NOT NULL AND user_input IS NOT NULL) WHERE f <> 'positive'""")
+@query("TRC03_corrections", ("turns",), """SELECT answer_id, 'user_correction' AS event_type, '{"answer_id":' || answer_id || ',"feedback":"' || f || '"}' AS payload FROM (SELECT answer_id, CASE length(coalesce(user_input, '')) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'correction' ELSE 'positive' END AS f FROM turns WHERE answer_id IS NOT NULL) WHERE f <> 'positive'""")
 def _(t):
-    kind = F.element_at(F.array(F.lit("negative"), F.lit("correction"), F.lit("positive")), F.char_length("user_input") % 3 + 1)
-    return answer.corrections(t.filter("answer_id IS NOT NULL AND user_input IS NOT NULL").select("answer_id", kind.alias("feedback")))
+    kind = F.element_at(F.array(F.lit("negative"), F.lit("correction"), F.lit("positive")), F.char_length(F.coalesce("user_input", F.lit(""))) % 3 + 1)
+    return answer.corrections(t.filter("answer_id IS NOT NULL").select("answer_id", kind.alias("feedback")))
 
 
 @query("DOC05_rule_merge", ("sources",), f"WITH {MARKDOWN} SELECT source_id, line_no AS line_start, coalesce(lead(line_no) OVER (PARTITION BY source_id ORDER BY line_no) - 1, total_lines) AS line_end FROM hd JOIN tot USING (source_id)")
