@@ -11,9 +11,12 @@ Every paragraph that isn't marked passes points to its ancestors: one, one for e
 one for each hundred characters up to three; the parent gets all of them, the next ancestor
 half, and each further one less. A container's points are raised for ``article``, ``main`` and
 names of content, and discounted by its link density. The best one, or the article that it lies
-in, and its siblings that score well or are headings or plain paragraphs, make up the text.
+in with articles beside it that score half as much, and its siblings that score well or are headings or plain paragraphs, make up the text.
 Outside of an article, lists that consist of links are left out; inside, only marked parts are.
 
+Inside an article a heading's words may be an element's id, so a name such as ``comments`` or ``search`` marks a part there only
+with a second sign: that it is mostly links, or holds a form, or several elements of that kind, or times.
+
 Marks by forms, page headers, hiding and ambiguous names are taken back if they leave little: if what isn't
 marked holds less than a quarter of the text of the best of these parts, that part counts as
 unmarked and the page is scored again.
@@ -81,6 +84,12 @@ SAYS = frozenset(
     "template supports allow allows allowed loaded ready default".split()
 )
 GOOD = frozenset("article content main post entry story".split())
+#: Words that headings have as well, so that inside an article a name of them needs a second sign; and asides that are text.
+HEADLIKE = frozenset(
+    "comment comments replies reply nav navigation menu menus search tags header banner warning alert related recommended popular trending login signup "
+    "share sharing social side rail skip promotion subscription subscribe footer sidebar toolbar pagination".split()
+)
+QUOTES = frozenset("pullquote quote".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: How surely a part is no article text.
@@ -88,12 +97,12 @@ NO, MAYBE, SURE = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "mark", "good", "points", "length", "links", "anchors", "commas")
+    __slots__ = ("tag", "attrs", "parent", "items", "mark", "good", "points", "length", "links", "anchors", "commas", "doubt")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Node | str] = []
-        self.mark, self.good = NO, False
+        self.mark, self.good, self.doubt = NO, False, frozenset()
 
 
 def _name_mark(tag: str, name: str, inside: bool) -> int:
@@ -110,8 +119,57 @@ def _name_mark(tag: str, name: str, inside: bool) -> int:
     return SURE if words[-1] in NAMES else NO
 
 
+def _names(node: Node) -> list[str]:
+    """Words of an element's class and id names."""
+    return [w.lower() for name, value in _ATTR.findall(node.attrs) if name.lower() in ("class", "id") for w in _WORDS.findall(value)]
+
+
 def judge(node: Node, inside: bool) -> None:
     """Marks a part by its tag, role, names and hiding; ``inside`` an article or main element."""
+    _judge(node, inside)
+    if node.mark and inside and node.attrs:
+        words = _names(node)
+        if node.tag == "aside" and not QUOTES.isdisjoint(words):
+            node.mark = NO
+        elif node.tag not in PARTS | MAYBE_PARTS and (found := {w for w in words if w in NAMES | MAYBE_NAMES}) and found <= HEADLIKE and not _by_role(node):
+            node.doubt = frozenset(found)
+
+
+def _by_role(node: Node) -> bool:
+    return any(name.lower() in ("role", "hidden", "aria-hidden", "style") for name, _ in _ATTR.findall(node.attrs))
+
+
+def _second_sign(node: Node) -> bool:
+    """Whether a part that a name alone marks looks like one: mostly links, a form, or several elements of its kind or times."""
+    _measure(node)
+    if _density(node) >= 0.5:
+        return True
+    kind = {w.removesuffix("s").replace("replie", "reply") for w in node.doubt} | {"comment", "reply"}
+    alike = times = 0
+    stack: list[Node | str] = [*node.items]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            if x.tag in ("form", "input"):
+                return True
+            times += x.tag == "time"
+            alike += x.tag in BLOCK and not kind.isdisjoint(w.removesuffix("s") for w in _names(x))
+            stack.extend(x.items)
+    return alike >= 2 or times >= 2
+
+
+def _settle(root: Node) -> None:
+    """Takes back the marks that a name alone gave inside an article, where there is no second sign."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.doubt:
+            node.mark = node.mark if _second_sign(node) else NO
+        if not (node.doubt and node.mark):
+            stack.extend(x for x in node.items if isinstance(x, Node))
+
+
+def _judge(node: Node, inside: bool) -> None:
     tag = node.tag
     mark = SURE if tag in PARTS else MAYBE if tag == "form" or tag == "header" and not inside else NO
     if node.attrs and tag not in ("html", "body"):
@@ -180,6 +238,7 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
             after, name = (end + 1 if end >= 0 else size), ""
         elif m := _NAME.match(page, at + 1):
             from_ = stop = m.end()
+            behind = from_  # of the last quote or the name
             while True:
                 found = _STOP.search(page, stop) if ">" not in gone else None
                 if not found:
@@ -192,11 +251,12 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
                     after, name = stop, m[1] + m[2].lower()
                     break
                 if found[0] not in gone:  # a quote opens a value only after an equals sign
-                    before = page[max(from_, stop - 33) : stop - 1].rstrip()
+                    before = page[behind : stop - 1].rstrip()
+                    behind = stop
                     if before.endswith("="):
                         end = page.find(found[0], stop)
                         if end >= 0:
-                            stop = end + 1
+                            behind = stop = end + 1
                         else:
                             gone.add(found[0])
         else:
@@ -312,7 +372,7 @@ def blocks(parts: list[Node], link_lists: bool) -> list[str]:
     run: list[str] = []
 
     def end() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         if text:
             out.append(text)
         run.clear()
@@ -323,7 +383,7 @@ def blocks(parts: list[Node], link_lists: bool) -> list[str]:
         if x is None:
             end()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(html.unescape(x))  # by itself: a reference doesn't go on in another element
         elif x.tag == "br":
             run.append(" ")
         elif not x.mark and (link_lists or not _link_list(x) if x.tag not in VOID else True):
@@ -361,6 +421,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page.replace("\r\n", "\n").replace("\0", ""))
+    _settle(root)
     nodes = _measure(root)
     while _restored(root):
         nodes = _measure(root)
@@ -373,7 +434,10 @@ def extract(page: str | None) -> str:
     while above is not None and above.tag not in ("article", "main"):
         above = above.parent
     if above is not None:
-        return "\n".join(blocks([above], True))
+        # articles beside it that score half of it or more are parts of the same text
+        beside = above.parent.items if above.tag == "article" and above.parent is not None else [above]
+        least = max(1.0, 0.5 * _score(above))
+        return "\n".join(blocks([x for x in beside if x is above or isinstance(x, Node) and x.tag == "article" and not x.mark and _score(x) >= least], True))
     while best.tag in PARAGRAPHS | {"ul", "ol", "dl", "table", "tbody", "tr"} and best.parent is not None:
         best = best.parent
     if best.parent is None or best.tag == "body":

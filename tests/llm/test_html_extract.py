@@ -119,3 +119,48 @@ def test_rows(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     text = "é " + LONG.strip()
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (1, "u", "", 0)], key=str)
+
+
+LONG = "This paragraph has some words, with commas, and goes on long enough to be taken for text of the article that it is in."
+
+
+def test_sections_of_an_article_named_like_furniture_stay():
+    for name in ("comments", "navigation", "search", "tags", "related", "menus", "sharing"):
+        page = f'<body><nav id="nav"><a href="/">home</a></nav><article><h1>Guide</h1><p>{LONG}</p><section id="{name}"><h2>{name}</h2><p>{LONG} Section.</p></section><p>{LONG} End.</p></article></body>'
+        assert he.extract(page).split("\n") == ["Guide", LONG, name, f"{LONG} Section.", f"{LONG} End."], name
+    quote = f'<article><p>{LONG}</p><aside class="pullquote">A pull quote.</aside><div class="warning"><p>Mind the gap, it is wide.</p></div><p>{LONG}</p></article>'
+    assert he.extract(quote).split("\n") == [LONG, "A pull quote.", "Mind the gap, it is wide.", LONG]
+
+
+def test_furniture_inside_an_article_still_goes():
+    def inside(part):
+        return he.extract(f"<article><p>{LONG}</p>{part}<p>{LONG} End.</p></article>").split("\n") == [LONG, f"{LONG} End."]
+
+    comment = f'<div class="comment"><p>{LONG} I disagree.</p></div>'
+    assert inside(f'<section id="comments"><h2>Comments</h2>{comment}{comment}</section>')
+    assert inside(f'<section class="replies"><div><time>1</time>{LONG}</div><div><time>2</time>{LONG}</div></section>')
+    assert inside(f'<div id="search"><form><input name="q"></form><p>{LONG}</p></div>')
+    assert inside('<div class="related"><a href="/a">One other story, of ours</a> <a href="/b">Another story of ours</a></div>')
+    assert inside('<div class="ad">Buy now, buy cheap, buy here, before it is gone from this page.</div>')
+    assert inside(f'<div class="comments" role="complementary"><p>{LONG}</p></div>')
+    assert inside(f"<aside><p>{LONG}</p></aside>")
+
+
+def test_references_end_with_their_element():
+    assert he.extract(f"<article><p>{LONG} AT&<b>amp;</b>T, &lt;b&gt; &am<!-- x -->p; R&amp;D.</p></article>") == f"{LONG} AT&amp;T, <b> &amp; R&D."
+
+
+def test_blanks_before_a_quoted_value_are_of_any_number():
+    for n in (0, 10, 40, 5000):
+        page = f'<article><p a ={" " * n}"x>LEAK">{LONG}</p></article>'
+        assert he.extract(page) == LONG, n
+    import time
+
+    began = time.perf_counter()
+    he.extract("<p " + (" " * 50 + '"') * 20_000)
+    assert time.perf_counter() - began < 2
+
+
+def test_articles_beside_each_other():
+    page = f"<div><article><h2>One</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>Teaser</h2><p>Short one.</p></article></div>"
+    assert he.extract(page).split("\n") == ["One", LONG, LONG, "Two", LONG, LONG]
