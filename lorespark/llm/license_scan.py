@@ -5,10 +5,11 @@ lower-cased, are hashed into ``DIMS`` features; a softmax regression over them g
 licence family and ``unknown`` a probability. It is trained here, on variants of the notices
 in ``TEMPLATES`` (words dropped, cut, holders added, wrapped in other words) and on paragraphs of
 at most ``max_background`` documents of least id hash as unknown, a documented bound; paragraphs
-that hold most of a template are not used as unknown. A temperature is fitted on held-out
+that hold half of a template, or a pair that only a family's notices have, are not used as unknown. A temperature is fitted on held-out
 variants, so that the probabilities are calibrated; a family counts only from ``min_probability``
 on. A prediction is confirmed if the paragraph's word pairs hold at least ``min_template`` of
-those of one of the family's notices.
+those of one of the family's notices; a short paragraph of probability ``SURE`` is by a pair that only that
+family's notices have, with a word that no other family uses, if it has no such pair of another family.
 
 Notices are looked for in single paragraphs and in windows of any number of adjacent ones, so
 that a wrapped notice is found: a window is a least stretch of lines, none of them blank, that
@@ -19,7 +20,7 @@ finds that overlap, the one that holds most pairs of a notice stays, of equal on
 Result: one row per input row with ``doc_id, n_paragraphs, n_licensed`` (finds, each of one or
 more paragraphs), ``families`` (sorted, distinct, comma-joined) and ``spans`` (family:start:end by
 start, comma-joined; code points of the find, its white space stripped at both ends). A null text has no paragraphs. Repeated
-rows give repeated results. Other columns are ignored.
+rows give repeated results. Other columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,22 +35,69 @@ from pyspark.sql import functions as F
 
 from . import _tokens as tk
 from ._store import least_hashed
+from ._store import named as _named
 
 DIMS = 1 << 16
+#: Probability from which a paragraph is confirmed by a pair of words that only its family's notices have, if it has so many words at most.
+SURE, MOST_WORDS = 0.9, 40
 #: Wording of well-known licence notices by family.
 TEMPLATES = {
-    "agpl": ["licensed under the GNU Affero General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc0": ["Licensed under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "This is free and unencumbered software released into the public domain"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved", "Confidential and proprietary", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited"],
+    "agpl": [
+        "licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "licensed under the AGPLv3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "licensed under the terms of the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "Released under the BSD License", "licensed under the terms of the BSD license", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "cc-by": [
+        "Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0",
+        "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz",
+        "Cette œuvre est mise à disposition selon les termes de la Licence Creative Commons Attribution 4.0 International",
+        "Esta obra está bajo una Licencia Creative Commons Atribución 4.0 Internacional",
+    ],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0": [
+        "Licensed under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "released under the GNU GPL v2", "released under the GNU GPL v3", "licensed under the GPLv2", "licensed under the GPLv3",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License", "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "licensed under the GNU Lesser General Public License, version 2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "licensed under the LGPLv3", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
+    "mit": [
+        "Released under the MIT License", "licensed under the terms of the MIT license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
+    "proprietary": [
+        "All rights reserved", "Confidential and proprietary", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher",
+        "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited", "Alle Rechte vorbehalten", "Tous droits réservés", "Todos los derechos reservados",
+    ],
 }
 FAMILIES = (*TEMPLATES, "unknown")
 _USED = [{w for t in notices for w in t.split()} for notices in TEMPLATES.values()]
@@ -155,14 +203,40 @@ def held(label: int, text: str, least: float) -> int:
     return max((len(own & notice) for notice in _NOTICES[label] if len(own & notice) >= least * len(notice)), default=0)
 
 
+#: Pairs that one family's notices alone have, one of whose words no other family uses; not of the family without a licence.
+_BY_PAIR = {x: {k for k, notices in enumerate(_NOTICES) if any(x in n for n in notices)} for x in _ALL.tolist()}
+
+
+def _own_pairs(label: int, family: str) -> set[int]:
+    words = _USED_LOWER[label] - set().union(*(u for k, u in enumerate(_USED_LOWER) if k != label))
+    near = {p for t in TEMPLATES[family] for a, b in _neighbours(t) if a in words or b in words for p in _pairs(f"{a} {b}")}
+    return {x for x in near if _BY_PAIR.get(x) == {label}}
+
+
+def _neighbours(text: str) -> list[tuple[str, str]]:
+    words = "".join(" " if ord(c) < 128 and _SEPARATOR[ord(c)] else c for c in text).split()
+    words = [w.rstrip(".-").lower() for w in words]
+    return list(zip(words, words[1:]))
+
+
+_USED_LOWER = [{w for t in notices for pair in _neighbours(t) for w in pair} for notices in TEMPLATES.values()]
+_OWN = [_own_pairs(k, f) if f != "proprietary" else set() for k, f in enumerate(TEMPLATES)]
+
+
+def named(label: int, text: str) -> int:
+    """Pairs of the text that only this family's notices have; 0 if it also has another family's."""
+    pairs = _pairs(text)
+    return 0 if any(pairs & own for k, own in enumerate(_OWN) if k != label) else len(pairs & _OWN[label])
+
+
 def confirmed(label: int, text: str, least: float) -> bool:
     return held(label, text, least) > 0
 
 
-def train(background: list[str], seed: int = 5, each: int = 60, steps: int = 200) -> tuple[np.ndarray, float, float]:
+def train(background: list[str], seed: int = 5, each: int = 40, steps: int = 200) -> tuple[np.ndarray, float, float]:
     """Weights divided by a fitted temperature, that temperature, and the accuracy on held-out variants."""
     rnd = random.Random(seed)
-    background = [t for t in background if not any(confirmed(k, t, 0.5) for k in range(len(TEMPLATES)))]
+    background = [t for t in background if not any(confirmed(k, t, 0.5) or named(k, t) for k in range(len(TEMPLATES)))]
     texts, labels = _variants(rnd, background, each)
     order = list(range(len(texts)))
     rnd.shuffle(order)
@@ -317,15 +391,15 @@ def _scan(shared, min_probability: float, min_template: float):
                 words = np.bincount(np.searchsorted(lines, tk.word_spans(data, lines)[0], "right") - 1, minlength=len(of))
                 clean = _clean(data)
                 best, p = predict(scores(weights, clean, lines))
-                ranges = [(i, i, int(best[i])) for i in np.flatnonzero((p >= min_probability) & (words > 0)).tolist()]
+                ranges = [(i, i, int(best[i]), bool(p[i] >= SURE)) for i in np.flatnonzero((p >= min_probability) & (words > 0)).tolist()]
                 if windows := _windows(clean, lines, of, words == 0, min_template):
                     texts = [data[lines[i] : lines[j + 1]].tobytes().decode() + "\n" for i, j in windows]
                     best, p = predict(scores(weights, *_rows(texts)))
-                    ranges += [(i, j, int(k)) for (i, j), k, q in zip(windows, best, p) if q >= min_probability]
+                    ranges += [(i, j, int(k), False) for (i, j), k, q in zip(windows, best, p) if q >= min_probability]
                 finds = []
-                for i, j, k in ranges:
+                for i, j, k, sure in ranges:
                     text = data[lines[i] : lines[j + 1]].tobytes().decode()
-                    if holds := held(k, text, min_template):
+                    if holds := held(k, text, min_template) or (named(k, text) if sure and words[i] <= MOST_WORDS else 0):
                         finds.append((-holds, j - i, i, j, k, text))
                 found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
                 taken: set[int] = set()
@@ -361,7 +435,7 @@ def background_sample(docs: DataFrame, max_background: int, seed: int) -> list[s
 
 
 def license_scan(docs: DataFrame, max_background: int = 2000, min_probability: float = 0.5, min_template: float = 0.7, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(_named(id_col).cast("bigint").alias("doc_id"), _named(text_col).cast("string").alias("text"))
     weights, _, _ = train(background_sample(rows, max_background, seed), seed)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     return rows.mapInArrow(_scan(shared, min_probability, min_template), "doc_id bigint, n_paragraphs bigint, n_licensed bigint, families string, spans string")
