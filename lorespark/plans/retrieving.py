@@ -104,6 +104,17 @@ def _store(s: DataFrame, d: DataFrame) -> rt.Store:
     return rt.Store(s, d, o, u, p.join(done, "unit_id", "left_semi"), _table(s, "relations", lambda: _relations(u)), _index(s, "units"), _index(s, "points"), _index(s, "outlines"))
 
 
+def _candidates(b: DataFrame, s: DataFrame, d: DataFrame, kb: rt.Store) -> DataFrame:
+    """The candidates of the questions with their contents, which several queries go on from; the first of them makes the table."""
+    asked = hashlib.sha256(state_of(b).encode()).hexdigest()[:16]
+
+    def made() -> DataFrame:
+        found = rt.contents(rt.candidates(_questions(b), _choices(b), kb).drop("source_id"), kb)
+        return found.join(_questions(b).select("q", F.col("text").alias("question")), "q")
+
+    return _table(s, f"candidates-{asked}", made)
+
+
 # --- questions: the first words of the benchmark's items ---
 
 KQ = "kq AS (SELECT item_id AS q, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS text, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS topic FROM benchmark)"
@@ -326,10 +337,7 @@ ALL = f"{KQ}, {KC}, {RESTRICTED}, {KB}, {OUTLINE}, {UNITS}, {MERGED}"
 
 @query("RET05_rerank", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL}, {ROLES} SELECT * FROM ke")
 def _(b, s, d):
-    kb = _store(s, d)
-    cands = rt.candidates(_questions(b), _choices(b), kb)
-    read = rt.contents(cands.drop("source_id"), kb).join(_questions(b).select("q", F.col("text").alias("question")), "q")
-    return rt.classify(read).select("q", "unit_id", "point_id", "role")
+    return rt.classify(_candidates(b, s, d, _store(s, d))).select("q", "unit_id", "point_id", "role")
 
 
 @query("FLT21_phrase_in_text", ("benchmark", "sources"), f"WITH {KQ}, {TEXT}, x AS (SELECT m.q, m.doc, kq.text, s.text AS content FROM m JOIN kq USING (q) JOIN sources s ON s.source_id = m.doc WHERE rank <= 10) SELECT q, doc, len(list_filter({PHRASES}, lambda p: contains(content, p))) > 0 AS named FROM x")
@@ -347,16 +355,13 @@ def _(b):
 @query("RET06_expand", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL}, {ROLES}, {EXPANDED} SELECT 'new' AS kind, q, unit_id, point_id FROM fr UNION ALL SELECT 'against', q, unit_id, point_id FROM ag")
 def _(b, s, d):
     kb = _store(s, d)
-    read = rt.contents(rt.candidates(_questions(b), _choices(b), kb).drop("source_id"), kb).join(_questions(b).select("q", F.col("text").alias("question")), "q")
-    fresh, against = rt.expand(stored(rt.classify(read).select("q", "unit_id", "point_id", "role"), "kept"), kb.relations, kb.points)
+    fresh, against = rt.expand(stored(rt.classify(_candidates(b, s, d, kb)).select("q", "unit_id", "point_id", "role"), "kept"), kb.relations, kb.points)
     return fresh.select(F.lit("new").alias("kind"), "q", "unit_id", "point_id").unionByName(against.select(F.lit("against").alias("kind"), "q", "unit_id", "point_id"))
 
 
 @query("RET07_path", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL}, {ROLES} SELECT q, CASE WHEN count_if(role = 'direct') > 0 THEN 'short' ELSE 'deep' END AS path FROM ke GROUP BY 1")
 def _(b, s, d):
-    kb = _store(s, d)
-    read = rt.contents(rt.candidates(_questions(b), _choices(b), kb).drop("source_id"), kb).join(_questions(b).select("q", F.col("text").alias("question")), "q")
-    return rt.path(rt.classify(read))
+    return rt.path(rt.classify(_candidates(b, s, d, _store(s, d))))
 
 
 EVIDENCE = """pa AS (SELECT q, CASE WHEN count_if(role = 'direct') > 0 THEN 'short' ELSE 'deep' END AS path FROM ke GROUP BY 1)
