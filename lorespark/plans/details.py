@@ -198,11 +198,6 @@ def _(t):
 # --- windows, order, sets ------------------------------------------------------------------------
 
 
-@query("WIN01_ranks", ("points",), "SELECT unit_id, point_id, row_number() OVER (PARTITION BY unit_id ORDER BY point_id % 7 DESC, point_id) - 1 AS rank FROM points")
-def _(p):
-    return store.ranked(p, "unit_id", F.col("point_id") % 7, "point_id").select("unit_id", "point_id", "rank")
-
-
 @query("WIN02_heading_ends", ("sources",), f"WITH {MARKDOWN} SELECT source_id, line_start, line_end FROM ol")
 def _(s):
     return _parts(s)[2].select("source_id", "line_start", "line_end")

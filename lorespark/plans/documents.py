@@ -494,13 +494,6 @@ def _(t):
     )
 
 
-@query("SET05_intersection", ("traces",), "SELECT trace_id, CASE WHEN point_id % 2 = 0 THEN point_id || ',' || (point_id + 2) ELSE (point_id + 2)::VARCHAR END AS both_sides FROM traces")
-def _(t):
-    left = F.array(F.col("point_id"), F.col("point_id") + 1, F.col("point_id") + 2, F.col("point_id"))
-    right = F.when(F.col("point_id") % 2 == 0, F.array(F.col("point_id") + 2, F.col("point_id"))).otherwise(F.array(F.col("point_id") + 2))
-    return t.select("trace_id", F.array_join(F.array_intersect(left, right), ",").alias("both_sides"))
-
-
 @query("SRC12_html_preview", ("sources",), "SELECT source_id, CASE WHEN source_id % 2 = 0 THEN '<p>' || title || '</p>' ELSE '<pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre>' END AS html FROM sources")
 def _(s):
     html = F.when(F.col("source_id") % 2 == 0, F.concat(F.lit("<p>"), "title", F.lit("</p>")))

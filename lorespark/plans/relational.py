@@ -179,13 +179,6 @@ def _(u, r):
     return ok.select("relation_id", F.lit("bidirectional").alias("direction"))
 
 
-@query("FLT19_valid_citations", ("traces",), "SELECT trace_id, CASE WHEN point_id % 3 = 0 THEN point_id || ',' || point_id ELSE '' END AS citations FROM traces")
-def _(t):
-    ids = F.array("point_id", F.lit(-1).cast("bigint"), "point_id")
-    known = F.when(F.col("point_id") % 3 == 0, F.array("point_id")).otherwise(F.array(F.lit(-2).cast("bigint")))
-    return t.select("trace_id", F.array_join(tx.valid_citations(ids, known), ",").alias("citations"))
-
-
 @query("PRJ01_other_end", ("relations",), "SELECT relation_id, CASE WHEN source_point = 7 THEN target_point ELSE source_point END AS other, source_point = 7 AS as_source FROM relations WHERE source_point = 7 OR target_point = 7")
 def _(r):
     return r.filter("source_point = 7 OR target_point = 7").select("relation_id", F.when(F.col("source_point") == 7, F.col("target_point")).otherwise(F.col("source_point")).alias("other"), (F.col("source_point") == 7).alias("as_source"))
@@ -227,13 +220,6 @@ def _(u, r):
     return store.conflicts(r, u.filter("source_id = 2").select(F.col("unit_id").alias("point_id")))
 
 
-@query("JOI14_cited_evidence", ("traces",), "SELECT trace_id, point_id || ',' || (point_id + 1) AS cited FROM traces")
-def _(t):
-    cited = F.array("point_id", F.col("point_id") + 1, "point_id")
-    direct = F.array(F.col("point_id") + 1, "point_id", F.lit(0).cast("bigint") - 1)
-    return t.select("trace_id", F.array_join(F.array_intersect(cited, direct), ",").alias("cited"))
-
-
 @query("JOI15_closure", ("customer",), """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey // 3 END AS parent FROM customer),
     r AS (SELECT id FROM n WHERE id IN (2, 3) UNION SELECT n.id FROM n JOIN r ON n.parent = r.id) SELECT id FROM r""")
 def _(c):

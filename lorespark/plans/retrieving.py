@@ -364,6 +364,54 @@ def _(b, s, d):
     return rt.path(rt.classify(_candidates(b, s, d, _store(s, d))))
 
 
+# --- evidence and citations of the questions --------------------------------------------------------
+
+
+def _evidence(b: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    """``q``, and its evidence in order of rank: struct of point_id, role, unit_id; questions without any have none."""
+    kept = rt.classify(_candidates(b, s, d, _store(s, d)))
+    found = kept.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "point_id", "role", "unit_id"))).alias("evidence"))
+    return b.select(F.col("item_id").alias("q")).join(found, "q", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<rank:bigint,point_id:bigint,role:string,unit_id:bigint>>")))
+
+
+CITED = "ct AS (SELECT kq.q, coalesce(list(point_id ORDER BY rank) FILTER (WHERE ca.unit_id % 3 <> 0), []) AS cited, coalesce(list(point_id ORDER BY rank) FILTER (WHERE role = 'direct'), []) AS direct, coalesce(list(point_id ORDER BY rank) FILTER (WHERE role IS NOT NULL), []) AS every FROM kq LEFT JOIN (SELECT ca.*, role FROM ca JOIN ke USING (q, unit_id)) ca USING (q) GROUP BY kq.q)"
+
+
+def _cited(b: DataFrame, s: DataFrame, d: DataFrame) -> DataFrame:
+    """What answers cite: the points of two thirds of the evidence, each cited twice, and one that is no evidence between."""
+    e = _evidence(b, s, d)
+    once = F.transform(F.filter("evidence", lambda x: x["unit_id"] % 3 != 0), lambda x: x["point_id"])
+    ids = lambda keep: F.transform(F.filter("evidence", keep), lambda x: x["point_id"])
+    return e.select("q", F.concat(once, F.array(F.lit(-1).cast("bigint")), once).alias("cited"), ids(lambda x: x["role"] == "direct").alias("direct"), ids(lambda x: x["role"].isNotNull()).alias("every"))
+
+
+@query("FLT19_valid_citations", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL}, {ROLES}, {CITED} SELECT q, array_to_string(list_concat(cited, cited), ',') AS citations FROM ct")
+def _(b, s, d):
+    return _cited(b, s, d).select("q", F.array_join(tx.valid_citations(F.col("cited"), F.col("every")), ",").alias("citations"))
+
+
+@query("JOI14_cited_evidence", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL}, {ROLES}, {CITED} SELECT q, array_to_string(list_filter(cited, lambda x: list_contains(direct, x)), ',') AS cited_direct, array_to_string(list_filter(cited, lambda x: NOT list_contains(direct, x)), ',') AS cited_supporting FROM ct")
+def _(b, s, d):
+    """Cited evidence in the order of its first citation, once each, by role."""
+    supporting = F.array_except("every", "direct")
+    return _cited(b, s, d).select("q", F.array_join(F.array_intersect("cited", "direct"), ",").alias("cited_direct"), F.array_join(F.array_intersect("cited", supporting), ",").alias("cited_supporting"))
+
+
+@query("SET05_intersection", ("benchmark", "sources", "domains"), f"WITH RECURSIVE {ALL} SELECT kq.q, coalesce(string_agg(unit_id::VARCHAR, ',' ORDER BY rank) FILTER (WHERE paths = '0,1'), '') AS both_paths FROM kq LEFT JOIN ca USING (q) GROUP BY kq.q")
+def _(b, s, d):
+    """Units that both recalls found, in order of rank."""
+    c = _candidates(b, s, d, _store(s, d))
+    on = lambda path: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "paths"))), lambda x: F.contains(x["paths"], F.lit(path))), lambda x: x["unit_id"])
+    found = c.groupBy("q").agg(F.array_join(F.array_intersect(on("0"), on("1")), ",").alias("both"))
+    return b.select(F.col("item_id").alias("q")).join(found, "q", "left").select("q", F.coalesce("both", F.lit("")).alias("both_paths"))
+
+
+@query("WIN01_ranks", ("benchmark", "sources"), f"WITH {KQ}, {TEXT} SELECT q, doc, rank - 1 AS rank FROM m")
+def _(b, s):
+    """Places by score, from 0, of what a search found; equal scores by document."""
+    return store.ranked(_match(b, s, "text").select("q", "doc", "score"), "q", F.col("score"), "doc").select("q", "doc", "rank")
+
+
 EVIDENCE = """pa AS (SELECT q, CASE WHEN count_if(role = 'direct') > 0 THEN 'short' ELSE 'deep' END AS path FROM ke GROUP BY 1)
     SELECT ev.q, ev.unit_id, ev.point_id, role, path, content, '{"source_id":' || s.source_id || ',"line_start":' || line_start || ',"line_end":' || line_end || '}' AS source_ref, CASE WHEN role = 'conflict' THEN s.title END AS source_title
     FROM ev JOIN ku ON ku.unit_id = ev.unit_id JOIN sources s ON s.source_id = ku.source_id JOIN pa ON pa.q = ev.q"""
