@@ -9,7 +9,8 @@ triangle inequality gives d >= abs(d(q, p) - d(x, p)). The distances of every ro
 Rows are dealt to the cell of their nearest pivot, and cells to blocks of bounded size by a hash, so
 that a cell with any share of the rows is split. A query starts in its own block, where the k-th
 score it finds is the bound that other blocks have to beat; a cell whose greatest and least distances to
-some pivot rule that out is skipped. Within a block, candidates are evaluated in order of their
+some pivot rule that out is skipped. Where the block's own distances show that no bound can rule out any of its rows, these are
+evaluated at once, many queries together. Elsewhere within a block, candidates are evaluated in order of their
 bounds, a share at a time, until the next bound can't beat the k-th score; rounding is allowed for,
 and candidates that could tie are evaluated. The k best of all blocks are the result, exactly.
 
@@ -94,12 +95,29 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
     lifted = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
     apart = _distances(lifted, pivots).astype(np.float32)
     steps = [min(len(rows), 4 * k), min(len(rows), 64 * k)]
+    low, high = far.min(1, initial=np.inf), far.max(1, initial=-np.inf)
+    nothing = np.empty(0, np.int64), [], len(rows)
     out = []
     for start in range(0, len(queries), AT_ONCE):
         dense: list[tuple[int, np.ndarray, np.ndarray]] = []
         part = range(start, min(start + AT_ONCE, len(queries)))
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # where no pivot's bound of any row can be beyond what the floor allows, all rows are evaluated at once
+        reach = np.array([_reach(norms[j], greatest, floors[j]) for j in part])
+        most_apart = np.maximum(np.abs(apart[start : part.stop] - low), np.abs(apart[start : part.stop] - high)).max(1, initial=0)
+        all_rows = [j for j, r, m in zip(part, reach, most_apart) if own[j] < 0 and np.isfinite(r) and m <= r]
+        over: dict[int, np.ndarray] = {}
+        if all_rows:
+            together = _limited(asked[all_rows] @ exact.T)
+            at_j, at_row = np.nonzero(together >= floors[all_rows][:, None])
+            ends = np.searchsorted(at_j, np.arange(len(all_rows) + 1))
+            for i, j in enumerate(all_rows):
+                over[j] = at_row[ends[i] : ends[i + 1]]
+                if len(over[j]):
+                    found[j] = (over[j], together[i, over[j]])
         for j in part:
+            if j in over:
+                continue
             bound = np.zeros(len(rows), np.float32)
             for p in range(len(pivots)):
                 np.maximum(bound, np.abs(far[p] - apart[j, p]), out=bound)
@@ -126,12 +144,15 @@ def best_of(queries: np.ndarray, floors: np.ndarray, own: np.ndarray, rows: np.n
             for (j, left, at), scores in zip(dense, together, strict=True):
                 found[j] = (np.concatenate([at, left]), np.concatenate([found[j][1], scores[left]]))
         for j in part:
+            if j in over and not len(over[j]):
+                out.append(nothing)
+                continue
             at, scores = found[j]
             floor = floors[j] if len(scores) < k else max(floors[j], _kth(scores, k))
-            at, scores = at[over := scores >= floor], scores[over]
+            at, scores = at[best := scores >= floor], scores[best]
             order = np.argsort(at, kind="stable")
             order = order[np.argsort(-scores[order], kind="stable")][:k]
-            out.append((at[order], [int(s) for s in scores[order]], len(found[j][0])))
+            out.append((at[order], [int(s) for s in scores[order]], len(rows) if j in over else len(found[j][0])))
     return out
 
 
@@ -204,7 +225,7 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
             lists["scores"].append(scores)
             lists["times"].append([int(copies[i]) - (1 if q_rows is not None and q_rows[j] == i else 0) for i in at])
         kinds = pa.list_(pa.int64())
-        made = {c: q[c] for c in ("id", "one", "two", "copies", "cell", "block", "v")} | {c: pa.array(x, kinds) for c, x in lists.items()}
+        made = {c: q[c] for c in q.column_names} | {c: pa.array(x, kinds) for c, x in lists.items()}
         return pa.table(made)
 
     def at_home(t: pa.Table) -> pa.Table:
@@ -214,7 +235,8 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
         where = np.flatnonzero(is_q)
         own = np.where(copies[where] == 1, where, -1)
         found = best_of(v[where], np.full(len(where), -np.inf), own, v, far, pivots, greatest, k)
-        return answers(t.take(pa.array(where)), found, t, where)
+        kept = ["id", "one", "two", "copies", "cell", "block", "v"]
+        return answers(t.take(pa.array(where)).select(kept), found, t, where)
 
     _ANSWER = "id long, one long, two long, copies long, cell int, block int, v array<long>, ids array<long>, scores array<long>, times array<long>"
     home = materialize(table.groupBy("cell", "block").applyInArrow(at_home, _ANSWER), "home")
@@ -246,17 +268,19 @@ def exact_search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
     met = table.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def abroad(t: pa.Table, q: pa.Table) -> pa.Table:
+        kept = ["id", "one", "two", "copies"]
         if not t.num_rows or not q.num_rows:
-            return answers(q.slice(0, 0), [], t, None)
+            return answers(q.slice(0, 0).select(kept), [], t, None)
         t, v, far = sorted_rows(t)
         floors = [-np.inf if f is None else f for f in q["floor"].to_pylist()]
         floors = np.array(floors, dtype=object if any(abs(f) >= 1 << 53 for f in floors if f != -np.inf) else np.float64)
         found = best_of(_matrix(q["v"]), floors, np.full(q.num_rows, -1), v, far, pivots, greatest, k)
-        return answers(q, found, t, None)
+        some = [j for j, (at, _, _) in enumerate(found) if len(at)]
+        return answers(q.take(pa.array(some, pa.int64())).select(kept), [found[j] for j in some], t, None)
 
     keys = ("cell", "block", "group")
-    away = met.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(abroad, _ANSWER)
-    pairs = home.drop("v", "cell", "block").unionByName(away.drop("v", "cell", "block"))
+    away = met.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(abroad, "id long, one long, two long, copies long, ids array<long>, scores array<long>, times array<long>")
+    pairs = home.drop("v", "cell", "block").unionByName(away)
     pairs = pairs.select("id", "one", "two", "copies", F.explode(F.arrays_zip("ids", "scores", "times")).alias("x")).select("id", "one", "two", "copies", "x.*")
     pairs = pairs.filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
     ranked = pairs.selectExpr("*", "row_number() OVER (PARTITION BY id, one, two ORDER BY scores DESC, ids ASC NULLS LAST) AS rank").filter(F.col("rank") <= k)
