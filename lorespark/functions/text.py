@@ -121,7 +121,7 @@ def normalise_keywords(text: Column) -> Column:
 
 def first_paragraph(text: Column) -> Column:
     """Up to 300 characters of the lines that are neither blank nor headings, each with its newline."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return F.left(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(300))
 
 

@@ -106,7 +106,7 @@ def triggers(nodes: DataFrame, docs: DataFrame, max_chars: int) -> DataFrame:
 
 def is_contents(title, text):
     """A table of contents: by its title, or if over 70 % of its lines that aren't blank are links to anchors."""
-    rows = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     links = F.filter(rows, lambda x: x.startswith("- [") & F.contains(x, F.lit("](#")))
     return F.lower(title).isin("目录", "table of contents", "toc") | F.coalesce(F.try_divide(F.size(links), F.size(rows)) > 0.7, F.lit(False))
 

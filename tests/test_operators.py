@@ -26,6 +26,11 @@ def test_text_scalars(spark):
     assert [one(spark, tx.line_range(F.lit("a\nb\nc"), F.lit(a), F.lit(b))) for a, b in ((0, 2), (2, 9), (3, 2), (4, 5))] == ["a\nb", "b\nc", "", ""]
 
 
+def test_lines_lose_spaces_only_when_trimmed(spark):
+    assert one(spark, tx.first_paragraph(F.lit("0 a 0\n1 b 1\n  # head\n 3 "))) == "0 a 0\n1 b 1\n3\n"
+    assert one(spark, docs.is_contents(F.lit("x"), F.lit("  - [a](#a)\n 1 \n  - [b](#b)\n- [c](#c)")))
+
+
 def test_parent_by_window_equals_a_stack(spark):
     rnd = random.Random(1)
     rows, want = [], {}
