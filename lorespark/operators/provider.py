@@ -190,10 +190,10 @@ def generate(questions: DataFrame, provider: Provider) -> DataFrame:
 
 
 def first_lines(request: str) -> str:
-    """One section of level 1 for each request, named by its first line."""
+    """One section of level 1 for each request, named by its first line, with which it begins."""
     j = json.loads(request)
     title = j["text"].split("\n")[0].strip()[:30] or "untitled"
-    return json.dumps({"sections": [{"title": title, "line_start": j["line_start"], "line_end": j["line_end"], "level": 1}]})
+    return json.dumps({"sections": [{"title": title, "line_start": j["line_start"], "line_end": j["line_end"], "level": 1}], "starts_mid_section": False})
 
 
 def sections_of_lines(request: str, steps: dict[int, int]) -> str:

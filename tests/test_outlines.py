@@ -128,6 +128,14 @@ def test_units_across_edges_are_joined_by_rule(spark):
     assert out == [(1 + 30 * k, 30 + 30 * k, f"part {k}") for k in range(4)]
 
 
+def test_windows_that_begin_a_section_are_not_joined_by_title(spark):
+    d = spark.createDataFrame([(1, "\n".join(["same line"] * 400))], "source_id long, text string")
+    starts = {r["at"] for r in sketch.sketches(d, provider.first_lines, 200).collect()}
+    out = sorted((r["line_start"], r["line_end"], r["title"]) for r in sketch.sections(d, provider.first_lines, 200).collect())
+    assert len(starts) > 3 and {a for a, _, _ in out} == starts and {t for _, _, t in out} == {"same line"}
+    assert out[-1][1] == 400 and all(b[0] == a[1] + 1 for a, b in zip(out, out[1:]))
+
+
 def test_windows_without_a_reply_are_left_out(spark):
     d = spark.createDataFrame([(1, headed(200, 10, 30)), (2, "")], "source_id long, text string")
     assert sketch.sections(d, lambda r: "no", 200).collect() == []
