@@ -52,6 +52,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote, once nothing reads it any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
