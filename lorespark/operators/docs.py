@@ -15,6 +15,9 @@ def clean_markdown(text):
     return F.regexp_replace(out, r"(?s)<!--.*?-->", "")
 
 
+HEADING = r"^#{1,6}\s+\S"
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``source_id, line_no`` (from 1) and ``line``."""
     return docs.select("source_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("source_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
@@ -22,8 +25,12 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def fenced(rows: DataFrame) -> DataFrame:
     """Adds ``is_fence`` and ``in_code``, by the parity of the fences so far."""
+    return coded(rows.withColumn("is_fence", F.ltrim("line").startswith("```")))
+
+
+def coded(out: DataFrame) -> DataFrame:
+    """Adds ``in_code`` to lines with ``is_fence``; of the lines between fences any may be left out."""
     w = W.partitionBy("source_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.withColumn("is_fence", F.ltrim("line").startswith("```"))
     return out.withColumn("in_code", ~F.col("is_fence") & (F.sum(F.col("is_fence").cast("int")).over(w) % 2 == 1))
 
 
@@ -36,9 +43,11 @@ def break_priorities(rows: DataFrame) -> DataFrame:
 
 def headings(rows: DataFrame) -> DataFrame:
     """Headings outside code, their level capped at 4."""
-    ok = fenced(rows).filter(~F.col("is_fence") & ~F.col("in_code") & F.col("line").rlike(r"^#{1,6}\s+\S"))
     level = F.least(F.char_length(F.regexp_extract("line", "^(#+)", 1)), F.lit(4)).cast("bigint")
-    return ok.select("source_id", "line_no", level.alias("level"), F.trim(F.regexp_replace("line", "^#+", "")).alias("title"))
+    fence, like = F.ltrim("line").startswith("```"), F.col("line").rlike(HEADING)
+    # fences and what may be a heading are all that the parity needs; other lines aren't shuffled
+    own = rows.filter(fence | like).select("source_id", "line_no", fence.alias("is_fence"), F.when(~fence, level).alias("level"), F.when(~fence, F.trim(F.regexp_replace("line", "^#+", ""))).alias("title"))
+    return coded(own).filter(~F.col("is_fence") & ~F.col("in_code")).select("source_id", "line_no", "level", "title")
 
 
 def outline(heads: DataFrame, totals: DataFrame) -> DataFrame:

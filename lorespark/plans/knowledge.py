@@ -116,10 +116,13 @@ MARKDOWN = """md AS (SELECT source_id, i::BIGINT AS line_no, CASE WHEN i = 1 THE
             (SELECT max(b.line_no) FROM hd b WHERE b.source_id = a.source_id AND b.line_no < a.line_no AND b.level < a.level) AS parent_line FROM hd a JOIN tot USING (source_id)))""".replace("\\\\", "\\")
 
 
+def _mark(n):
+    """What the view puts before line ``n``."""
+    return F.when(n == 1, "# ").when(n % 13 == 5, "```").when(n % 10 == 0, "## ").when(n % 4 == 0, "##### ").otherwise("")
+
+
 def _markdown(s: DataFrame) -> DataFrame:
-    n = F.col("line_no")
-    mark = F.when(n == 1, "# ").when(n % 13 == 5, "```").when(n % 10 == 0, "## ").when(n % 4 == 0, "##### ").otherwise("")
-    return dc.lines(s).withColumn("line", F.concat(mark, "line"))
+    return dc.lines(s).withColumn("line", F.concat(_mark(F.col("line_no")), "line"))
 
 
 def _parts(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
+from lorespark.operators import docs as dc
 from lorespark.operators import index as ix
 from lorespark.operators import retrieval as rt
 from lorespark.operators import store
 from lorespark.operators import tree
 from lorespark.plans import relational as rel
-from lorespark.plans.knowledge import MARKDOWN, _parts
+from lorespark.plans.knowledge import MARKDOWN, _mark, _parts
 from lorespark.sources.shared import new_folder, shared_dir, state_of, stored, temporary
 
 _OWN: list[str] = []
@@ -46,13 +48,21 @@ def _outlines(s: DataFrame) -> DataFrame:
     return nodes.select("*", (F.col("source_id") * STEP + F.col("line_start")).alias("outline_id"), (F.col("source_id") * STEP + F.col("parent_line")).alias("parent_id"))
 
 
+def _lines(s: DataFrame) -> DataFrame:
+    """Units as they stand in their sources' rows, without the outline's node: nothing is shuffled."""
+    status = F.when((F.col("source_id") + F.col("line_no")) % 9 == 0, "extraction_failed").otherwise("completed")
+    rows = dc.lines(s).filter("trim(line) <> ''")
+    return rows.select((F.col("source_id") * STEP + F.col("line_no")).alias("unit_id"), "source_id", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.col("line").alias("content"), status.alias("status"))
+
+
 def _units(s: DataFrame) -> DataFrame:
-    heads = _parts(s)[2].select("source_id", F.col("line_start").alias("line_no"), F.col("line_start").alias("_head"))
-    rows = s.select("source_id", F.posexplode(F.split("text", "\n")).alias("p", "content")).withColumn("line_no", (F.col("p") + 1).cast("bigint")).join(heads, ["source_id", "line_no"], "left")
-    last = F.last("_head", ignorenulls=True).over(W.partitionBy("source_id").orderBy("line_no"))
-    rows = rows.withColumn("outline_id", F.col("source_id") * STEP + last).filter("trim(content) <> ''")
+    """Units with the node of the last heading up to their line; lines are shuffled once, without their text where it isn't asked for."""
+    line = F.concat(_mark(F.col("line_no")), "line")
     status = F.when((F.col("source_id") + F.col("line_no")) % 9 == 0, "extraction_failed").otherwise("completed")
-    return rows.select((F.col("source_id") * STEP + F.col("line_no")).alias("unit_id"), "source_id", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "content", status.alias("status"), "outline_id")
+    rows = dc.lines(s).select("source_id", "line_no", F.col("line").alias("content"), (F.trim("line") != "").alias("_full"), F.ltrim(line).startswith("```").alias("is_fence"), line.rlike(dc.HEADING).alias("_head"))
+    head = F.when(F.col("_head") & ~F.col("is_fence") & ~F.col("in_code"), F.col("line_no"))
+    rows = dc.coded(rows).withColumn("_last", F.last(head, ignorenulls=True).over(W.partitionBy("source_id").orderBy("line_no"))).filter("_full")
+    return rows.select((F.col("source_id") * STEP + F.col("line_no")).alias("unit_id"), "source_id", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "content", status.alias("status"), (F.col("source_id") * STEP + F.col("_last")).alias("outline_id"))
 
 
 def _points(u: DataFrame) -> DataFrame:
@@ -79,9 +89,9 @@ def _index(s: DataFrame, name: str) -> ix.Index:
     made: dict[str, Callable[[], DataFrame]] = {
         "text": lambda: s.select(F.col("source_id").alias("doc"), "text"),
         "title": lambda: s.select(F.col("source_id").alias("doc"), F.col("title").alias("text")),
-        "units": lambda: _units(s).filter("status = 'completed'").select(F.col("unit_id").alias("doc"), F.col("content").alias("text")),
-        "points": lambda: _points(_units(s).filter("status = 'completed'")).select(F.col("point_id").alias("doc"), F.col("content").alias("text")),
-        "outlines": lambda: _outlines(s).select(F.col("outline_id").alias("doc"), F.col("title").alias("text")),
+        "units": lambda: _lines(s).filter("status = 'completed'").select(F.col("unit_id").alias("doc"), F.col("content").alias("text")),
+        "points": lambda: _points(_lines(s).filter("status = 'completed'")).select(F.col("point_id").alias("doc"), F.col("content").alias("text")),
+        "outlines": lambda: _stored_outlines(s).select(F.col("outline_id").alias("doc"), F.col("title").alias("text")),
     }
     return ix.open_or_create(s.sparkSession, _at(s, name), made[name])
 
@@ -96,15 +106,34 @@ def _table(s: DataFrame, name: str, df: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _store(s: DataFrame, d: DataFrame) -> rt.Store:
-    u = _table(s, "units", lambda: _units(s))
-    o = _table(s, "outlines", lambda: _outlines(s).select("outline_id", "parent_id", "source_id", "title", "level", "line_start", "line_end"))
-    p = _table(s, "points", lambda: _points(u))
-    done = u.filter("status = 'completed'").select("unit_id")
-    return rt.Store(s, d, o, u, p.join(done, "unit_id", "left_semi"), _table(s, "relations", lambda: _relations(u)), _index(s, "units"), _index(s, "points"), _index(s, "outlines"))
+def _stored_outlines(s: DataFrame) -> DataFrame:
+    return _table(s, "outlines", lambda: _outlines(s).select("outline_id", "parent_id", "source_id", "title", "level", "line_start", "line_end"))
+
+
+class _Store:
+    """The store (:class:`rt.Store`), each of whose tables and indexes is made when it is first asked for. Texts stay in the sources."""
+
+    def __init__(self, sources: DataFrame, domains: DataFrame):
+        self.sources, self.domains = sources, domains
+
+    outlines = cached_property(lambda self: _stored_outlines(self.sources))
+    units = cached_property(lambda self: _table(self.sources, "units", lambda: _units(self.sources).drop("content")))
+    relations = cached_property(lambda self: _table(self.sources, "relations", lambda: _relations(self.units)))
+    unit_index = cached_property(lambda self: _index(self.sources, "units"))
+    point_index = cached_property(lambda self: _index(self.sources, "points"))
+    outline_index = cached_property(lambda self: _index(self.sources, "outlines"))
+
+    @cached_property
+    def points(self) -> DataFrame:
+        """Those of completed units."""
+        return _table(self.sources, "points", lambda: _points(_lines(self.sources).filter("status = 'completed'")).select("point_id", "unit_id"))
+
+
+def _store(s: DataFrame, d: DataFrame) -> _Store:
+    return _Store(s, d)
 
 
-def _candidates(b: DataFrame, s: DataFrame, d: DataFrame, kb: rt.Store) -> DataFrame:
+def _candidates(b: DataFrame, s: DataFrame, d: DataFrame, kb: _Store) -> DataFrame:
     """The candidates of the questions with their contents, which several queries go on from; the first of them makes the table."""
     asked = hashlib.sha256(state_of(b).encode()).hexdigest()[:16]
 
