@@ -34,9 +34,12 @@ def question_hash(question: Column, subject: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens: runs of letters and digits; a run of Han characters gives its pairs (alone: itself)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsHan}]+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+)"))
+    lower = F.lower(text)
+    runs = F.regexp_extract_all(lower, F.lit(r"([\p{IsHan}]+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+)"))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\p{IsHan}]"), pairs(r)).otherwise(F.array(r))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[\p{IsHan}]"), pairs(r)).otherwise(F.array(r))))
+    # Han characters are all in this range; asking for a character's script takes most of the time
+    return F.when(lower.rlike(r"[\x{2E80}-\x{10FFFF}]"), mixed).otherwise(F.regexp_extract_all(lower, F.lit(r"([\p{L}\p{Nd}]+)")))
 
 
 def register(spark, name: str = "text_tokens") -> None:

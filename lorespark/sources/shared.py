@@ -58,6 +58,17 @@ def discard(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def move(df: DataFrame, path: str) -> None:
+    """Moves what :func:`stored` wrote to ``path``, in place of what is there."""
+    spark = df.sparkSession
+    [own] = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(file_system(spark, own)[1], at):
+        raise OSError(f"{own} can't be moved to {path}")
+
+
 def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
