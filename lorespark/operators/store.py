@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespark.operators.tree import deepest
+from lorespark.sources.shared import stored
 
 
 def in_domains(sources: DataFrame, domain_ids: list[str]) -> DataFrame:
@@ -54,10 +55,12 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 def delete_cascade(tables: dict[str, DataFrame], source_ids: DataFrame) -> dict[str, DataFrame]:
     """The five tables without the sources' rows: sources, outlines, units, points, relations."""
-    gone = tables["points"].join(tables["units"].join(source_ids, "source_id", "left_semi"), "unit_id", "left_semi").select("point_id")
+    units = stored(tables["units"].join(source_ids, "source_id", "left_semi").select("unit_id").distinct(), "gone-units")
+    # written, as it is asked twice; points go by their units, which are fewer
+    gone = stored(tables["points"].join(units, "unit_id", "left_semi").select("point_id"), "gone")
     rel = tables["relations"].join(gone, F.col("source_point") == F.col("point_id"), "left_anti").join(gone, F.col("target_point") == F.col("point_id"), "left_anti")
     out = {k: v.join(source_ids, "source_id", "left_anti") for k, v in tables.items() if "source_id" in v.columns}
-    return {**out, "points": tables["points"].join(gone, "point_id", "left_anti"), "relations": rel}
+    return {**out, "points": tables["points"].join(units, "unit_id", "left_anti"), "relations": rel}
 
 
 def keep_newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
