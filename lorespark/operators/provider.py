@@ -8,9 +8,10 @@ own rule for failures holds. The functions ``first_lines`` to ``cite_all`` are d
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ Provider = Callable[[str], str]
 BatchProvider = Callable[[list[str]], list[str | None]]
 #: Concepts that a request may list.
 MAX_CONCEPTS = 5_000
+#: Rows whose requests and replies a task of :func:`ask_rows` holds at a time.
+ROWS = 256
 
 
 def fake(by_prompt: dict[str, Provider]) -> Provider:
@@ -56,6 +59,21 @@ def ask(request: Column, provider: Provider, schema: str, attempts: int = 2) ->
     return F.from_json(call.asNondeterministic()(request), schema)
 
 
+def ask_rows(rows: DataFrame, request: Column, provider: Provider, schema: str, keep: list[str], attempts: int = 2) -> DataFrame:
+    """The columns ``keep`` of ``rows``, and ``r``, the reply as of :func:`ask`; a task holds the requests and replies of ``ROWS`` rows at a time."""
+    size = ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                got = pa.array([reply(provider, r, attempts) for r in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=batch.schema.names)
+
+    told = rows.select(*keep, request.alias("r"))
+    return told.mapInArrow(run, told.schema).withColumn("r", F.from_json("r", schema))
+
+
 def ask_together(request: Column, provider: BatchProvider, schema: str, attempts: int = 2) -> Column:
     """As :func:`ask`, with one call for all requests of a batch; what failed is asked for again, together."""
 
@@ -124,7 +142,7 @@ def document_summaries(docs: DataFrame, domains: DataFrame, provider: Provider)
 def extract_units(segments: DataFrame, provider: Provider) -> DataFrame:
     """Per segment (source_id, line_start, text): status, units and points; units without center, lines or a full point are dropped."""
     schema = "units array<struct<unit_id: string, center: string, line_start: bigint, line_end: bigint>>, points array<struct<point_id: string, unit_id: string, content: string, type: string>>"
-    got = segments.withColumn("r", ask(F.to_json(F.struct("line_start", "text")), provider, schema))
+    got = ask_rows(segments, F.to_json(F.struct("line_start", "text")), provider, schema, ["source_id", "line_start"])
     points = F.coalesce("r.points", F.array())
     own = lambda u: F.filter(points, lambda p: p["unit_id"] == u["unit_id"])
     empty = lambda p: F.trim(F.coalesce(p["content"], F.lit(""))) == ""
@@ -152,8 +170,9 @@ def related_batches(points: DataFrame, units: DataFrame, outlines: DataFrame, si
 
 def relations(points: DataFrame, units: DataFrame, outlines: DataFrame, provider: Provider, size: int = 60) -> DataFrame:
     """Relations between points of a source that are asked about together: both ends known and different, of a known type; stored in both directions."""
-    got = related_batches(points, units, outlines, size).withColumn("r", ask(F.to_json(F.struct("points")), provider, "relations array<struct<`from`: bigint, `to`: bigint, type: string>>"))
-    rows = got.select(F.transform("points", lambda p: p["point_id"]).alias("known"), F.explode("r.relations").alias("x"))
+    told = related_batches(points, units, outlines, size).withColumn("known", F.transform("points", lambda p: p["point_id"]))
+    got = ask_rows(told, F.to_json(F.struct("points")), provider, "relations array<struct<`from`: bigint, `to`: bigint, type: string>>", ["known"])
+    rows = got.select("known", F.explode("r.relations").alias("x"))
     ok = F.array_contains("known", F.col("x.from")) & F.array_contains("known", F.col("x.to")) & (F.col("x.from") != F.col("x.to")) & F.col("x.type").isin("related", "contradicts")
     return rows.filter(ok).select(F.col("x.from").alias("source_point"), F.col("x.to").alias("target_point"), F.col("x.type").alias("relation_type"), F.lit("bidirectional").alias("direction")).distinct()
 
