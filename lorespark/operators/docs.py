@@ -85,8 +85,9 @@ def repair_sections(sections: DataFrame, totals: DataFrame) -> DataFrame:
 
 def line_chars(rows: DataFrame) -> DataFrame:
     """``source_id, line_no, until``: characters of a source's lines up to and with each, newlines too."""
-    until = F.sum(F.char_length("line") + 1).over(W.partitionBy("source_id").orderBy("line_no"))
-    return rows.select("source_id", "line_no", until.alias("until"))
+    # lengths before the shuffle, which else takes the lines along
+    sizes = rows.select("source_id", "line_no", (F.char_length("line") + 1).alias("n"))
+    return sizes.select("source_id", "line_no", F.sum("n").over(W.partitionBy("source_id").orderBy("line_no")).alias("until"))
 
 
 def sized(parts: DataFrame, rows: DataFrame) -> DataFrame:

@@ -44,14 +44,14 @@ def process(sources: DataFrame, provider: pv.Provider, max_chars: int = 1500, us
     mixed where that gave nodes; for any other reason a model makes a semantic one, and where it gives
     nothing, the structural one stays. Semantic outlines of texts over one request are refined as well.
     """
-    clean = sources.select("source_id", dc.clean_markdown(F.col("text")).alias("text"))
-    ok = clean.filter("text IS NOT NULL")
     # all are used by several branches below
+    clean = stored(sources.select("source_id", dc.clean_markdown(F.col("text")).alias("text")), "clean")
+    ok = clean.filter("text IS NOT NULL")
     rows = stored(dc.lines(ok), "lines")
     totals = rows.groupBy("source_id").agg(F.max("line_no").alias("total_lines"))
     structural = stored(dc.outline(dc.headings(rows), totals).withColumn("node_type", F.lit("structural")), "outline")
     why = stored(dc.triggers(structural, ok, max_chars), "triggers")
-    asked = ok.join(why.filter("reasons NOT IN ('', 'E')").select("source_id"), "source_id", "left_semi")
+    asked = stored(ok.join(why.filter("reasons NOT IN ('', 'E')").select("source_id"), "source_id", "left_semi"), "asked")
     semantic = stored(placed(refine.merge_overlaps(sketch.sections(asked, provider, usable), ["source_id"])), "semantic")
     most = pv.request_chars(usable)
     of = lambda df, keys: df.join(keys.select("source_id").distinct(), "source_id", "left_semi")
