@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held as numpy arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -50,9 +50,12 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n + 1:
         size = max(n + 1, SLICE_BYTES + 1)
-        _powers = tuple(
-            np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, _U(b))))) for b in (_BASE, _BASE_INV)
-        )
+        made = []
+        for b in (_BASE, _BASE_INV):
+            power = np.full(size, _U(b))
+            power[0] = 1
+            made.append(np.cumprod(power, out=power))
+        _powers = (made[0], made[1])
     return _powers
 
 
@@ -92,8 +95,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
     power, inverse = _powers_to(len(data))
+    # eight bytes for each of the text are held once, not three times
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+    held = total[1:]
+    np.take(_BYTE, data, out=held, mode="clip")
+    held *= power[: len(data)]
+    np.cumsum(held, out=held)
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 

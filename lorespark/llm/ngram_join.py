@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from . import _bloom as bloom
 from . import _tokens as tk
 from ._graph import connected_components
-from ._store import materialize, named
+from ._store import arrow_rows, materialize, named
 
 #: Shingles of a block, or of a part of one, that a task holds.
 BLOCK_TOKENS = 2_000_000
@@ -66,6 +66,10 @@ BIN_WORK = 50_000_000
 MAX_TASKS = 100_000
 #: Bits of the array of shared shingles at most: 32 MB.
 MAX_BITS = 1 << 28
+#: Shingles and sets that a task of that array holds at a time.
+HELD_TOKENS, HELD_SETS = 1_000_000, 200_000
+#: Rows that go to a Python worker at a time: some 7 MB of text of usual length, on either side.
+ARROW_ROWS = 2_000
 #: DivideSkip's tuning factor: long lists L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 
@@ -197,10 +201,11 @@ def _shared(k: int, bits: int):
                         new[i] = True
                 held.append(_slots(token[np.repeat(new, np.diff(bounds))], bits))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if len(known) > HELD_SETS:
+                    known.clear()
+                if n > HELD_TOKENS:
                     yield from flush()
                     held, n = [], 0
-                    known.clear()
         if held:
             yield from flush()
 
@@ -439,6 +444,11 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
 
     ``group`` is the same for linked rows only, also where ids are null or repeated; null for an empty set.
     """
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # every step with Python is written before this ends
+        return _groups(docs, k, num, den, id_col, text_col, keys)
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, keys: tuple[str, ...]) -> DataFrame:
     docs = docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).cast("string").alias("text"), *keys).withColumn("digest", F.xxhash64("text"))
     rows = docs.select("doc_id", "text", "digest", *keys).mapInArrow(_survey(k), ", ".join(["doc_id bigint, n_shingles bigint, one bigint, two bigint, digest bigint", *(f"{c} bigint" for c in keys)]))
     rows = materialize(rows, "join-survey")
