@@ -102,7 +102,7 @@ def _table(s: DataFrame, name: str, df: Callable[[], DataFrame]) -> DataFrame:
 
     spark, path = s.sparkSession, _at(s, f"table-{name}")
     if not exists(spark, f"{path}/_SUCCESS"):
-        df().write.mode("overwrite").parquet(path)
+        df().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
